@@ -14,13 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow import fixed_values as fv
 from corpusflow.functions.text import is_blank, is_section_heading, let, paragraphs, strip
 
 _BLANK_CODES = np.array([ord(ch) for ch in fv.BLANK_CHARS], dtype=np.uint32)
 _SECTION_MARKS = [re.compile(p) for p in fv.CHUNK_SECTION_PATTERNS]
-TOKEN_CHUNK_TYPE = "array<struct<text:string,start:int,end:int,tokens:int>>"
+TOKEN_CHUNK_TYPE = T.ArrayType(
+    T.StructType()
+    .add("text", T.StringType())
+    .add("start", T.IntegerType())
+    .add("end", T.IntegerType())
+    .add("tokens", T.IntegerType())
+)
 
 
 class _TokenCounter:
@@ -88,14 +95,17 @@ def _token_spans(text: str, limit: int) -> list[tuple[str, int, int, int]]:
     return spans
 
 
-@F.pandas_udf(TOKEN_CHUNK_TYPE)
-def _token_chunks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _chunk_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, limits in batches:
         yield pd.Series(
             [_token_spans(t, int(n)) if t else [("", 0, 0, 0)] for t, n in zip(texts, limits)]
         )
 
 
+# marked non-deterministic so that no inferred filter evaluates it a second time
+_token_chunks = F.pandas_udf(_chunk_batches, TOKEN_CHUNK_TYPE).asNondeterministic()
+
+
 def token_chunks(text: Column, limit: Column) -> Column:
     """Chunks of at most ``limit`` tokens with up to a tenth of overlap.
 
@@ -217,9 +227,11 @@ def page_range_chunks(
         )
         return F.when(is_blank(body), F.slice(rows, 1, 0)).otherwise(rows)
 
+    def of_range(pages: Column, first: int, last: int) -> Column:
+        return let(range_text(pages, first, last), lambda body: pieces(body, first, last))
+
     def collect(pages: Column) -> Column:
-        per_range = [let(range_text(pages, a, b), lambda body, a=a, b=b: pieces(body, a, b)) for a, b in ranges]
-        kept = F.slice(F.concat(*per_range), 1, max_chunks)
+        kept = F.slice(F.concat(*[of_range(pages, a, b) for a, b in ranges]), 1, max_chunks)
 
         def row(p: Column, i: Column) -> Column:
             raw = F.when(i == max_chunks - 1, p["full"]).otherwise(p["cut"])
@@ -303,11 +315,15 @@ def section_chunks(text: Column, max_chars: int) -> Column:
 
 
 def chunk_rows(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
-    """One row per chunk with id, index, real total and first/last flags."""
+    """One row per chunk with id, index, real total and first/last flags.
+
+    The outer form of the explode is used because the inner one adds a filter
+    that would run the chunker twice; chunkers never return an empty array.
+    """
     number = F.col("index").cast("string")
     chunk_id = F.sha2(F.concat_ws(":", F.col(keep[0]).cast("string"), number), 256)
     exploded = df.select(*keep, chunks.alias("_chunks")).select(
-        *keep, F.size("_chunks").alias("total"), F.posexplode("_chunks").alias("index", "chunk")
+        *keep, F.size("_chunks").alias("total"), F.posexplode_outer("_chunks").alias("index", "chunk")
     )
     return exploded.select(
         *keep,
@@ -321,10 +337,9 @@ def chunk_rows(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
 
 
 def split_rows(df: DataFrame, parts: Column, key: str, name: str, number: str) -> DataFrame:
-    """One row per part, numbered from one."""
-    return df.select(key, F.posexplode(parts).alias("_pos", name)).select(
-        key, (F.col("_pos") + 1).alias(number), name
-    )
+    """One row per part, numbered from one; the outer explode evaluates ``parts`` once."""
+    exploded = df.select(key, F.posexplode_outer(parts).alias("_pos", name))
+    return exploded.filter(F.col("_pos").isNotNull()).select(key, (F.col("_pos") + 1).alias(number), name)
 
 
 def merge_rows(df: DataFrame, key: str, order: str, text: str, separator: str = fv.MERGE_SEPARATOR) -> DataFrame:

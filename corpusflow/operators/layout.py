@@ -39,7 +39,9 @@ def items_to_lines(items: DataFrame) -> DataFrame:
     An item joins the first line anchor within the merge gap, in item order.
     Every later step keeps the ``(doc_id, page_no)`` partitioning: one shuffle.
     """
-    placed = items.select(
+    # the filter is what the later join by document infers; stating it here keeps
+    # both uses of these rows on one shuffle
+    placed = items.filter(F.col("doc_id").isNotNull()).select(
         *PAGE,
         F.struct("item_no", rounded(F.col("y")).alias("y"), finite_or_zero(F.col("x")).alias("x"), "str").alias("item"),
     )

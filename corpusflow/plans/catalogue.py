@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from corpusflow.plans import queries_text  # noqa: F401
+from corpusflow.plans import queries_corpus, queries_records, queries_text  # noqa: F401
 from corpusflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -122,7 +122,7 @@ _MODELS = ", ".join(f"({lit(n)}, {lit(m)}, {p}, {lit(e)})" for n, m, p, e in sam
 _MAIN, _SUBS, _KEYS, _CONF = samples.DIRECTION_LABELS
 
 VIEWS: dict[str, str] = {
-    "v_events": "SELECT event_id, epoch_ms(ts) AS ts_ms, user_id, event_type, value, props FROM events",
+    "v_events": "SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, value, props FROM events",
     "v_files": f"""SELECT doc_id, '/corpus/' || source || '\\Doc ' || doc_id || {pick('doc_id', samples.EXTENSIONS)} AS path
         FROM documents""",
     "v_file_names": "SELECT *, regexp_extract(replace(path, '\\', '/'), '[^/]*$') AS name FROM v_files",
