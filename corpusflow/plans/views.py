@@ -9,8 +9,16 @@ from corpusflow.functions.keys import base_name, join_path, output_name
 from corpusflow.plans import samples
 
 
+class LiveDir(str):
+    """A table folder whose tables are read as streams, so that every view also has a live form."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if not isinstance(sf_dir, LiveDir):
+        return spark.read.parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(str(sf_dir))
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -398,3 +406,45 @@ def templates(spark, sf_dir) -> DataFrame:
         F.col("text").alias("content"),
         F.col("item_id").alias("position"),
     )
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """Result rows with every optional part present or missing by document."""
+    n, size, words = F.col("doc_id"), F.col("n_chars"), words_of(F.col("text"))
+    number = n.cast("string")
+    firsts = F.transform(lines_of(F.col("text")), lambda x: F.substring_index(x, " ", 1))
+    return documents(spark, sf_dir).select(
+        "doc_id",
+        F.concat(F.lit("Doc "), number, F.lit(".v1.txt")).alias("name"),
+        F.concat(F.lit("/corpus/"), "source", F.lit("/Doc "), number, F.lit(".v1.txt")).alias("path"),
+        F.lit("txt").alias("kind"),
+        F.lit("gpt-4o").alias("model"),
+        F.lit("https://api.example.com/v1").alias("endpoint_summary"),
+        F.when(n % 4 > 0, F.concat(F.lit("template "), number)).alias("prompt_name"),
+        F.lit("2024-01-31T00:00:00.000Z").alias("generated_at"),
+        F.struct((size > 2000).alias("applied"), size.alias("original_length"), F.least(size, F.lit(2000)).alias("final_length")).alias("truncation"),
+        F.struct(
+            (n % 2 == 0).alias("enabled"),
+            F.when(n % 14 > 0, n % 7).alias("chunk_count"),
+            size.alias("original_length"),
+            F.floor(size / 2).alias("final_length"),
+            F.when(n % 8 > 0, F.lit(1500)).alias("max_tokens"),
+            (n % 6 == 0).alias("degraded"),
+            F.when(n % 12 == 0, F.lit("HTTP_503")).alias("degrade_reason"),
+        ).alias("chunking"),
+        F.when(
+            n % 3 > 0,
+            F.struct(
+                F.get(words, F.lit(0)).alias("main"),
+                firsts.alias("subs"),
+                words.alias("keywords"),
+                F.when(n % 9 == 1, F.lit(1.0)).otherwise(F.lit(0.7)).alias("confidence"),
+            ),
+        ).alias("direction"),
+        F.when(
+            n % 5 > 0,
+            F.struct(size.alias("prompt"), F.when(n % 10 != 1, F.lit(7)).alias("completion"), (size * 2).alias("total")),
+        ).alias("usage"),
+        F.col("text").alias("content"),
+        lines_of(F.col("text")).alias("chunk_summaries"),
+    )
