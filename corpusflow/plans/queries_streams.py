@@ -8,7 +8,7 @@ from corpusflow.functions.keys import content_key
 from corpusflow.operators import chunking
 from corpusflow.plans import samples, views
 from corpusflow.plans.queries_records import _chunk_cache, _chunk_calls
-from corpusflow.plans.registry import ORACLES, query
+from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.reports import write_reports
 from corpusflow.streaming import streams
@@ -18,18 +18,18 @@ def _live(sf_dir: str) -> views.LiveDir:
     return views.LiveDir(sf_dir)
 
 
-@query("stream_logs", ORACLES["log_min_level"])
+@query("stream_logs", same_as="log_min_level")
 def stream_logs(spark, sf_dir):
     logs = streams.log_stream(views.logs(spark, _live(sf_dir)), "warn").select("log_id", "level", "message")
     return streams.appended(logs, "logs")
 
 
-@query("stream_job_state", ORACLES["job_state"])
+@query("stream_job_state", same_as="job_state")
 def stream_job_state(spark, sf_dir):
     return streams.snapshots(streams.job_state_stream(views.job_items(spark, _live(sf_dir))), "job-state")
 
 
-@query("stream_sse", ORACLES["sse_chat"])
+@query("stream_sse", same_as="sse_chat")
 def stream_sse(spark, sf_dir):
     return streams.appended(streams.sse_stream(views.sse_lines(spark, _live(sf_dir))), "sse")
 
@@ -60,7 +60,7 @@ def stream_rate(spark, sf_dir):
     )
 
 
-@query("stream_cache", ORACLES["cache_lookup"])
+@query("stream_cache", same_as="cache_lookup")
 def stream_cache(spark, sf_dir):
     cache = _chunk_cache(spark, sf_dir, _chunk_calls(spark, sf_dir))
     docs = views.ff_docs(spark, _live(sf_dir))

@@ -17,7 +17,14 @@ from corpusflow.operators import cache as cache_ops
 from corpusflow.operators import jobs, observability
 from corpusflow.session import scratch_path
 
-STATE_TTL_MS = 24 * 60 * 60 * 1000
+
+def _timeout(ttl_ms: int | None) -> str:
+    """State timeout of a stateful step.
+
+    A processing-time timeout keeps a query asking for one more batch, so runs
+    over available data must leave it off; endless queries should set it.
+    """
+    return GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
 # --- sinks ---------------------------------------------------------------------------------
@@ -99,36 +106,37 @@ def metric_windows(metrics: DataFrame, width: str = "5 seconds", late: str = "10
 _CALL_SCHEMA = "call_id long, content string, prompt_tokens long, completion_tokens long, total_tokens long"
 
 
-def _assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _assembler(ttl_ms: int | None):
     """Add new pieces to the call's text; hand the call out at its end mark or when it times out."""
-    content, usage = ("", None)
-    if state.exists:
-        content, *stored = state.get
-        usage = None if stored[3] is False else stored[:3]
-    done = state.hasTimedOut
-    if not done:
-        lines = pd.concat(list(parts)).sort_values("line_no")
-        content += "".join(p for p in lines["piece"] if isinstance(p, str))
-        used = lines[lines["has_usage"]]
-        if usage is None and len(used):
-            first = used.iloc[0]
-            usage = [None if pd.isna(first[c]) else int(first[c]) for c in ("prompt", "completion", "total")]
-        done = bool(lines["done"].any())
-    if done:
-        state.remove()
-        yield pd.DataFrame([(key[0], content, *(usage or (None, None, None)))], columns=_columns(_CALL_SCHEMA)).astype(
-            {c: "Int64" for c in ("prompt_tokens", "completion_tokens", "total_tokens")}
-        )
-    else:
+    counters = ["prompt_tokens", "completion_tokens", "total_tokens"]
+
+    def assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        content, usage, done = "", None, state.hasTimedOut
+        if state.exists:
+            content, *counts, known = state.get
+            usage = counts if known else None
+        if not done:
+            lines = pd.concat(list(parts)).sort_values("line_no")
+            content += "".join(p for p in lines["piece"] if isinstance(p, str))
+            used = lines[lines["has_usage"]]
+            if usage is None and len(used):
+                first = used.iloc[0]
+                usage = [None if pd.isna(v) else int(v) for v in first[["prompt", "completion", "total"]]]
+            done = bool(lines["done"].any())
+        if done:
+            state.remove()
+            row = (key[0], content, *(usage or (None, None, None)))
+            frame = pd.DataFrame([row], columns=["call_id", "content", *counters])
+            yield frame.astype({c: "Int64" for c in counters})
+            return
         state.update((content, *(usage or (None, None, None)), usage is not None))
-        state.setTimeoutDuration(STATE_TTL_MS)
-
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
 
-def _columns(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
+    return assemble
 
 
-def sse_stream(lines: DataFrame) -> DataFrame:
+def sse_stream(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Assemble chat-format lines per call; a row appears when its call is done.
 
     JSON is parsed by column functions; the state holds one call's text so far,
@@ -146,11 +154,11 @@ def sse_stream(lines: DataFrame) -> DataFrame:
         "call_id", "line_no", "piece", "done", F.col("u").isNotNull().alias("has_usage"), "u.prompt", "u.completion", "u.total"
     )
     return flat.groupBy("call_id").applyInPandasWithState(
-        _assemble,
+        _assembler(ttl_ms),
         _CALL_SCHEMA,
         "content string, prompt long, completion long, total long, has_usage boolean",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        _timeout(ttl_ms),
     )
 
 
@@ -165,6 +173,7 @@ def rate_stream(
     window_ms: int = fv.RATE_WINDOW_MS,
     limit: int = fv.RATE_MAX_REQUESTS,
     bucket_ms: int = 3600 * 1000,
+    ttl_ms: int | None = None,
 ) -> DataFrame:
     """Requests in the window before each request of ``requests(event_id, ts_ms, key)``.
 
@@ -184,7 +193,8 @@ def rate_stream(
         count = np.searchsorted(seen, now, side="right") - first - 1
         wait = np.where(count >= limit, window_ms - (now - seen[first]) + fv.RATE_WAIT_MARGIN_MS, 0)
         state.update((seen[seen > seen[-1] - window_ms].tolist(),))
-        state.setTimeoutDuration(STATE_TTL_MS)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         out = pd.DataFrame({"event_id": rows["event_id"], "ts_ms": now, "in_window": count, "wait_ms": wait})
         yield out[rows["own"].to_numpy()]
 
@@ -194,7 +204,7 @@ def rate_stream(
         "event_id", "ts_ms", key, F.explode(F.sequence(bucket, next_bucket)).alias("bucket")
     ).withColumn("own", F.col("bucket") == bucket)
     return spread.groupBy(key, "bucket").applyInPandasWithState(
-        check, _RATE_SCHEMA, "seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        check, _RATE_SCHEMA, "seen array<long>", "append", _timeout(ttl_ms)
     )
 
 
