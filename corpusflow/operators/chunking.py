@@ -117,8 +117,9 @@ def token_chunks(text: Column, limit: Column) -> Column:
 
 def last_index(reversed_window: Column, size: Column, mark: str) -> Column:
     """Zero-based position of the last ``mark``, or a negative number."""
-    found = F.locate(mark[::-1], reversed_window)
-    return F.when(found > 0, size - (found - 1) - len(mark)).otherwise(-1)
+    # a missing mark has position 0, which gives a value past the window: keep it negative
+    found = F.nullif(F.locate(mark[::-1], reversed_window), F.lit(0))
+    return F.coalesce(size - found + (1 - len(mark)), F.lit(-1))
 
 
 def _spans(text: Column, size: int, steps: int, break_length, last_uncut: bool) -> Column:
@@ -127,33 +128,33 @@ def _spans(text: Column, size: int, steps: int, break_length, last_uncut: bool)
     Only offsets are carried. ``break_length`` maps (reversed window, length) to
     the length to keep; ``last_uncut`` skips the break search in the last step.
     """
-    n = F.length(text)
     empty = F.array().cast("array<struct<start:int,chars:int>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(state: Column, number: Column) -> Column:
-        window = F.reverse(F.substring(text, state["at"] + 1, F.lit(size)))
-        kept = let(window, lambda w: break_length(w, F.length(w)))
-        more = state["at"] + size < n
-        if last_uncut:
-            more = more & (number < steps)
-        length = F.when(more, kept).otherwise(F.least(F.lit(size), n - state["at"])).cast("int")
-        return let(
-            length,
-            lambda m: F.when(
-                state["at"] < n,
-                F.struct(
-                    (state["at"] + m).alias("at"),
-                    F.array_append(
-                        state["spans"], F.struct(state["at"].alias("start"), m.alias("chars"))
-                    ).alias("spans"),
-                ),
-            ).otherwise(state),
-        )
+    def fold(n: Column) -> Column:
+        def kept(state: Column) -> Column:
+            window = F.reverse(F.substring(text, state["at"] + 1, F.lit(size)))
+            return let(window, lambda w: break_length(w, F.lit(size)))
+
+        def step(state: Column, number: Column) -> Column:
+            more = state["at"] + size < n
+            if last_uncut:
+                more = more & (number < steps)
+            length = F.when(more, kept(state)).otherwise(F.least(F.lit(size), n - state["at"])).cast("int")
+
+            def advance(m: Column) -> Column:
+                span = F.struct(state["at"].alias("start"), m.alias("chars"))
+                return F.struct(
+                    (state["at"] + m).alias("at"), F.array_append(state["spans"], span).alias("spans")
+                )
+
+            return F.when(state["at"] < n, let(length, advance)).otherwise(state)
+
+        # no more steps than the text can fill: each cut keeps more than half a window
+        needed = F.least(F.lit(steps), F.greatest(F.lit(1), (F.ceil(n * 2 / size) + 1).cast("int")))
+        return F.aggregate(F.sequence(F.lit(1), needed), start, step, lambda s: s["spans"])
 
-    # no more steps than the text can fill: each cut keeps more than half a window
-    needed = F.least(F.lit(steps), F.greatest(F.lit(1), (F.ceil(n * 2 / size) + 1).cast("int")))
-    return F.aggregate(F.sequence(F.lit(1), needed), start, step, lambda s: s["spans"])
+    return let(F.length(text), fold)
 
 
 def _latest_break(window: Column, n: Column) -> Column:

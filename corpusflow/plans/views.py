@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.keys import base_name, join_path, output_name
 from corpusflow.plans import samples
+from corpusflow.session import spread
 
 
 class LiveDir(str):
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def epoch_ms(ts: Column) -> Column:

@@ -22,6 +22,18 @@ def local_session(cores: str = "*", app: str = "corpusflow", shuffle_partitions:
     )
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give row-heavy work all cores when a scan has fewer splits than cores.
+
+    A large input has many splits and is returned as it is, without a shuffle.
+    Meant for plain scans, whose split count is known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
