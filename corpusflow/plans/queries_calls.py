@@ -10,7 +10,7 @@ from corpusflow.operators import calls, chunking, hooks, sse
 from corpusflow.plans import oracle_views as ov
 from corpusflow.plans import samples, views
 from corpusflow.plans.interpret import analyse_direction, interpret
-from corpusflow.plans.queries_corpus import text_chunk_sql
+from corpusflow.plans.queries_corpus import text_chunk_sql, token_chunk_sql
 from corpusflow.plans.queries_records import _chunk_cache, _chunk_calls
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
@@ -454,14 +454,55 @@ def interpreted(spark, sf_dir, client=None, **options):
         client or calls.StubClient(),
         samples.INSTRUCTIONS,
         "local-stub",
-        max_tokens=400,
+        max_tokens=INTERPRET_TOKENS,
         generated_at="2024-01-31T00:00:00.000Z",
         direction_client=calls.StubClient(answer=_direction_answer),
         **options,
     )
 
 
-@query("interpret_corpus")
+INTERPRET_TOKENS = 400
+_BODY_PROMPT = ov.render(fv.DOCUMENT_PROMPT, instructions=_ASK, name=_DOC_NAME, kind="'txt'", body="content")
+_CHUNK_ASK = ov.render(fv.CHUNK_PROMPT, instructions=_ASK, index="idx", total="n")
+_CHUNK_CALL = ov.render(fv.DOCUMENT_PROMPT, instructions=_CHUNK_ASK, name=_DOC_NAME, kind="'txt'", body="content")
+_C_NAME = "'Doc ' || c.doc_id || '.txt'"
+_ROUND = f"""CASE WHEN a.rounds = 1 THEN {ov.render(fv.FINAL_PROMPT, instructions=_ASK, name=_C_NAME, kind="'txt'", bundle='c.bundle')}
+          ELSE {ov.render(fv.ROUND_PROMPT_HEAD, instructions=_ASK, name=_C_NAME, kind="'txt'", round='c.r', rounds='a.rounds')} ||
+            CASE WHEN c.r > 1 AND a.previous <> '' THEN {ov.render(fv.ROUND_PROMPT_PREVIOUS, previous='a.previous')} ELSE '' END ||
+            {ov.render(fv.ROUND_PROMPT_TAIL, bundle='c.bundle')} END"""
+_WORDS_LINE = "'  - {}: ' || array_to_string(list_transform(string_split(replace(a, ' ', {}), ','), lambda w: " + ov.strip("w") + ")[1:{}], ', ')"
+_INTERPRET = f"""bodies AS (SELECT doc_id, 0 AS variant, {ov.strip('text')} AS text, source FROM documents),
+    {token_chunk_sql('bodies', INTERPRET_TOKENS)},
+    pieces AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY c_start) AS idx, count(*) OVER (PARTITION BY doc_id) AS n FROM cut WHERE content <> ''),
+    prompts AS (SELECT doc_id, idx, n, CASE WHEN n = 1 THEN {_BODY_PROMPT} ELSE {_CHUNK_CALL} END AS prompt FROM pieces),
+    answers AS (SELECT *, {ov.stub_answer('prompt')} AS answer FROM prompts),
+    sums AS (SELECT doc_id, idx, n, answer, {ov.chunk_summary('answer', 'idx')} AS s FROM answers WHERE n > 1),
+    bundles AS (SELECT doc_id, (idx - 1) // 5 + 1 AS r, (n + 4) // 5 AS rounds, string_agg(s, chr(10) || chr(10) ORDER BY idx) AS bundle FROM sums GROUP BY ALL),
+    asked(doc_id, r, rounds, previous, pt, ct, tt) AS (SELECT doc_id, 0::BIGINT, rounds, '', 0::BIGINT, 0::BIGINT, 0::BIGINT FROM bundles WHERE r = 1
+      UNION ALL SELECT doc_id, r, rounds, answer, pt + (length(prompt) + 3) // 4, ct + (length(answer) + 3) // 4, tt + (length(prompt) + length(answer) + 3) // 4
+      FROM (SELECT *, {ov.stub_answer('prompt')} AS answer FROM (SELECT a.*EXCLUDE (r), c.r, {_ROUND} AS prompt
+        FROM asked a JOIN bundles c ON c.doc_id = a.doc_id AND c.r = a.r + 1))),
+    rolled AS (SELECT doc_id, previous, pt, ct, tt FROM asked WHERE r = rounds),
+    used AS (SELECT doc_id, max(n) AS n, CAST(sum((length(prompt) + 3) // 4) AS BIGINT) AS pt, CAST(sum((length(answer) + 3) // 4) AS BIGINT) AS ct,
+      CAST(sum((length(prompt) + length(answer) + 3) // 4) AS BIGINT) AS tt, any_value(answer) AS answer,
+      string_agg('### 分块 ' || idx || chr(10) || {ov.strip('answer')} || chr(10), chr(10) ORDER BY idx) AS appendix FROM answers GROUP BY doc_id),
+    done AS (SELECT u.doc_id, b.source, b.text, u.n, u.pt + coalesce(r.pt, 0) AS pt, u.ct + coalesce(r.ct, 0) AS ct, u.tt + coalesce(r.tt, 0) AS tt,
+      CASE WHEN u.n = 1 THEN u.answer ELSE r.previous END AS content, u.appendix, {_ABSTRACT} AS a FROM used u JOIN bodies b USING (doc_id) LEFT JOIN rolled r USING (doc_id))"""
+
+@query(
+    "interpret_corpus",
+    f"""WITH RECURSIVE {_INTERPRET}
+    SELECT doc_id, CAST(n AS BIGINT) AS chunks, content, tt AS total_tokens, NULL::VARCHAR AS error,
+    '# 文献解读结果' || chr(10) || chr(10) || '## 基本信息' || chr(10) || '- 源文件名：Doc ' || doc_id || '.txt' || chr(10) || '- 源文件路径：/corpus/' || source || '/Doc ' || doc_id || '.txt' || chr(10) ||
+    '- 文件类型：txt' || chr(10) || '- 使用模型：local-stub' || chr(10) || '- 接口摘要：https://api.example.com/v1' || chr(10) || '- 使用模板：自由提示词' || chr(10) ||
+    '- 处理时间：2024-01-31T00:00:00.000Z' || chr(10) || '- 是否截断正文：否' || chr(10) ||
+    CASE WHEN n > 1 THEN '- 长文分块：已启用' || chr(10) || '  - 分块数量: ' || n || chr(10) || '  - 原始正文长度: ' || length(text) || chr(10) || '  - 汇总输入长度: ' || length(content) || chr(10) ||
+      '  - 是否降级输出: 否' ELSE '- 长文分块：未启用' END || chr(10) ||
+    '- 研究方向分析：' || chr(10) || '  - 主要方向: ' || a || chr(10) || {_WORDS_LINE.format('子方向', "', '", 3)} || chr(10) || {_WORDS_LINE.format('核心关键词', "','", 5)} || chr(10) || '  - 置信度: 0.9' || chr(10) ||
+    '- Token 统计：' || chr(10) || '  - promptTokens: ' || pt || chr(10) || '  - completionTokens: ' || ct || chr(10) || '  - totalTokens: ' || tt || chr(10) || chr(10) ||
+    '## 解读内容' || chr(10) || content || chr(10) || CASE WHEN n > 1 THEN chr(10) || '## 分块阶段性摘要附录' || chr(10) || '以下内容用于辅助核对长文汇总过程，保留各分块的阶段性解读结果。' || chr(10) || chr(10) || appendix ELSE '' END AS report
+    FROM done""",
+)
 def interpret_corpus(spark, sf_dir):
     """Flagship: report per document with direction, token chunks, rolling summary and usage."""
     return interpreted(spark, sf_dir).select(

@@ -215,7 +215,50 @@ def token_chunk_rows(spark, sf_dir, limit: int = TOKEN_LIMIT):
     return chunking.chunk_rows(docs, chunks, "doc_id", "variant")
 
 
-@query("chunk_tokens")
+_SECTION_AT = ", ".join(
+    f"length(regexp_extract(x, {ov.lit(f'(?s)^(.*){p}')}, 1)) AS m{i}" for i, p in enumerate(fv.CHUNK_SECTION_PATTERNS)
+)
+_SECTION_CUT = " ".join(f"WHEN m{i} > n * 0.7 THEN m{i}" for i in range(len(fv.CHUNK_SECTION_PATTERNS)))
+_SENTENCE_AT = "greatest(" + ", ".join(_last("x", ov.lit(e), 2) for e in fv.SENTENCE_ENDS) + ")"
+
+
+def token_chunk_sql(source: str, limit: int) -> str:
+    """Recursive CTE body ``cut(doc_id, variant, c_start, c_end, c_tokens, content)``.
+
+    One recursion step either sizes a window, shrinks it by a tenth, or cuts it and moves on.
+    """
+    overlap = min(fv.OVERLAP_TOKEN_CAP, limit // 10)
+    last = f"w < 0 AND rest <= {limit}"
+    cut = "w >= 0 AND fits"
+    return f"""tk(doc_id, variant, text, pos, w, c_start, c_end, c_tokens) AS (
+      SELECT doc_id, variant, text, 0::BIGINT, -1::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM {source}
+      UNION ALL
+      SELECT doc_id, variant, text,
+        CASE WHEN {cut} THEN pos + greatest(step, (size + 1) // 2) WHEN {last} THEN length(text) ELSE pos END,
+        CASE WHEN w < 0 AND rest > {limit} THEN CAST(floor({limit} * (CAST(length(text) - pos AS DOUBLE) / rest)) AS BIGINT)
+          WHEN w >= 0 AND NOT fits THEN CAST(floor(w * 0.9::DOUBLE) AS BIGINT) ELSE -1 END,
+        CASE WHEN ({cut}) OR ({last}) THEN pos END,
+        CASE WHEN {cut} THEN pos + size WHEN {last} THEN length(text) END,
+        CASE WHEN {cut} THEN cut_tokens WHEN {last} THEN rest END
+      FROM (SELECT *, CASE WHEN {ov.strip('substr(x, 1, size)')} = '' THEN size
+          ELSE size - CAST(floor({overlap} * (CAST(size AS DOUBLE) / cut_tokens)) AS BIGINT) END AS step
+        FROM (SELECT *, {ov.tokens('substr(x, 1, size)')} AS cut_tokens
+          FROM (SELECT *, greatest(1, CAST(CASE {_SECTION_CUT} WHEN blank_at > 0 THEN blank_at
+              WHEN sentence_at > n * 0.5 THEN sentence_at + 2 WHEN space_at > 0 THEN space_at ELSE n END AS BIGINT)) AS size
+            FROM (SELECT *, length(x) AS n, {_SECTION_AT}, {_last('x', 'chr(10) || chr(10)', 2)} AS blank_at, {_SENTENCE_AT} AS sentence_at,
+                {_last('x', "' '", 1)} AS space_at, {ov.tokens('x')} <= {limit} AS fits, {ov.tokens('tail')} AS rest
+              FROM (SELECT *, CASE WHEN w >= 0 THEN substr(text, pos + 1, w) ELSE '' END AS x, CASE WHEN w < 0 THEN substr(text, pos + 1) ELSE '' END AS tail
+                FROM tk WHERE pos < length(text))))))),
+    cut AS (SELECT doc_id, variant, c_start, c_end, c_tokens, {ov.strip('substr(text, c_start + 1, c_end - c_start)')} AS content FROM tk WHERE c_start IS NOT NULL)"""
+
+
+@query(
+    "chunk_tokens",
+    f"""WITH RECURSIVE {token_chunk_sql('v_han_docs', TOKEN_LIMIT)}
+    SELECT doc_id, variant, row_number() OVER o - 1 AS index, count(*) OVER d AS total, row_number() OVER o = 1 AS is_first,
+    row_number() OVER o = count(*) OVER d AS is_last, c_start AS start, c_end AS "end", c_tokens AS tokens, content FROM cut WHERE content <> ''
+    WINDOW d AS (PARTITION BY doc_id, variant), o AS (PARTITION BY doc_id, variant ORDER BY c_start)""",
+)
 def chunk_tokens(spark, sf_dir):
     return token_chunk_rows(spark, sf_dir).select(
         "doc_id", "variant", "index", "total", "is_first", "is_last", "chunk.start", "chunk.end", "chunk.tokens", F.col("chunk.text").alias("content")
