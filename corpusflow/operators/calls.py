@@ -106,25 +106,28 @@ def generate(df: DataFrame, prompt: Column, client, parallel: int | None = None)
 def cached_generate(calls: DataFrame, client, cache: DataFrame, model: str, now_ms: int) -> DataFrame:
     """Replies for ``calls(text, prompt, ...)`` with one model call per distinct missing text.
 
-    Hits come from the cache; misses are reduced to distinct texts on the map
-    side, called once, and written before they are joined back, because a model
-    call must not be recomputed.
+    Copies are reduced to distinct texts on the map side before anything is
+    looked up or called. Python replies are written, because a model call must
+    not be recomputed. The calls meet the replies in one join on the text's hash
+    and leave texts and prompts behind; a hot text is a skewed left side of that
+    join, which adaptive execution splits.
     """
     keyed = calls.withColumn("model", F.lit(model)).withColumn("text_hash", content_key(F.col("text")))
-    looked_up = lookup(keyed, cache, ["model", "text_hash"], now_ms)
-    missing = looked_up.filter(~F.col("hit")).groupBy("model", "text_hash").agg(F.min("prompt").alias("call_prompt"))
-    replies = generate(missing, F.col("call_prompt"), client)
+    distinct = keyed.groupBy("model", "text_hash").agg(F.min("prompt").alias("call_prompt"))
+    looked_up = lookup(distinct, cache, ["model", "text_hash"], now_ms)
+    missing = looked_up.filter(~F.col("hit")).select("model", "text_hash", "call_prompt")
+    called = generate(missing, F.col("call_prompt"), client).select(
+        "model", "text_hash", F.lit(False).alias("hit"), "reply"
+    )
     if not client.inline:
-        replies = materialise(replies, "replies")
-    fresh_replies = replies.select("model", "text_hash", F.col("reply").alias("fresh"))
-    hit_reply = F.struct(
+        called = materialise(called, "replies")
+    cached_reply = F.struct(
         F.col("cached_result").alias("content"),
         *[F.lit(None).cast("bigint").alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")],
         F.lit(None).cast("string").alias("error"),
     )
-    return looked_up.join(fresh_replies, ["model", "text_hash"], "left").withColumn(
-        "reply", F.when(F.col("hit"), hit_reply).otherwise(F.col("fresh"))
-    ).drop("fresh", "cached_result")
+    known = looked_up.filter("hit").select("model", "text_hash", "hit", cached_reply.alias("reply"))
+    return keyed.drop("text", "prompt").join(known.unionByName(called), ["model", "text_hash"])
 
 
 # --- chunked requests -----------------------------------------------------------------------

@@ -50,10 +50,11 @@ def items_to_lines(items: DataFrame) -> DataFrame:
     def near(anchors: Column, y: Column) -> Column:
         return F.filter(anchors, lambda a: F.abs(a - y) <= fv.LINE_MERGE_GAP)
 
+    # a height seen again finds the anchor it found before, so distinct heights are enough
     anchors = F.aggregate(
-        "items",
+        F.array_distinct(F.transform("items", lambda it: it["y"])),
         F.array().cast("array<int>"),
-        lambda acc, it: F.when(F.size(near(acc, it["y"])) > 0, acc).otherwise(F.array_append(acc, it["y"])),
+        lambda acc, y: F.when(F.size(near(acc, y)) > 0, acc).otherwise(F.array_append(acc, y)),
     )
     bucketed = (
         pages.withColumn("anchors", anchors)

@@ -10,6 +10,7 @@ from corpusflow.functions.models import chunk_token_limit, model_token_limit
 from corpusflow.operators import calls
 from corpusflow.operators.chunking import token_chunks
 from corpusflow.operators.hooks import Hooks
+from corpusflow.session import materialise
 from corpusflow.sources.reports import front_matter_report, markdown_report
 
 _USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
@@ -78,7 +79,10 @@ def _answered(prepared: DataFrame, client, cache, model, now_ms, parallel, hooks
     if not client.inline:
         rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
     if cache is None:
-        called = calls.generate(rows, F.col("prompt"), client, parallel)
+        called = calls.generate(rows, F.col("prompt"), client, parallel).select("doc_id", "meta", "index", "reply")
+        if not client.inline:
+            # written, so that a lost executor never repeats finished calls
+            called = materialise(called, "answers")
     else:
         called = calls.cached_generate(rows, client, cache, model, now_ms)
     ordered = F.array_sort(F.collect_list(F.struct("index", "reply")))
@@ -111,7 +115,8 @@ def interpret(
     Short documents take one call, long ones a call per token chunk and a rolling
     summary. With a column client and no cache everything happens inside the
     document's row and nothing is shuffled; otherwise calls are spread one by one
-    and come back with one shuffle of the answers by document.
+    and come back with one shuffle of the answers by document. The replies of a
+    Python client are written to the shared folder first, which runs the calls.
     """
     hooks = hooks or Hooks()
     prepared = _prepare(docs, model, instructions, max_tokens, chunking, client, direction_client, hooks)
