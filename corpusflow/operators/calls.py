@@ -52,22 +52,23 @@ class StubClient:
         return F.concat(F.lit(STUB_MARK), F.substring_index(last_line, ".", 1))
 
     def respond(self, prompt: Column) -> Column:
-        def reply(content: Column) -> Column:
-            failed = F.lit(False) if self.fail_on is None else prompt.contains(self.fail_on)
+        # both texts are bound, so that neither is built once per counter
+        return let(prompt, lambda p: let(self.answer(p), lambda content: self._reply(p, content)))
 
-            def unless_failed(c: Column) -> Column:
-                return F.when(~failed, c)
+    def _reply(self, prompt: Column, content: Column) -> Column:
+        failed = F.lit(False) if self.fail_on is None else prompt.contains(self.fail_on)
 
-            both = F.ceil((F.length(prompt) + F.length(content)) / 4).cast("bigint")
-            return F.struct(
-                unless_failed(content).alias("content"),
-                unless_failed(coarse_tokens(prompt)).alias("prompt_tokens"),
-                unless_failed(coarse_tokens(content)).alias("completion_tokens"),
-                unless_failed(both).alias("total_tokens"),
-                F.when(failed, F.lit("HTTP_503")).alias("error"),
-            )
+        def unless_failed(c: Column) -> Column:
+            return F.when(~failed, c)
 
-        return let(self.answer(prompt), reply)
+        both = F.ceil((F.length(prompt) + F.length(content)) / 4).cast("bigint")
+        return F.struct(
+            unless_failed(content).alias("content"),
+            unless_failed(coarse_tokens(prompt)).alias("prompt_tokens"),
+            unless_failed(coarse_tokens(content)).alias("completion_tokens"),
+            unless_failed(both).alias("total_tokens"),
+            F.when(failed, F.lit("HTTP_503")).alias("error"),
+        )
 
 
 class CallableClient:

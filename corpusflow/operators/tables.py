@@ -46,6 +46,13 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, deleted: DataFrame
     return kept if deleted is None else kept.join(deleted.select(key), key, "left_anti")
 
 
+def update(current: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Changed rows replace rows with their key; changes of unknown keys come back apart."""
+    known = changes.join(current.select(key), key, "left_semi")
+    unknown = changes.join(current.select(key), key, "left_anti")
+    return current.join(changes.select(key), key, "left_anti").unionByName(known), unknown
+
+
 def prepend(current: DataFrame, created: DataFrame, position: str) -> DataFrame:
     """Put new rows in front: their positions run below the current minimum.
 
