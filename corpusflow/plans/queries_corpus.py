@@ -377,7 +377,6 @@ def _first_only(template: str, place: str, value: str) -> str:
       substr({template}, strpos({template}, '{place}') + {len(place)}) ELSE {template} END)"""
 
 
-_FILL1 = "a"
 _TEMPLATED = f"""filled0 AS (SELECT doc_id, page_no, line_no, line, CAST(line_no + 1 AS VARCHAR) AS k, CAST(page_no AS VARCHAR) AS n,
       CASE WHEN doc_id % 3 = 0 THEN '' ELSE {ov.lit(USER_TEMPLATE)} END AS t FROM v_page_lines),
     filled1 AS (SELECT *, {_first_only('t', '{chunk}', 'line')} AS a FROM filled0),
@@ -409,7 +408,6 @@ def degraded_report(spark, sf_dir):
 # --- direction answers ------------------------------------------------------------------------------
 
 
-_VALUE = "substr(l, {n})"
 _LINES = f"""ls AS (SELECT doc_id, list_transform(string_split(answer, chr(10)), lambda l: {ov.strip('l')}) AS ls FROM v_direction_answers),
     vals AS (SELECT doc_id, {', '.join(f"list_transform(list_filter(ls, lambda l: starts_with(l, {ov.lit(lab)})), lambda l: substr(l, {len(lab) + 1})) AS v{k}" for k, lab in enumerate(fv.DIRECTION_LABELS))} FROM ls)"""
 
