@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import quality
+from corpusflow.llm import licences, quality
 
 #: CRC-32 of a text's UTF-8 bytes, a table built from the polynomial and folded over the bytes.
 CRC32 = """crc_steps AS (
@@ -75,3 +75,41 @@ FROM counts"""
 
 
 QUALITY = _quality()
+
+
+def _licences() -> str:
+    rows = []
+    for name, text in licences.TEMPLATES:
+        grams = licences.template_bigrams(text)
+        low, high = licences.size_bounds(len(grams))
+        listed = ", ".join(f"'{g}'" for g in grams)
+        rows.append(f"('{name}', [{listed}], {low}, {high})")
+    least = min(licences.size_bounds(len(licences.template_bigrams(t)))[0] for _, t in licences.TEMPLATES)
+    return f"""WITH templates(license, own, low, high) AS (VALUES {", ".join(rows)}),
+plain AS (
+    SELECT row_number() OVER () AS row_no, doc_id, translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}') AS folded FROM documents
+), lined AS (SELECT row_no, doc_id, folded, string_split(folded, chr(10)) AS lines FROM plain),
+blocks AS (
+    SELECT row_no, unnest(lines) AS body, unnest(range(1, len(lines) + 1)) AS block FROM lined
+    UNION ALL SELECT row_no, folded, 0 FROM lined WHERE len(lines) > 1
+), worded AS (SELECT row_no, block, regexp_extract_all(body, '{licences.WORD}') AS ws FROM blocks),
+paired AS (
+    SELECT row_no, block, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS grams
+    FROM worded WHERE len(ws) > {least}
+), scored AS (
+    SELECT row_no, block, license, len(list_intersect(grams, own)) * 2.0::DOUBLE / (len(grams) + len(own)) AS dice
+    FROM paired JOIN templates ON len(grams) BETWEEN low AND high
+), best AS (
+    SELECT row_no, block, license, dice FROM scored WHERE dice * 100 >= {licences.THRESHOLD_PERCENT}
+    QUALIFY row_number() OVER (PARTITION BY row_no, block ORDER BY dice DESC, license) = 1
+), per_row AS (
+    SELECT row_no, count(*) AS n_found, max_by(license, (dice, -block)) AS license, max(dice) AS dice, max_by(block, (dice, -block)) AS block,
+        string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
+    FROM best GROUP BY row_no
+)
+SELECT doc_id, len(lines)::BIGINT AS n_blocks, coalesce(n_found, 0)::BIGINT AS n_found, license, round(dice, 9) AS dice, block::BIGINT AS block,
+    coalesce(licenses, '') AS licenses
+FROM lined LEFT JOIN per_row USING (row_no)"""
+
+
+LICENCES = _licences()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import oracles, packing, quality, sharding, token_counts
+from corpusflow.llm import fingerprints, language, licences, oracles, packing, piece_sampling, quality, sharding, token_counts
 from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +29,36 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query("op1_piece_sampling")
+def op1(spark, sf_dir):
+    return piece_sampling.round_trips(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query("op2_license_scan", oracles.LICENCES)
+def op2(spark, sf_dir):
+    found = licences.scan(_documents(spark, sf_dir))
+    top = F.array_max(F.transform("found", lambda b: F.struct(b["dice"].alias("dice"), (-b["block"]).alias("block"), b["license"].alias("license"))))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("found").cast("long").alias("n_found"),
+        top["license"].alias("license"),
+        F.round(top["dice"], 9).alias("dice"),
+        (-top["block"]).cast("long").alias("block"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda b: b["license"]))), ",").alias("licenses"),
+    )
+
+
 @_query("op3_quality_rules", oracles.QUALITY)
 def op3(spark, sf_dir):
     return quality.quality_rules(_documents(spark, sf_dir))
 
 
+@_query("op4_fingerprints")
+def op4(spark, sf_dir):
+    return fingerprints.edited_likeness(_documents(spark, sf_dir))
+
+
 @_query("op6_token_counts")
 def op6(spark, sf_dir):
     counts = token_counts.token_counts(
@@ -50,6 +75,11 @@ def op7(spark, sf_dir):
     )
 
 
+@_query("op9_language")
+def op9(spark, sf_dir):
+    return language.identify(_documents(spark, sf_dir))
+
+
 @_query("op10_packing")
 def op10(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
