@@ -76,6 +76,25 @@ FROM counts"""
 
 QUALITY = _quality()
 
+SHINGLE_JOIN = r"""WITH RECURSIVE plain AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), shingles AS (
+    SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END)) AS shingle FROM plain
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+met AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM met JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)
+), reach(node, seen) USING KEY (node) AS (
+    SELECT doc_id, doc_id FROM sizes
+    UNION SELECT l.a, min(r.seen) FROM links l JOIN reach r ON l.b = r.node JOIN recurring.reach own ON own.node = l.a
+    WHERE r.seen < own.seen GROUP BY l.a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(seen, doc_id) AS component_id
+FROM plain LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON node = doc_id"""
+
 
 def _licences() -> str:
     rows = []

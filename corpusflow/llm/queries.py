@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import fingerprints, language, licences, oracles, packing, piece_sampling, quality, sharding, token_counts
+from corpusflow.llm import fingerprints, language, licences, oracles, packing, piece_sampling, quality, sharding, shingle_join, token_counts
 from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op4(spark, sf_dir):
     return fingerprints.edited_likeness(_documents(spark, sf_dir))
 
 
+@_query("op5_shingle_join", oracles.SHINGLE_JOIN)
+def op5(spark, sf_dir):
+    return shingle_join.link(_documents(spark, sf_dir))
+
+
 @_query("op6_token_counts")
 def op6(spark, sf_dir):
     counts = token_counts.token_counts(
