@@ -102,3 +102,57 @@ def per_worker(key, make: Callable):
     if key not in kept.objects:
         kept.objects[key] = make()
     return kept.objects[key]
+
+
+def met_twice(limit: int, value: str, holder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over rows of packed 64-bit values and as many holders: the pairs whose value has two holders or more.
+
+    All rows of a value must be in the partition. It is read in pieces of ``limit`` values, and only distinct values with
+    their first holder are kept between them, so memory doesn't grow with the holders of one value.
+    A pair may come more than once if it came in more than one piece.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        values, who, held = [], [], 0
+        for batch in batches:
+            for v, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values.append(np.frombuffer(v, np.int64))
+                who.append(np.frombuffer(w, np.int64))
+                held += len(values[-1])
+                if held > limit:
+                    yield np.concatenate(values), np.concatenate(who)
+                    values, who, held = [], [], 0
+        if values:
+            yield np.concatenate(values), np.concatenate(who)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, first, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        for values, who in pieces(batches):
+            order = np.lexsort((who, values))
+            values, who = values[order], who[order]
+            new = np.ones(len(values), bool)
+            new[1:] = (values[1:] != values[:-1]) | (who[1:] != who[:-1])
+            values, who = values[new], who[new]
+            begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            sizes = np.diff(np.append(begins, len(values)))
+            old = other = np.zeros(len(begins), bool)
+            late = at = np.zeros(0, np.int64)
+            if len(seen):
+                at = np.minimum(np.searchsorted(seen, values[begins]), len(seen) - 1)
+                old = seen[at] == values[begins]
+                other = old & ((sizes > 1) | (first[at] != who[begins]) | known[at])
+                late = at[other & ~known[at]]  # their first holder has not been sent yet
+            out = np.repeat((sizes > 1) | other, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([values[out], seen[late]])), pa.array(np.concatenate([who[out], first[late]]))], [value, holder]
+            )
+            if len(seen):
+                known[at[other]] = True
+            add = ~old
+            seen = np.concatenate([seen, values[begins][add]])
+            first = np.concatenate([first, who[begins][add]])
+            known = np.concatenate([known, (sizes > 1)[add]])
+            order = np.argsort(seen, kind="stable")
+            seen, first, known = seen[order], first[order], known[order]
+
+    return meet

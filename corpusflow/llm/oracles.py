@@ -95,6 +95,28 @@ met AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(seen, doc_id) AS component_id
 FROM plain LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON node = doc_id"""
 
+PASSAGES = """WITH plain AS (
+    SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), places AS (
+    SELECT row_no, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM plain WHERE length(h) >= 100
+), windows AS (SELECT row_no, doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM places),
+early AS (
+    SELECT row_no, p FROM windows JOIN (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING count(*) > 1) USING (w) WHERE first < doc_id
+), islands AS (
+    SELECT row_no, p, sum(CASE WHEN p > last + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY row_no ORDER BY p) AS island
+    FROM (SELECT row_no, p, coalesce(lag(p) OVER (PARTITION BY row_no ORDER BY p), p) AS last FROM early)
+), spans AS (SELECT row_no, island, min(p) AS a, max(p) + 50 AS b FROM islands GROUP BY row_no, island),
+gaps AS (
+    SELECT row_no, a, b, lead(a) OVER (PARTITION BY row_no ORDER BY a) AS next_a, row_number() OVER (PARTITION BY row_no ORDER BY a) AS nth FROM spans
+), kept AS (
+    SELECT row_no, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+        string_agg(CASE WHEN nth = 1 THEN substr(h, 1, 2 * a) ELSE '' END || substr(h, 2 * b + 1, 2 * (coalesce(next_a, length(h) // 2) - b)), '' ORDER BY a) AS rest
+    FROM gaps JOIN plain USING (row_no) GROUP BY row_no
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM plain LEFT JOIN kept USING (row_no)"""
+
 
 def _licences() -> str:
     rows = []

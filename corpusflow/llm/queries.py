@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import fingerprints, language, licences, oracles, packing, piece_sampling, quality, sharding, shingle_join, token_counts
+from corpusflow.llm import fingerprints, language, licences, oracles, packing, passages, piece_sampling, quality, sharding, shingle_join, token_counts
 from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,12 @@ def op7(spark, sf_dir):
     )
 
 
+@_query("op8_passages", oracles.PASSAGES)
+def op8(spark, sf_dir):
+    cut = passages.dedup(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op9_language")
 def op9(spark, sf_dir):
     return language.identify(_documents(spark, sf_dir))

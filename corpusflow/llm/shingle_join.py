@@ -173,51 +173,10 @@ def shared_parts(documents: DataFrame, text: str, salt: int, tasks: int) -> Data
             ]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *packed], ["bucket", "digests", "who"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        digests, who, held = [], [], 0
-        for batch in batches:
-            for d, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                digests.append(np.frombuffer(d, np.int64))
-                who.append(np.frombuffer(w, np.int64))
-                held += len(digests[-1])
-                if held > 2 * TASK_DIGESTS:
-                    yield np.concatenate(digests), np.concatenate(who)
-                    digests, who, held = [], [], 0
-        if digests:
-            yield np.concatenate(digests), np.concatenate(who)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, first, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        for digest, who in pieces(batches):
-            order = np.lexsort((who, digest))
-            digest, who = digest[order], who[order]
-            new = np.ones(len(digest), bool)
-            new[1:] = (digest[1:] != digest[:-1]) | (who[1:] != who[:-1])  # copies in other blocks
-            digest, who = digest[new], who[new]
-            begins = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
-            sizes = np.diff(np.append(begins, len(digest)))
-            at = np.minimum(np.searchsorted(seen, digest[begins]), max(0, len(seen) - 1))
-            old = seen[at] == digest[begins] if len(seen) else np.zeros(len(begins), bool)
-            other = old & ((sizes > 1) | (first[at] != who[begins]) | known[at]) if len(seen) else old
-            shared = (sizes > 1) | other
-            out = np.repeat(shared, sizes)
-            late = at[other & ~known[at]] if len(seen) else at[:0]  # their first set wasn't sent yet
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([digest[out], seen[late]])), pa.array(np.concatenate([who[out], first[late]]))], ["part", "who"]
-            )
-            if len(seen):
-                known[at[other]] = True
-            add = ~old
-            seen, first, known = (
-                np.concatenate([seen, digest[begins][add]]), np.concatenate([first, who[begins][add]]), np.concatenate([known, (sizes > 1)[add]]),
-            )
-            order = np.argsort(seen, kind="stable")
-            seen, first, known = seen[order], first[order], known[order]
-
     packed = documents.select(F.col(text).alias("text")).mapInArrow(emit, "bucket int, digests binary, who binary")
     dealt = packed.repartition(tasks, "bucket").select("digests", "who")
     # a set that two blocks hold may come twice
-    return dealt.mapInArrow(meet, "part long, who long")
+    return dealt.mapInArrow(common.met_twice(2 * TASK_DIGESTS, "part", "who"), "part long, who long")
 
 
 def _distance(a: str, b: str) -> Column:
