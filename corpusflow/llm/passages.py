@@ -70,20 +70,14 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int) -> DataFrame:
             of, digest = of[first[of]], digest[first[of]]
             if not len(of):
                 continue
-            bucket = (digest % np.uint64(tasks)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, digest, who = bucket[order], digest[order], names[of[order]]
-            begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            offsets = np.append(begins, len(bucket)).astype(np.int64) * 8
-            packed = [pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(x)]).cast(pa.binary()) for x in (digest, who)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *packed], ["bucket", "digests", "who"])
-
-    packed = documents.select(F.col(text).alias("text")).mapInArrow(emit, "bucket int, digests binary, who binary")
-    dealt = packed.repartition(tasks, "bucket").select("digests", "who")
+            yield common.packed(digest, names[of], tasks)
+
+    packed = documents.select(F.col(text).alias("text")).mapInArrow(emit, common.PACKED)
+    dealt = packed.repartition(tasks, "bucket")
     return dealt.mapInArrow(common.met_twice(2 * TASK_DIGESTS, "anchor", "name"), "anchor long, name long")
 
 
-def _strings(texts: DataFrame) -> DataFrame:
+def _strings(texts: DataFrame, tasks: int) -> DataFrame:
     """Strings of windows with one anchor, for the anchors listed with each text: anchor, bytes, digest, id, name, place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +85,12 @@ def _strings(texts: DataFrame) -> DataFrame:
             data, offsets = common.text_bytes(block.column("text"))
             own = _names(_text_list(data, offsets)) == block.column("name").to_numpy(zero_copy_only=False)
             of, first, count, digest, _ = anchors.window_groups(data, offsets, WINDOW, GRAM)
+            short = common.short(digest, tasks).view(np.uint64)
             wanted = block.column("anchors")
             flat = wanted.flatten().to_numpy(zero_copy_only=False)
             sizes = pa.compute.list_value_length(wanted).to_numpy(zero_copy_only=False)
             listed = common.mix(flat.view(np.uint64)) ^ common.mix(np.repeat(np.arange(block.num_rows), sizes))
-            asked = np.isin(common.mix(digest) ^ common.mix(of), listed) & own[of]
+            asked = np.isin(common.mix(short) ^ common.mix(of), listed) & own[of]
             of, first, count, digest = of[asked], first[asked], count[asked], digest[asked]
             whole = data.tobytes()
             strings = [whole[a : a + c + WINDOW - 1] for a, c in zip(first.tolist(), count.tolist())]
@@ -201,7 +196,7 @@ def removed_spans(documents: DataFrame, key: str = "doc_id", text: str = "text")
     listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors")
 
     texts = rows.repartition(max(parts, total // 16_000_000 + 1), "id")
-    strings = _strings(texts.join(listed, "id"))
+    strings = _strings(texts.join(listed, "id"), tasks)
     distinct = strings.groupBy("anchor", "digest").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"))
     distinct = materialise(distinct, "strings")
     # an anchor all of whose strings are one text's own can't matter, one with a single string needs no comparing

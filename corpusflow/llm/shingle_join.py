@@ -29,6 +29,9 @@ SMALL = 64
 #: Part digests a task of the pigeonhole join gets, about.
 TASK_DIGESTS = 1_000_000
 
+#: So many ids are broadcast to the scan at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -163,18 +166,10 @@ def shared_parts(documents: DataFrame, text: str, salt: int, tasks: int) -> Data
             who = np.concatenate([name[f[1]] | step for step, f in enumerate(found)])
             if not len(digest):
                 continue
-            bucket = (digest % np.uint64(tasks)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, digest, who = bucket[order], digest[order], who[order]
-            begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            offsets = np.append(begins, len(bucket)).astype(np.int64) * 8
-            packed = [
-                pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(x)]).cast(pa.binary()) for x in (digest, who)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *packed], ["bucket", "digests", "who"])
-
-    packed = documents.select(F.col(text).alias("text")).mapInArrow(emit, "bucket int, digests binary, who binary")
-    dealt = packed.repartition(tasks, "bucket").select("digests", "who")
+            yield common.packed(digest, who, tasks)
+
+    packed = documents.select(F.col(text).alias("text")).mapInArrow(emit, common.PACKED)
+    dealt = packed.repartition(tasks, "bucket")
     # a set that two blocks hold may come twice
     return dealt.mapInArrow(common.met_twice(2 * TASK_DIGESTS, "part", "who"), "part long, who long")
 
@@ -220,29 +215,32 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         salt += 1  # two different sets got one name; the next names are others
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TASK_DIGESTS + 1)
-    shared = materialise(shared_parts(documents, text, salt, tasks), "shared-parts").distinct()
+    shared = materialise(shared_parts(documents, text, salt, tasks), "shared-parts")
 
     # each set joins on its rarest parts only: of its agreeing parts with a linked one, one is among them
     counts = shared.groupBy("part").agg(F.count("*").alias("sets"))
-    ranked = shared.join(counts, "part").where("sets > 1").groupBy("who").agg(F.sort_array(F.collect_list(F.struct("sets", "part"))).alias("parts"))
+    ranked = shared.join(counts, "part").groupBy("who").agg(F.sort_array(F.collect_set(F.struct("sets", "part"))).alias("parts"))
     ranked = ranked.select(F.expr("who & ~1L").alias("name"), (F.col("who").bitwiseAND(F.lit(1)) == 1).alias("next"), "parts").join(nodes, "name")
     keep = F.size("parts") - F.greatest(F.when(F.col("next"), F.col("slack_1")).otherwise(F.col("slack_0")), F.lit(0))
-    rarest = ranked.where(keep > 0).select("name", "n", "sketch", F.explode(F.slice("parts", F.lit(1), keep.cast("int"))["part"]).alias("part"))
+    rarest = ranked.where(keep > 0).select("name", F.explode(F.slice("parts", F.lit(1), keep.cast("int"))["part"]).alias("part"))
     joined = materialise(rarest, "rarest-parts")
+    sketches = nodes.select("name", "n", "sketch")
 
     # first one candidate per set: of the smallest names among those that share its parts, the most similar one
-    least = joined.groupBy("part").agg(F.min(F.struct("name", "n", "sketch")).alias("y"))
-    star = joined.alias("x").join(least, "part").where((F.col("x.name") != F.col("y.name")) & _may_link("x", "y"))
-    best = star.groupBy("x.name").agg(F.min(F.struct(_distance("x.sketch", "y.sketch").alias("d"), F.col("y.name").alias("b"))).alias("best"))
+    least = joined.groupBy("part").agg(F.min("name").alias("b"))
+    star = joined.join(least, "part").where("name <> b").select(F.col("name").alias("a"), "b").distinct()
+    x, y = (sketches.select(F.col("name").alias(c), F.struct("n", "sketch").alias(r)) for c, r in (("a", "x"), ("b", "y")))
+    near = star.join(x, "a").join(y, "b").where(_may_link("x", "y"))
+    best = near.groupBy("a").agg(F.min(F.struct(_distance("x.sketch", "y.sketch").alias("d"), "b"))["b"].alias("b"))
     wanted = joined.select("name").distinct()
     sets = _sets_of(documents, key, text, salt, wanted, nodes)
-    first = materialise(_verified(best.select(F.col("name").alias("a"), F.col("best.b").alias("b")), sets), "links")
+    first = materialise(_verified(best, sets), "links")
     found = components(first)
 
     # then all pairs of one part that are not yet in one component
     labelled = joined.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     open_parts = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
-    rest = materialise(labelled.join(open_parts, "part", "left_semi"), "open-parts")
+    rest = materialise(labelled.join(open_parts, "part", "left_semi").join(sketches, "name"), "open-parts")
     across = rest.alias("x").join(rest.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component")) & _may_link("x", "y"))
     second = _verified(across.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), sets)
     reached = components(first.unionByName(second))
@@ -268,7 +266,9 @@ def _sets_of(documents: DataFrame, key: str, text: str, salt: int, wanted: DataF
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))], ["node", "shingles"])
 
     # rows that share a key with a wanted one give sets of other names, which go again
-    ids = nodes.join(wanted, "name", "left_semi").select(F.col("id").alias("id"))
+    ids = materialise(nodes.join(wanted, "name", "left_semi").select("id"), "wanted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).alias("t")
     texts = texts.join(ids.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")), "left_semi")
     sets = texts.select("text").mapInArrow(work, "node long, shingles array<long>")
