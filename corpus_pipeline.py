@@ -5,15 +5,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import packing, quality
+from corpusflow.llm import language, packing, passages, quality, shingle_join
 from corpusflow.session import scratch_path
 
+#: Documents whose language is less certain than this are rejected; an even guess among four is 0.25.
+MIN_LANGUAGE_SCORE = 0.4
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.keep_good(docs)
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model, learned from the documents of this stage, is sure enough of."""
+    return language.keep_known(docs, MIN_LANGUAGE_SCORE)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    return shingle_join.one_per_component(docs)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that earlier ones have too; n_chars follows the text."""
+    return passages.cut_documents(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All kept documents as pieces of full token sequences."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -21,6 +39,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", good_quality),
+    ("language_id", known_language),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("suffix_array_dedup", without_repeated_passages),
     ("packing", packed),
 ]
 

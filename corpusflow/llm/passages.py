@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.llm import anchors, common
 from corpusflow.llm.suffixes import suffix_arrays
@@ -175,14 +176,15 @@ def _earliest(distinct: DataFrame) -> DataFrame:
     return distinct.select("anchor", "digest", "bytes", "id").mapInArrow(work, "anchor long, digest long, earliest array<long>")
 
 
-def removed_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, spans, copies) of the rows with a key.
+def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -> DataFrame:
+    """id, text, what is ``carried``, and what is to be removed from each row.
 
-    ``texts`` is (id, text), dealt by id; ``spans`` is one row per id with ``covered``, an array of (name, first,
-    last window) to be removed; ``copies`` is id, name of rows whose whole text an earlier document has.
+    ``covered`` is an array of (name, place, windows): in the text of that name, the windows at place + each of windows go.
+    ``copied`` holds the names of the row's key whose whole text an earlier document has. Texts are shuffled once, by id.
     """
     spark = documents.sparkSession
-    rows = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    plain = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *carried)
+    rows = plain.where("id IS NOT NULL")
     names = materialise(named(rows, "id", "text"), "named")
     nodes = names.groupBy("name").agg(F.min("id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
     nodes = materialise(nodes, "named-once")
@@ -218,12 +220,13 @@ def removed_spans(documents: DataFrame, key: str = "doc_id", text: str = "text")
     hits = hits.select("id", "name", "place", early.alias("early")).where(F.array_contains("early", True))
     edges = F.filter(F.sequence(F.lit(0), F.size("early") - 1), lambda k: F.get("early", k))
     spans = hits.select("id", F.struct("name", "place", edges.alias("windows")).alias("covered")).groupBy("id").agg(F.collect_list("covered").alias("covered"))
-    copies = names.join(nodes, "name").where("first < id").select("id", "name").distinct()
-    return texts, spans, copies.groupBy("id").agg(F.collect_set("name").alias("copied"))
+    copies = names.join(nodes, "name").where("first < id").groupBy("id").agg(F.collect_set("name").alias("copied"))
+    marked = texts.join(spans, "id", "left").join(copies, "id", "left")
+    return marked.unionByName(plain.where("id IS NULL"), allowMissingColumns=True)
 
 
-def _cut(block: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarray, list[int]]:
-    """Texts, what is kept of them, bytes and runs removed."""
+def _cut(block: pa.RecordBatch) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, list[int]]:
+    """Bytes of each text, the pieces that are kept of it, bytes and runs removed."""
     data, offsets = common.text_bytes(block.column("text"))
     texts = _text_list(data, offsets)
     names = _names(texts)
@@ -243,8 +246,8 @@ def _cut(block: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarray, l
         starts, ends = common.runs(mask)
         n_runs.append(len(starts))
         removed.append(int((ends - starts).sum()))
-        kept.append(b"".join(t[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(t)])))
-    return texts, kept, np.array(removed, np.int64), n_runs
+        kept.append([t[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(t)])])
+    return np.diff(offsets), kept, np.array(removed, np.int64), n_runs
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,17 +257,41 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     is the input, never what is left. Texts shorter than a window lose nothing; null texts are empty; rows that share a
     key don't judge each other; rows without a key neither judge nor lose anything; no rows give no rows.
     """
-    texts, spans, copies = removed_spans(documents, key, text)
-    joined = texts.join(spans, "id", "left").join(copies, "id", "left")
-    lonely = documents.where(F.col(key).isNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    joined = joined.unionByName(lonely, allowMissingColumns=True)
+    marked = with_removals(documents, key, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
-            texts, kept, removed, n_runs = _cut(block)
-            sizes = pa.array([len(t) for t in texts], pa.int64())
+            sizes, pieces, removed, n_runs = _cut(block)
+            kept = [b"".join(p) for p in pieces]
             yield pa.RecordBatch.from_arrays(
-                [block.column("id"), sizes, pa.array(removed), pa.array(n_runs, pa.int64()), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept"]
+                [block.column("id"), pa.array(sizes), pa.array(removed), pa.array(n_runs, pa.int64()), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    return joined.select("id", "text", "covered", "copied").mapInArrow(work, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return marked.mapInArrow(work, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """All rows with all their columns, their text without what ``dedup`` removes.
+
+    Where a removed run ends inside a character, the rest of the character goes too. A text that is wholly removed becomes
+    empty, a null text stays null. ``length``, if there is such a column, becomes the characters of the new text.
+    """
+    names = [c for c in documents.columns if c != text]
+    marked = with_removals(documents, key, text, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    row = marked.select("row").schema.fields[0]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text", 2_000_000):
+            _, pieces, _, _ = _cut(block)
+            missing = block.column("text").is_null().to_pylist()
+            texts = [None if m else "".join(p.decode("utf-8", "ignore") for p in own) for m, own in zip(missing, pieces)]
+            yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+    cut = marked.mapInArrow(work, T.StructType([row, T.StructField("text", T.StringType())]))
+
+    def value(c: str) -> Column:
+        if c == text:
+            return F.col("text").alias(c)
+        return F.length("text").cast(documents.schema[c].dataType).alias(c) if c == length else F.col(f"row.`{c}`").alias(c)
+
+    return cut.select(*map(value, documents.columns))

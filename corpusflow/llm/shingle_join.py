@@ -254,6 +254,30 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     )
 
 
+def one_per_component(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows whose key names their component, with all their columns: one of each group of near copies.
+
+    Equal rows (key and text) are one; rows that share a key but not the text go together, if all of them reach a
+    smaller key; rows without a key stay. The rows to go are sent to the scan if their ids are few enough to be
+    broadcast, and meet the rows by a shuffle otherwise.
+    """
+    labels = link(documents, key, text).where(F.col(key).isNotNull()).select(F.col(key).alias("id"), "component_id")
+    per_key = materialise(labels.groupBy("id").agg(F.count("*").alias("rows"), F.max(F.col("id") == F.col("component_id")).alias("stays")), "labels")
+
+    def ids(condition: Column) -> DataFrame:
+        some = per_key.where(condition).select(F.col("id").alias("_gone"))
+        return F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+
+    kept = documents.join(ids(~F.col("stays")), F.col(key) == F.col("_gone"), "left_anti")
+    repeated = F.col("stays") & (F.col("rows") > 1)
+    if not per_key.where(repeated).limit(1).count():
+        return kept
+    once = kept.join(ids(repeated), F.col(key) == F.col("_gone"), "left_anti")
+    again = kept.join(ids(repeated), F.col(key) == F.col("_gone"), "left_semi")
+    packed_rows = again.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("content"))
+    return once.unionByName(packed_rows.dropDuplicates(["id", "content"]).select("row.*"))
+
+
 def _sets_of(documents: DataFrame, key: str, text: str, salt: int, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and its shingles for the wanted names: one text per name is read again."""
 
