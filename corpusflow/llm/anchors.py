@@ -50,51 +50,23 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_groups(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one anchor: text, first window, number of windows, anchor's hash.
+    """Runs of neighbouring windows with one anchor: text, first window, number of windows, anchor.
 
-    The anchor of a window is the smallest hash among its grams; a run ends where that changes, or where another
-    gram with the same hash takes over, so that equal windows lie at equal distances from their anchors.
-    ``first`` is a place in ``data``. Windows never cross texts.
+    The anchor of a window is the smallest hash among its grams. ``first`` is a place in ``data``. Windows never cross texts.
     """
     n = len(data) - window + 1
     if n <= 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, np.uint64)
-    grams = gram_hashes(data, gram)
-    width = window - gram + 1
-    low = sliding_min(grams, width)
-    # the first gram of the window that has the smallest hash: the next place at or behind the window's start
-    at = np.flatnonzero(grams[: len(low) + width - 1] == np.minimum(_forward(low, width), grams))
-    return _runs(grams, low, at, offsets, window, len(data))
-
-
-def _forward(low: np.ndarray, width: int) -> np.ndarray:
-    """Largest of the minima of the windows that hold each gram."""
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    return ~sliding_min(~padded, width)
-
-
-def _runs(grams, low, at, offsets, window, size):
-    """``at``: places of grams that are the smallest of some window."""
-    n = len(low)
-    # windows whose start is behind the anchor before this one, and whose smallest hash is this one's
-    starts = np.arange(n)
-    nxt = np.searchsorted(at, starts)
-    # the smallest gram of a window is the first selected one at or behind its start whose hash is the minimum
-    anchor = at[np.minimum(nxt, len(at) - 1)]
-    wrong = np.flatnonzero(grams[anchor] != low)
-    step = nxt[wrong]
-    while len(wrong):
-        step = step + 1
-        anchor[wrong] = at[step]
-        still = grams[anchor[wrong]] != low[wrong]
-        wrong, step = wrong[still], step[still]
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    inside = starts + window <= offsets[text + 1]
-    begins = np.ones(n, bool)
-    begins[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (text[1:] != text[:-1])
+    low = sliding_min(gram_hashes(data, gram), window - gram + 1)
+    begins = np.ones(n + 1, bool)
+    np.not_equal(low[1:], low[:-1], out=begins[1:-1])
+    # windows of a text begin with it and end ``window`` bytes before it ends
+    starts, ends = offsets[:-1], np.maximum(offsets[1:] - window + 1, offsets[:-1])
+    begins[starts[starts < n]] = True
+    begins[ends[ends < n]] = True
     first = np.flatnonzero(begins)
-    counts = np.diff(np.append(first, n))
-    keep = inside[first]
-    first, counts = first[keep], counts[keep]
-    return text[first], first, counts, grams[anchor[first]], anchor[first]
+    first, counts = first[:-1], np.diff(first)
+    text = np.searchsorted(offsets, first, side="right") - 1
+    inside = first < ends[text]
+    return text[inside], first[inside], counts[inside], low[first[inside]]

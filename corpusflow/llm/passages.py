@@ -64,7 +64,7 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int) -> DataFrame:
         for block in common.blocks(batches, "text", 2_000_000):
             data, offsets = common.text_bytes(block.column("text"))
             names = _names(_text_list(data, offsets))
-            of, _, _, digest, _ = anchors.window_groups(data, offsets, WINDOW, GRAM)
+            of, _, _, digest = anchors.window_groups(data, offsets, WINDOW, GRAM)
             _, once = np.unique(names, return_index=True)
             first = np.zeros(block.num_rows, bool)
             first[once] = True
@@ -78,14 +78,14 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int) -> DataFrame:
     return dealt.mapInArrow(common.met_twice(2 * TASK_DIGESTS, "anchor", "name"), "anchor long, name long")
 
 
-def _strings(texts: DataFrame, tasks: int) -> DataFrame:
-    """Strings of windows with one anchor, for the anchors listed with each text: anchor, bytes, digest, id, name, place."""
+def _occurrences(texts: DataFrame, tasks: int) -> DataFrame:
+    """Strings of windows with one anchor, for the anchors listed with each text: anchor, digest, id, name, place, windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
             data, offsets = common.text_bytes(block.column("text"))
             own = _names(_text_list(data, offsets)) == block.column("name").to_numpy(zero_copy_only=False)
-            of, first, count, digest, _ = anchors.window_groups(data, offsets, WINDOW, GRAM)
+            of, first, count, digest = anchors.window_groups(data, offsets, WINDOW, GRAM)
             short = common.short(digest, tasks).view(np.uint64)
             wanted = block.column("anchors")
             flat = wanted.flatten().to_numpy(zero_copy_only=False)
@@ -94,16 +94,38 @@ def _strings(texts: DataFrame, tasks: int) -> DataFrame:
             asked = np.isin(common.mix(short) ^ common.mix(of), listed) & own[of]
             of, first, count, digest = of[asked], first[asked], count[asked], digest[asked]
             whole = data.tobytes()
-            strings = [whole[a : a + c + WINDOW - 1] for a, c in zip(first.tolist(), count.tolist())]
-            names = np.array([xxhash.xxh3_64_intdigest(s) for s in strings], np.uint64).view(np.int64)
+            strings = [xxhash.xxh3_64_intdigest(whole[a : a + c + WINDOW - 1]) for a, c in zip(first.tolist(), count.tolist())]
             at = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest.view(np.int64)), pa.array(strings, pa.binary()), pa.array(names), block.column("id").take(at), block.column("name").take(at),
-                 pa.array((first - offsets[of]).astype(np.int32))],
-                ["anchor", "bytes", "digest", "id", "name", "place"],
+                [pa.array(digest.view(np.int64)), pa.array(np.array(strings, np.uint64).view(np.int64)), block.column("id").take(at), block.column("name").take(at),
+                 pa.array((first - offsets[of]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                ["anchor", "digest", "id", "name", "place", "windows"],
             )
 
-    return texts.mapInArrow(work, "anchor long, bytes binary, digest long, id long, name long, place int")
+    return texts.mapInArrow(work, "anchor long, digest long, id long, name long, place int, windows int")
+
+
+def _strings(texts: DataFrame) -> DataFrame:
+    """The bytes that are ``asked`` of each text: anchor, digest, id, n, bytes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text", 2_000_000):
+            data, offsets = common.text_bytes(block.column("text"))
+            names = _names(_text_list(data, offsets))
+            whole, asked = data.tobytes(), block.column("asked")
+            flat = asked.flatten()
+            of = np.repeat(np.arange(block.num_rows), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
+            mine = names[of] == flat.field("name").to_numpy(zero_copy_only=False)
+            flat, of = flat.filter(pa.array(mine)), of[mine]
+            first = offsets[of] + flat.field("place").to_numpy(zero_copy_only=False)
+            size = flat.field("windows").to_numpy(zero_copy_only=False) + WINDOW - 1
+            out = [whole[a : a + n] for a, n in zip(first.tolist(), size.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("anchor"), flat.field("digest"), block.column("id").take(pa.array(of)), flat.field("n"), pa.array(out, pa.binary())],
+                ["anchor", "digest", "id", "n", "bytes"],
+            )
+
+    return texts.mapInArrow(work, "anchor long, digest long, id long, n long, bytes binary")
 
 
 def earliest_windows(strings: list[bytes], ids: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
@@ -179,7 +201,7 @@ def _earliest(distinct: DataFrame) -> DataFrame:
 def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -> DataFrame:
     """id, text, what is ``carried``, and what is to be removed from each row.
 
-    ``covered`` is an array of (name, place, windows): in the text of that name, the windows at place + each of windows go.
+    ``covered`` is an array of (name, spans): in the text of that name, windows go from span >> 32 on, up to the low half of span.
     ``copied`` holds the names of the row's key whose whole text an earlier document has. Texts are shuffled once, by id.
     """
     spark = documents.sparkSession
@@ -195,31 +217,37 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     tasks = max(parts, total // 16 // TASK_DIGESTS + 1)
     shared = shared_anchors(rows, "text", tasks)
     listed = shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors")).join(nodes.select("name", "first"), "name")
-    listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors")
+    listed = listed.select(F.col("first").alias("id"), "name", "anchors")
 
-    texts = rows.repartition(max(parts, total // 16_000_000 + 1), "id")
-    strings = _strings(texts.join(listed, "id"), tasks)
-    distinct = strings.groupBy("anchor", "digest").agg(F.min("id").alias("id"), F.first("bytes").alias("bytes"))
-    distinct = materialise(distinct, "strings")
-    # an anchor all of whose strings are one text's own can't matter, one with a single string needs no comparing
+    # texts and strings are dealt once each; what follows joins them where they are
+    tasks_by_size = max(parts, total // 16_000_000 + 1)
+    texts = rows.repartition(tasks_by_size, "id")
+    found = _occurrences(texts.join(listed, "id"), tasks).repartition(tasks_by_size, "anchor", "digest")
+    distinct = found.groupBy("anchor", "digest").agg(F.min(F.struct("id", "name", "place", "windows")).alias("own"))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-    several = distinct.join(sizes, "anchor")
-    single = several.where("n = 1").select("anchor", "digest", F.array_repeat("id", (F.octet_length("bytes") - (WINDOW - 1)).cast("int")).alias("earliest"))
-    compared = several.where((F.col("n") > 1) & (F.col("n") <= MAX_STRINGS)).repartition(max(parts, total // 16_000_000 + 1), "anchor").sortWithinPartitions("anchor")
+    several = distinct.select("anchor", "digest", "own.*").join(sizes, "anchor")
+    # a single string needs no comparing: all its windows are its first holder's
+    single = several.where("n = 1").select("anchor", "digest", F.array_repeat("id", F.col("windows")).alias("earliest"))
+    asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
+    strings = _strings(texts.join(asked, "id")).repartition(tasks_by_size, "anchor")
+    compared = strings.where(F.col("n") <= MAX_STRINGS).sortWithinPartitions("anchor")
     # windows of the others, each whole
-    crowded = several.where(F.col("n") > MAX_STRINGS)
-    window_no = F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)
-    windows = crowded.select("anchor", "digest", "id", "bytes", F.explode(window_no).alias("nth"))
+    windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
     windows = windows.select("anchor", "digest", "id", "nth", F.expr(f"substring(bytes, nth + 1, {WINDOW})").alias("window"))
     low = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"))
     split = windows.join(low, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.array_sort(F.collect_list(F.struct("nth", "low")))["low"].alias("earliest"))
-    earliest = materialise(single.unionByName(_earliest(compared)).unionByName(split), "earliest")
-    # as runs of windows that an earlier document has
-    hits = strings.select("anchor", "digest", "id", "name", "place").join(earliest, ["anchor", "digest"])
+    earliest = single.unionByName(_earliest(compared)).unionByName(split)
+    # the windows that an earlier document has
+    hits = found.join(earliest, ["anchor", "digest"])
     early = F.transform("earliest", lambda e: e < F.col("id"))
     hits = hits.select("id", "name", "place", early.alias("early")).where(F.array_contains("early", True))
-    edges = F.filter(F.sequence(F.lit(0), F.size("early") - 1), lambda k: F.get("early", k))
-    spans = hits.select("id", F.struct("name", "place", edges.alias("windows")).alias("covered")).groupBy("id").agg(F.collect_list("covered").alias("covered"))
+    size = F.size("early")
+    begins = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("early", k) & ~F.coalesce(F.get("early", k - 1), F.lit(False)))
+    ends = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("early", k) & ~F.coalesce(F.get("early", k + 1), F.lit(False)))
+    place = F.col("place").cast("long")
+    both = F.zip_with(begins, ends, lambda a, b: F.shiftleft(place + a, 32).bitwiseOR(place + b + 1))
+    spans = hits.select("id", "name", F.explode(both).alias("span")).repartition(tasks_by_size, "id")
+    spans = spans.groupBy("id", "name").agg(F.collect_list("span").alias("spans")).groupBy("id").agg(F.collect_list(F.struct("name", "spans")).alias("covered"))
     copies = names.join(nodes, "name").where("first < id").groupBy("id").agg(F.collect_set("name").alias("copied"))
     marked = texts.join(spans, "id", "left").join(copies, "id", "left")
     return marked.unionByName(plain.where("id IS NULL"), allowMissingColumns=True)
@@ -239,9 +267,9 @@ def _cut(block: pa.RecordBatch) -> tuple[np.ndarray, list[list[bytes]], np.ndarr
             depth = np.zeros(len(t) + 1, np.int64)
             for c in covered or ():
                 if c["name"] == name:
-                    at = np.array(c["windows"], np.int64) + c["place"]
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + WINDOW, -1)
+                    spans = np.array(c["spans"], np.int64)
+                    np.add.at(depth, spans >> 32, 1)
+                    np.add.at(depth, (spans & 0xFFFFFFFF) - 1 + WINDOW, -1)
             mask = np.cumsum(depth)[:-1] > 0
         starts, ends = common.runs(mask)
         n_runs.append(len(starts))
