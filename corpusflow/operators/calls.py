@@ -138,7 +138,7 @@ def chunked_generate(
     df: DataFrame,
     client,
     size: int = fv.CLIENT_CHUNK_SIZE,
-    max_chunks: int = fv.CLIENT_CHUNK_COUNT,
+    max_chunks: int | None = None,
     template: str | None = None,
     key: str = "doc_id",
     text: str = "text",
@@ -146,7 +146,8 @@ def chunked_generate(
     """One request per document, cut into parts when it is long.
 
     ``(key, parts, content, error)``: the answers of the parts are merged in
-    order; the first failed part fails the request.
+    order; the first failed part fails the request. All parts are called unless
+    ``max_chunks`` is given.
     """
     body = F.col(text)
     parts = F.when(needs_chunking(body, size), F.transform(text_chunks(body, size, max_chunks), lambda c: c["content"]))

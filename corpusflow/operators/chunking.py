@@ -122,11 +122,12 @@ def last_index(reversed_window: Column, size: Column, mark: str) -> Column:
     return F.coalesce(size - found + (1 - len(mark)), F.lit(-1))
 
 
-def _spans(text: Column, size: int, steps: int, break_length, last_uncut: bool) -> Column:
+def _spans(text: Column, size: int, steps: int | None, break_length, last_uncut: bool) -> Column:
     """Fold over a text that cuts windows of ``size``; returns ``array<struct<start, chars>>``.
 
     Only offsets are carried. ``break_length`` maps (reversed window, length) to
     the length to keep; ``last_uncut`` skips the break search in the last step.
+    Without ``steps`` the whole text is cut.
     """
     empty = F.array().cast("array<struct<start:int,chars:int>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
@@ -138,7 +139,7 @@ def _spans(text: Column, size: int, steps: int, break_length, last_uncut: bool)
 
         def step(state: Column, number: Column) -> Column:
             more = state["at"] + size < n
-            if last_uncut:
+            if last_uncut and steps is not None:
                 more = more & (number < steps)
             length = F.when(more, kept(state)).otherwise(F.least(F.lit(size), n - state["at"])).cast("int")
 
@@ -151,7 +152,8 @@ def _spans(text: Column, size: int, steps: int, break_length, last_uncut: bool)
             return F.when(state["at"] < n, let(length, advance)).otherwise(state)
 
         # no more steps than the text can fill: each cut keeps more than half a window
-        needed = F.least(F.lit(steps), F.greatest(F.lit(1), (F.ceil(n * 2 / size) + 1).cast("int")))
+        needed = F.greatest(F.lit(1), (F.ceil(n * 2 / size) + 1).cast("int"))
+        needed = needed if steps is None else F.least(F.lit(steps), needed)
         return F.aggregate(F.sequence(F.lit(1), needed), start, step, lambda s: s["spans"])
 
     return let(F.length(text), fold)
@@ -168,12 +170,12 @@ def _ranked_break(window: Column, n: Column) -> Column:
 
 
 def text_chunks(
-    text: Column, size: int = fv.TEXT_CHUNK_SIZE, max_chunks: int = fv.TEXT_CHUNK_COUNT
+    text: Column, size: int = fv.TEXT_CHUNK_SIZE, max_chunks: int | None = None
 ) -> Column:
     """Fixed-size chunks cut at the latest break past the middle.
 
     ``array<struct<content, start, chars>>``; a blank text gives one empty chunk.
-    Text past ``max_chunks`` chunks is not covered, see ``dropped_chars``.
+    The whole text is covered; text past ``max_chunks`` chunks, if given, is not, see ``dropped_chars``.
     """
     spans = _spans(text, size, max_chunks, _latest_break, last_uncut=True)
     cut = F.transform(
@@ -200,27 +202,31 @@ def page_texts(text: Column) -> Column:
 
 def page_range_chunks(
     text: Column,
-    ranges: list[tuple[int, int]],
+    ranges: list[tuple[int, int | None]],
     size: int = fv.TEXT_CHUNK_SIZE,
-    max_chunks: int = fv.TEXT_CHUNK_COUNT,
+    max_chunks: int | None = None,
 ) -> Column:
-    """Chunks of page ranges; ``max_chunks`` counts over all ranges.
+    """Chunks of page ranges; a range without an end goes to the last page.
 
-    ``array<struct<content, start_page, end_page, chars>>``. All ranges are cut
-    first; the last allowed chunk then takes its full window.
+    ``array<struct<content, start_page, end_page, chars>>``. ``max_chunks``, if
+    given, counts over all ranges: all are cut first; the last allowed chunk then
+    takes its full window.
     """
 
-    def range_text(pages: Column, first: int, last: int) -> Column:
-        picked = strip(F.array_join(F.slice(pages, first, last - first + 1), "\n\n"))
+    def end(pages: Column, first: int, last: int | None) -> Column:
+        return F.greatest(F.size(pages), F.lit(first)) if last is None else F.lit(last)
+
+    def range_text(pages: Column, first: int, last: int | None) -> Column:
+        picked = strip(F.array_join(F.slice(pages, F.lit(first), end(pages, first, last) - first + 1), "\n\n"))
         return F.when(F.size(pages) <= 1, text).otherwise(picked)
 
-    def pieces(body: Column, first: int, last: int) -> Column:
+    def pieces(body: Column, first: int, last: Column) -> Column:
         spans = _spans(body, size, max_chunks, _ranked_break, last_uncut=False)
         rows = F.transform(
             spans,
             lambda s: F.struct(
                 F.lit(first).alias("start_page"),
-                F.lit(last).alias("end_page"),
+                last.alias("end_page"),
                 s["chars"].alias("chars"),
                 F.substring(body, s["start"] + 1, s["chars"]).alias("cut"),
                 F.substring(body, s["start"] + 1, F.lit(size)).alias("full"),
@@ -228,14 +234,15 @@ def page_range_chunks(
         )
         return F.when(is_blank(body), F.slice(rows, 1, 0)).otherwise(rows)
 
-    def of_range(pages: Column, first: int, last: int) -> Column:
-        return let(range_text(pages, first, last), lambda body: pieces(body, first, last))
+    def of_range(pages: Column, first: int, last: int | None) -> Column:
+        return let(range_text(pages, first, last), lambda body: pieces(body, first, end(pages, first, last)))
 
     def collect(pages: Column) -> Column:
-        kept = F.slice(F.concat(*[of_range(pages, a, b) for a, b in ranges]), 1, max_chunks)
+        kept = F.concat(*[of_range(pages, a, b) for a, b in ranges])
+        kept = kept if max_chunks is None else F.slice(kept, 1, max_chunks)
 
         def row(p: Column, i: Column) -> Column:
-            raw = F.when(i == max_chunks - 1, p["full"]).otherwise(p["cut"])
+            raw = p["cut"] if max_chunks is None else F.when(i == max_chunks - 1, p["full"]).otherwise(p["cut"])
             return F.struct(
                 strip(raw).alias("content"),
                 p["start_page"].alias("start_page"),

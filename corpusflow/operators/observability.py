@@ -155,9 +155,9 @@ def logs_from_level(logs: DataFrame, minimum: str) -> DataFrame:
     return logs.filter(at_least_level(F.col("level"), minimum))
 
 
-def search_logs(lines: DataFrame, levels: list[str], text: str, size: int = fv.UI_LOG_SIZE) -> DataFrame:
-    """Filter the newest lines by detected level and by text, ignoring case."""
-    tail = newest(lines, size, "ts_ms", "log_id").withColumn("detected", detect_level(F.col("line")))
+def search_logs(lines: DataFrame, levels: list[str], text: str, size: int | None = None) -> DataFrame:
+    """Filter lines, or the newest ``size`` of them, by detected level and by text, ignoring case."""
+    tail = (lines if size is None else newest(lines, size, "ts_ms", "log_id")).withColumn("detected", detect_level(F.col("line")))
     return tail.filter(F.col("detected").isin(levels) & F.lower("line").contains(text.lower()))
 
 

@@ -62,7 +62,7 @@ def generate_callable(spark, sf_dir):
 
 @query(
     "generate_cached",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000, 20)},
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000)},
     cache AS (SELECT sha256(content) AS h, max(doc_id % 4) AS age, 'cached ' || max(length(content)) AS result FROM tc JOIN labels USING (doc_id) GROUP BY ALL)
     SELECT doc_id, idx AS index, c.h IS NOT NULL AS hit, coalesce(c.result, {ov.stub_answer('content')}) AS content FROM tc
     LEFT JOIN cache c ON sha256(tc.content) = c.h AND c.age <> 3""",
@@ -80,7 +80,7 @@ PART_SIZE, FAIL_WORD = 800, "unge"
 
 @query(
     "chunked_generate",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', PART_SIZE, 15)},
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', PART_SIZE)},
     gate AS (SELECT doc_id, text, (length(text) + 3) // 4 > {PART_SIZE * 0.75} AS long FROM v_ff_docs),
     n AS (SELECT tc.*, g.text, g.long, count(*) OVER (PARTITION BY doc_id) AS total FROM tc JOIN gate g USING (doc_id)),
     calls AS (SELECT doc_id, idx, total, {ov.render(fv.PART_PROMPT, index='idx + 1', total='total', chunk='content')} AS prompt FROM n WHERE long AND total > 1
@@ -91,14 +91,14 @@ PART_SIZE, FAIL_WORD = 800, "unge"
 )
 def chunked_generate(spark, sf_dir):
     client = calls.StubClient(fail_on=FAIL_WORD)
-    return calls.chunked_generate(views.ff_docs(spark, sf_dir), client, PART_SIZE, 15)
+    return calls.chunked_generate(views.ff_docs(spark, sf_dir), client, PART_SIZE)
 
 
 # --- roll-up -------------------------------------------------------------------------------------
 
 ROLL_SIZE = 150
 _ROLL_NAME = "'Doc ' || c.doc_id"
-_ROLL = f"""{text_chunk_sql('v_ff_docs', ROLL_SIZE, 1000)},
+_ROLL = f"""{text_chunk_sql('v_ff_docs', ROLL_SIZE)},
     sums AS (SELECT doc_id, idx, {ov.chunk_summary('content', 'idx + 1')} AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM tc),
     bundles AS (SELECT doc_id, idx // 5 + 1 AS r, (n + 4) // 5 AS rounds, n, string_agg(s, chr(10) || chr(10) ORDER BY idx) AS bundle FROM sums GROUP BY ALL),
     asked(doc_id, r, rounds, n, previous, pt, ct, tt, failed) AS (
@@ -125,7 +125,7 @@ _ROLL = f"""{text_chunk_sql('v_ff_docs', ROLL_SIZE, 1000)},
     pt AS prompt_tokens, ct AS completion_tokens, tt AS total_tokens, failed IS NOT NULL AS degraded, failed AS degrade_reason FROM final JOIN blocks USING (doc_id)""",
 )
 def rolling_summary(spark, sf_dir):
-    pieces = chunking.text_chunks(F.col("text"), ROLL_SIZE, 1000)
+    pieces = chunking.text_chunks(F.col("text"), ROLL_SIZE)
     docs = views.ff_docs(spark, sf_dir).select(
         "doc_id", F.transform(pieces, lambda c, i: text.chunk_summary(c["content"], i + 1)).alias("summaries")
     )

@@ -12,7 +12,7 @@ from corpusflow.plans import samples, views
 from corpusflow.plans.registry import query
 
 SECTION_SIZE = 600
-RANGES = [(1, 2), (3, 4), (5, 9)]
+RANGES = [(1, 2), (3, 4), (5, None)]
 
 
 # --- layout ---------------------------------------------------------------------------
@@ -126,14 +126,14 @@ def _last(window: str, mark: str, length: int) -> str:
 _LATEST = f"greatest({_last('w', 'chr(10) || chr(10)', 2)}, {_last('w', ov.lit('。'), 1)}, {_last('w', 'chr(12)', 1)})"
 
 
-def text_chunk_sql(source: str, size: int, count: int) -> str:
+def text_chunk_sql(source: str, size: int) -> str:
     """Recursive CTE body ``tc(doc_id, idx, pos, chars, content)``."""
     return f"""tc0(doc_id, text, idx, pos, chars) AS (
       SELECT doc_id, text, -1, 0, 0 FROM {source}
-      UNION ALL SELECT doc_id, text, idx + 1, pos + chars, CASE WHEN pos + chars + {size} < length(text) AND idx + 1 < {count - 1}
+      UNION ALL SELECT doc_id, text, idx + 1, pos + chars, CASE WHEN pos + chars + {size} < length(text)
           AND best > length(w) * 0.5 THEN best + 1 ELSE length(w) END
         FROM (SELECT *, {_LATEST} AS best FROM (SELECT *, substr(text, pos + chars + 1, {size}) AS w FROM tc0
-          WHERE pos + chars < length(text) AND idx + 1 < {count}))),
+          WHERE pos + chars < length(text)))),
     tc AS (SELECT doc_id, idx, pos, chars, {ov.strip('substr(text, pos + 1, chars)')} AS content FROM tc0
       WHERE idx >= 0 AND {ov.strip('text')} <> ''
       UNION ALL SELECT doc_id, 0, 0, 0, '' FROM {source} WHERE {ov.strip('text')} = '')"""
@@ -141,7 +141,7 @@ def text_chunk_sql(source: str, size: int, count: int) -> str:
 
 @query(
     "chunk_text",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000, 20)}
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000)}
     SELECT doc_id, idx AS index, count(*) OVER (PARTITION BY doc_id) AS total, pos AS start, chars, content,
     length(text) - max(pos + chars) OVER (PARTITION BY doc_id) AS dropped_chars FROM tc JOIN v_ff_docs USING (doc_id)""",
 )
@@ -158,25 +158,25 @@ _RANKED = "CASE " + " ".join(
     f"WHEN ({_last('w', m, n)}) > length(w) * 0.5 THEN {_last('w', m, n)} + 1"
     for m, n in [("chr(10) || chr(10)", 2), ("'。' || chr(10)", 2), ("'。'", 1), ("chr(10)", 1)]
 ) + " ELSE length(w) END"
-PAGE_SIZE, PAGE_CHUNKS = 400, 6
+PAGE_SIZE = 400
 
 
 @query(
     "chunk_pages",
-    f"""WITH RECURSIVE ranges AS (SELECT * FROM (VALUES (1, 1, 2), (2, 3, 4), (3, 5, 9)) AS r(rno, a, b)),
+    f"""WITH RECURSIVE ranges AS (SELECT * FROM (VALUES (1, 1, 2), (2, 3, 4), (3, 5, NULL)) AS r(rno, a, last)),
     bodies AS (SELECT doc_id, rno, a, b, CASE WHEN len(ps) <= 1 THEN text ELSE {ov.strip("array_to_string(ps[a:b], chr(10) || chr(10))")} END AS body
-      FROM (SELECT doc_id, text, string_split(text, chr(12)) AS ps FROM v_ff_docs), ranges),
+      FROM (SELECT doc_id, text, ps, rno, a, coalesce(last, greatest(len(ps), a)) AS b
+        FROM (SELECT doc_id, text, string_split(text, chr(12)) AS ps FROM v_ff_docs), ranges)),
     cuts(doc_id, rno, a, b, body, k, pos, chars) AS (SELECT doc_id, rno, a, b, body, -1, 0, 0 FROM bodies WHERE {ov.strip('body')} <> ''
       UNION ALL SELECT doc_id, rno, a, b, body, k + 1, pos + chars, CASE WHEN pos + chars + {PAGE_SIZE} < length(body) THEN {_RANKED} ELSE length(w) END
       FROM (SELECT *, substr(body, pos + chars + 1, {PAGE_SIZE}) AS w FROM cuts WHERE pos + chars < length(body))),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rno, k) - 1 AS idx FROM cuts WHERE k >= 0),
-    kept AS (SELECT *, CASE WHEN idx = {PAGE_CHUNKS - 1} THEN substr(body, pos + 1, {PAGE_SIZE}) ELSE substr(body, pos + 1, chars) END AS raw
-      FROM numbered WHERE idx < {PAGE_CHUNKS})
+    kept AS (SELECT *, substr(body, pos + 1, chars) AS raw FROM numbered)
     SELECT doc_id, idx AS index, count(*) OVER (PARTITION BY doc_id) AS total, a AS start_page, b AS end_page, length(raw) AS chars,
     {ov.strip('raw')} AS content FROM kept""",
 )
 def chunk_pages(spark, sf_dir):
-    chunks = chunking.page_range_chunks(F.col("text"), RANGES, PAGE_SIZE, PAGE_CHUNKS)
+    chunks = chunking.page_range_chunks(F.col("text"), RANGES, PAGE_SIZE)
     rows = chunking.chunk_rows(views.ff_docs(spark, sf_dir), chunks, "doc_id")
     return rows.select("doc_id", "index", "total", "chunk.start_page", "chunk.end_page", "chunk.chars", "chunk.content")
 
@@ -267,24 +267,24 @@ def chunk_tokens(spark, sf_dir):
 
 @query(
     "chunk_positions",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 500, 1000)}
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 500)}
     SELECT doc_id, idx AS index, count(*) OVER w AS total, idx = 0 AS is_first, idx = max(idx) OVER w AS is_last,
     sha256(doc_id || ':' || idx) AS chunk_id FROM tc WINDOW w AS (PARTITION BY doc_id)""",
 )
 def chunk_positions(spark, sf_dir):
-    rows = chunking.chunk_rows(views.ff_docs(spark, sf_dir), chunking.text_chunks(F.col("text"), 500, 1000), "doc_id")
+    rows = chunking.chunk_rows(views.ff_docs(spark, sf_dir), chunking.text_chunks(F.col("text"), 500), "doc_id")
     return rows.select("doc_id", "index", "total", "is_first", "is_last", "chunk_id")
 
 
 @query(
     "rollup_rounds",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 500, 1000)}
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 500)}
     SELECT doc_id, idx AS index, total, CASE WHEN total <= 5 THEN 1 ELSE idx // 5 + 1 END AS round_no,
     CASE WHEN total <= 5 THEN 1 ELSE CAST(ceil(total / 5.0) AS BIGINT) END AS rounds
     FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total FROM tc)""",
 )
 def rollup_rounds(spark, sf_dir):
-    rows = chunking.chunk_rows(views.ff_docs(spark, sf_dir), chunking.text_chunks(F.col("text"), 500, 1000), "doc_id")
+    rows = chunking.chunk_rows(views.ff_docs(spark, sf_dir), chunking.text_chunks(F.col("text"), 500), "doc_id")
     return rows.select(
         "doc_id",
         "index",
@@ -346,7 +346,7 @@ _HEAD = ov.render(fv.ROUND_PROMPT_HEAD, instructions=_ASK, name=_NAME, kind="'tx
 
 @query(
     "chunk_prompts",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000, 20)},
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000)},
     c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total, coalesce(lag(content) OVER (PARTITION BY doc_id ORDER BY idx), '') AS previous FROM tc)
     SELECT doc_id, idx AS index, {ov.render(fv.CHUNK_PROMPT, instructions=_ASK, index='idx + 1', total='total')} AS chunk_prompt,
     {ov.render(fv.FINAL_PROMPT, instructions=_ASK, name=_NAME, kind="'txt'", bundle='content')} AS final_prompt,

@@ -154,7 +154,7 @@ def _chunk_cache(spark, sf_dir, calls):
 
 @query(
     "cache_lookup",
-    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000, 20)}, {_CACHE}
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000)}, {_CACHE}
     SELECT doc_id, idx AS index, c.result IS NOT NULL AS hit, c.result AS cached_result FROM tc
     LEFT JOIN cache c ON sha256(tc.content) = c.text_hash AND c.age <> 3""",
 )
@@ -535,7 +535,7 @@ def format_logs(spark, sf_dir):
 
 @query(
     "log_search",
-    f"""SELECT log_id, detected FROM (SELECT log_id, line, {_DETECT} AS detected FROM (SELECT log_id, {_LINE} AS line FROM v_logs ORDER BY ts_ms DESC, log_id DESC LIMIT 200))
+    f"""SELECT log_id, detected FROM (SELECT log_id, line, {_DETECT} AS detected FROM (SELECT log_id, {_LINE} AS line FROM v_logs))
     WHERE detected IN ('ERROR', 'WARN') AND contains(lower(line), 'click')""",
 )
 def log_search(spark, sf_dir):

@@ -32,7 +32,7 @@ def read_text_documents(spark: SparkSession, folder: str, recursive: bool = True
     """Whole text and Markdown files as documents, and blank ones as quarantine rows."""
     raw = (
         spark.read.option("recursiveFileLookup", recursive)
-        .option("pathGlobFilter", "*.{txt,TXT,md,MD,Txt,Md}")
+        .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
         .text(folder, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )

@@ -221,7 +221,7 @@ def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     raw = (
         spark.readStream.format("text")
         .option("wholetext", True)
-        .option("pathGlobFilter", "*.{txt,md}")
+        .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
         .load(folder)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
