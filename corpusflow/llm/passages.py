@@ -202,7 +202,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     """id, text, what is ``carried``, and what is to be removed from each row.
 
     ``covered`` is an array of (name, spans): in the text of that name, windows go from span >> 32 on, up to the low half of span.
-    ``copied`` holds the names of the row's key whose whole text an earlier document has. Texts are shuffled once, by id.
+    ``copied`` holds the names of the row's key whose whole text an earlier document has. Texts meet what belongs to them by id, three times.
     """
     spark = documents.sparkSession
     plain = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *carried)
@@ -217,26 +217,25 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     tasks = max(parts, total // 16 // TASK_DIGESTS + 1)
     shared = shared_anchors(rows, "text", tasks)
     listed = shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors")).join(nodes.select("name", "first"), "name")
-    listed = listed.select(F.col("first").alias("id"), "name", "anchors")
-
-    # texts and strings are dealt once each; what follows joins them where they are
+    # each step is written: what it shuffled can go then, and a lost task repeats no earlier step
+    listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors")
     tasks_by_size = max(parts, total // 16_000_000 + 1)
     texts = rows.repartition(tasks_by_size, "id")
-    found = _occurrences(texts.join(listed, "id"), tasks).repartition(tasks_by_size, "anchor", "digest")
+    found = materialise(_occurrences(texts.select("id", "text").join(listed, "id"), tasks), "occurrences")
     distinct = found.groupBy("anchor", "digest").agg(F.min(F.struct("id", "name", "place", "windows")).alias("own"))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-    several = distinct.select("anchor", "digest", "own.*").join(sizes, "anchor")
+    several = materialise(distinct.select("anchor", "digest", "own.*").join(sizes, "anchor"), "strings")
     # a single string needs no comparing: all its windows are its first holder's
     single = several.where("n = 1").select("anchor", "digest", F.array_repeat("id", F.col("windows")).alias("earliest"))
     asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
-    strings = _strings(texts.join(asked, "id")).repartition(tasks_by_size, "anchor")
-    compared = strings.where(F.col("n") <= MAX_STRINGS).sortWithinPartitions("anchor")
+    strings = materialise(_strings(texts.select("id", "text").join(asked, "id")), "bytes")
+    compared = strings.where(F.col("n") <= MAX_STRINGS).repartition(tasks_by_size, "anchor").sortWithinPartitions("anchor")
     # windows of the others, each whole
     windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
     windows = windows.select("anchor", "digest", "id", "nth", F.expr(f"substring(bytes, nth + 1, {WINDOW})").alias("window"))
     low = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"))
     split = windows.join(low, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.array_sort(F.collect_list(F.struct("nth", "low")))["low"].alias("earliest"))
-    earliest = single.unionByName(_earliest(compared)).unionByName(split)
+    earliest = materialise(single.unionByName(_earliest(compared)).unionByName(split), "earliest")
     # the windows that an earlier document has
     hits = found.join(earliest, ["anchor", "digest"])
     early = F.transform("earliest", lambda e: e < F.col("id"))
@@ -248,6 +247,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     both = F.zip_with(begins, ends, lambda a, b: F.shiftleft(place + a, 32).bitwiseOR(place + b + 1))
     spans = hits.select("id", "name", F.explode(both).alias("span")).repartition(tasks_by_size, "id")
     spans = spans.groupBy("id", "name").agg(F.collect_list("span").alias("spans")).groupBy("id").agg(F.collect_list(F.struct("name", "spans")).alias("covered"))
+    spans = materialise(spans, "spans")
     copies = names.join(nodes, "name").where("first < id").groupBy("id").agg(F.collect_set("name").alias("copied"))
     marked = texts.join(spans, "id", "left").join(copies, "id", "left")
     return marked.unionByName(plain.where("id IS NULL"), allowMissingColumns=True)
