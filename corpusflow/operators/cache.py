@@ -17,13 +17,12 @@ def fresh(written_ms: Column, now_ms: Column, ttl_ms: int = fv.CACHE_TTL_MS) ->
 def lookup(calls: DataFrame, cache: DataFrame, keys: list[str], now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS) -> DataFrame:
     """Left join with the cached result; an expired entry is a miss.
 
-    The cache holds one row per key. The age test is a filter on the cache side,
-    so expired rows are dropped before the join; copies of one text on the call
-    side are a skewed left side, which adaptive execution splits.
+    Of several entries with one key the newest counts. The age test is a filter on
+    the cache side, so expired rows are dropped before the join; copies of one text
+    on the call side are a skewed left side, which adaptive execution splits.
     """
-    live = cache.filter(fresh(F.col("written_ms"), F.lit(now_ms), ttl_ms)).select(
-        *keys, F.col("result").alias("cached_result")
-    )
+    live = cache.filter(fresh(F.col("written_ms"), F.lit(now_ms), ttl_ms))
+    live = live.groupBy(*keys).agg(F.max_by("result", F.struct("written_ms", "result")).alias("cached_result"))
     return calls.join(live, keys, "left").withColumn("hit", F.col("cached_result").isNotNull())
 
 

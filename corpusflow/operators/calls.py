@@ -99,9 +99,14 @@ class CallableClient:
 
 
 def generate(df: DataFrame, prompt: Column, client, parallel: int | None = None) -> DataFrame:
-    """Add the ``reply`` of every row's prompt; ``parallel`` bounds simultaneous calls."""
+    """Add the ``reply`` of every row's prompt; ``parallel`` bounds simultaneous calls.
+
+    The replies of a Python client are written at once, so no later action and no
+    lost executor repeats a call.
+    """
     spread = df if parallel is None else df.repartition(parallel)
-    return spread.withColumn("reply", client.respond(prompt))
+    called = spread.withColumn("reply", client.respond(prompt))
+    return called if client.inline else materialise(called, "replies")
 
 
 def cached_generate(calls: DataFrame, client, cache: DataFrame, model: str, now_ms: int) -> DataFrame:
@@ -120,8 +125,6 @@ def cached_generate(calls: DataFrame, client, cache: DataFrame, model: str, now_
     called = generate(missing, F.col("call_prompt"), client).select(
         "model", "text_hash", F.lit(False).alias("hit"), "reply"
     )
-    if not client.inline:
-        called = materialise(called, "replies")
     cached_reply = F.struct(
         F.col("cached_result").alias("content"),
         *[F.lit(None).cast("bigint").alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")],

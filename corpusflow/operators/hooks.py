@@ -18,11 +18,11 @@ OBSERVER_STAGES = ("before_parse", "batch_before", "batch_after")
 
 
 def row_hook(fn: Callable[[str], str]) -> Callable[[Column], Column]:
-    """A Python text function as a column hook; a row it fails on passes unchanged."""
+    """A Python text function as a column hook; a null, and a row it fails on, pass unchanged."""
 
     def guarded(value):
         try:
-            return fn(value)
+            return value if value is None else fn(value)
         except Exception:
             return value
 
@@ -31,7 +31,7 @@ def row_hook(fn: Callable[[str], str]) -> Callable[[Column], Column]:
             yield batch.map(guarded)
 
     batches.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(batches, T.StringType())
+    udf = F.pandas_udf(batches, T.StringType()).asNondeterministic()  # not copied into later expressions
     return lambda c: udf(c)
 
 
@@ -52,6 +52,10 @@ class Hooks:
             raise ValueError(f"unknown observer stage {stage}")
         self.observers.setdefault(stage, []).append((name, observer))
 
+    def around_calls(self) -> bool:
+        """There are hooks before or after model calls."""
+        return any(self.text.get(stage) for stage in ("before_call", "after_call"))
+
     def apply(self, stage: str, value: Column) -> Column:
         for name, hook in self.text.get(stage, []):
             try:

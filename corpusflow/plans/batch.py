@@ -12,9 +12,6 @@ from corpusflow.plans.interpret import interpret
 from corpusflow.session import materialise
 from corpusflow.sources.reports import report_path
 
-MAX_RETRIES = 5
-
-
 def run_batch(
     docs: DataFrame,
     existing: DataFrame,
@@ -64,7 +61,7 @@ def run_batch(
         stopped = jobs.without_existing(names, existing, "output_path").join(cancelled.select("doc_id"), "doc_id", "left_semi")
         parts.append(items(stopped, "cancelled", False, 0, no_text, F.lit("CANCELLED"), F.lit(fv.CANCELLED_TEXT), no_text))
         open_docs = open_docs.join(cancelled.select("doc_id"), "doc_id", "left_anti")
-    last = min(max(retries, 0), MAX_RETRIES) + 1
+    last = max(retries, 0) + 1
     for attempt in range(1, last + 1):
         tried = materialise(interpret(open_docs.drop("output_path"), client, instructions, model, **options), "attempt")
         good = tried.filter(F.col("error").isNull()).withColumn("output_path", report_path(folder))

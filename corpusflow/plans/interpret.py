@@ -27,7 +27,7 @@ def analyse_direction(client, body: Column) -> Column:
     )
 
 
-def _prepare(docs, model, instructions, max_tokens, chunking, client, direction, hooks) -> DataFrame:
+def _prepare(docs, model, instructions, max_tokens, chunking, direction, hooks) -> DataFrame:
     """One row per document with its prompts; the text itself is not carried on."""
     asked = F.lit(max_tokens) if max_tokens else model_token_limit(F.lit(model))
     parsed = hooks.apply("after_parse", F.col("text"))
@@ -50,7 +50,6 @@ def _prepare(docs, model, instructions, max_tokens, chunking, client, direction,
 
     whole = templates.document_prompt(F.lit(instructions), F.col("name"), F.col("kind"), F.col("bounded.text"))
     prompts = F.when(single, F.array(whole)).otherwise(F.transform("pieces", chunk_prompt))
-    hooked = F.transform(prompts, lambda p: hooks.apply("before_call", p)) if client.inline else prompts
     size = F.length("body").cast("bigint")
     return staged.select(
         "doc_id",
@@ -64,27 +63,28 @@ def _prepare(docs, model, instructions, max_tokens, chunking, client, direction,
             "direction",
         ).alias("meta"),
         F.when(single, F.array("body")).otherwise(F.col("pieces")).alias("pieces"),
-        hooked.alias("prompts"),
+        prompts.alias("prompts"),
     )
 
 
 def _answered(prepared: DataFrame, client, cache, model, now_ms, parallel, hooks) -> DataFrame:
-    """``(doc_id, meta, replies)`` with the replies in chunk order."""
-    if client.inline and cache is None:
+    """``(doc_id, meta, replies)`` with the replies in chunk order.
+
+    Hooks run on rows, one per call, so that column and Python hooks work alike for every client.
+    """
+    if client.inline and cache is None and not hooks.around_calls():
         answered = F.transform("prompts", client.respond)
         return prepared.select("doc_id", "meta", answered.alias("replies"))
     rows = prepared.select(
         "doc_id", "meta", F.posexplode_outer(F.arrays_zip(F.col("pieces").alias("text"), F.col("prompts").alias("prompt"))).alias("index", "call")
     ).select("doc_id", "meta", "index", "call.text", "call.prompt")
-    if not client.inline:
-        rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
+    rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
     if cache is None:
         called = calls.generate(rows, F.col("prompt"), client, parallel).select("doc_id", "meta", "index", "reply")
-        if not client.inline:
-            # written, so that a lost executor never repeats finished calls
-            called = materialise(called, "answers")
     else:
         called = calls.cached_generate(rows, client, cache, model, now_ms)
+    called = called.withColumn("answer", hooks.apply("after_call", F.col("reply.content")))
+    called = called.withColumn("reply", F.col("reply").withField("content", F.col("answer"))).drop("answer")
     ordered = F.array_sort(F.collect_list(F.struct("index", "reply")))
     # one group is one document, so a group is bounded by its chunk count
     return called.groupBy("doc_id").agg(
@@ -119,9 +119,9 @@ def interpret(
     Python client are written to the shared folder first, which runs the calls.
     """
     hooks = hooks or Hooks()
-    prepared = _prepare(docs, model, instructions, max_tokens, chunking, client, direction_client, hooks)
+    prepared = _prepare(docs, model, instructions, max_tokens, chunking, direction_client, hooks)
     answered = _answered(prepared, client, cache, model, now_ms, parallel, hooks)
-    contents = F.transform("replies", lambda r: hooks.apply("after_call", r["content"]) if client.inline else r["content"])
+    contents = F.transform("replies", lambda r: r["content"])
     errors = F.filter(F.transform("replies", lambda r: r["error"]), lambda e: e.isNotNull())
     staged = answered.select(
         "doc_id", "meta", "replies", contents.alias("contents"), F.get(errors, F.lit(0)).alias("call_error")
@@ -135,6 +135,9 @@ def interpret(
     )
     staged = staged.withColumn("summaries", summaries)
     staged = staged.withColumn("rollup", F.when(F.size("summaries") > 0, rolled) if client.inline else rolled)
+    if not client.inline:
+        # roll-up calls are written too, or every action would repeat them
+        staged = materialise(staged, "rollups")
 
     def used(counter: str) -> Column:
         total = F.aggregate("replies", F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r[counter], F.lit(0)))

@@ -131,6 +131,51 @@ def test_interpret_inline_equals_spread_calls(spark):
     assert "## 分块阶段性摘要附录" in inline[1].report and "## 分块阶段性摘要附录" not in inline[0].report
 
 
+def counting(folder):
+    """A client that leaves a file per call."""
+
+    def reply(prompt):
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        return prompt.rsplit("\n", 1)[-1][:20], 1, 1
+
+    return calls.CallableClient(reply)
+
+
+def test_no_call_is_repeated_by_a_second_action(spark, tmp_path):
+    reports = interpret(documents(spark), counting(str(tmp_path)), "ask", "m", max_tokens=300, generated_at="t")
+    made = len(list(tmp_path.iterdir()))
+    first, second = reports.collect(), reports.collect()
+    assert first == second and len(list(tmp_path.iterdir())) == made
+    assert made >= sum(r.chunking.chunk_count for r in first) + 1
+
+
+def test_call_hooks_see_every_client(spark):
+    def hooked(python):
+        chain = hooks.Hooks()
+        mark = (lambda t: f"<{t}>") if python else None
+        chain.on_text("before_call", "ask", hooks.row_hook(lambda t: t) if python else (lambda c: c))
+        chain.on_text("after_call", "mark", hooks.row_hook(mark) if python else (lambda c: F.concat(F.lit("<"), c, F.lit(">"))))
+        return chain
+
+    got = set()
+    for client in (calls.StubClient(fail_on="boom"), calls.CallableClient(failing)):
+        for python in (False, True):
+            rows = interpret(documents(spark), client, "ask", "m", max_tokens=300, generated_at="t", hooks=hooked(python)).orderBy("doc_id").collect()
+            assert rows[0].content.startswith("<") and rows[0].content.endswith(">") and rows[2].error == "HTTP_503"
+            assert all(c.startswith("<") for c in rows[1].chunk_summaries)
+            got.add((rows[0].content, tuple(rows[1].chunk_summaries)))
+    assert len(got) == 1
+
+
+def test_the_newest_of_several_cache_entries_counts(spark):
+    table = spark.createDataFrame([("m", "h", 5, "old"), ("m", "h", 9, "new")], "model string, text_hash string, written_ms long, result string")
+    asked = spark.createDataFrame([("m", "h"), ("m", "x")], "model string, text_hash string")
+    assert sorted((r.text_hash, r.cached_result) for r in cache.lookup(asked, table, ["model", "text_hash"], 10).collect()) == [("h", "new"), ("x", None)]
+
+
 def test_interpret_with_cache_reuses_chunk_answers(spark):
     empty = spark.createDataFrame([], "model string, text_hash string, written_ms long, result string")
     options = {"max_tokens": 300, "generated_at": "t", "now_ms": 1}
