@@ -225,27 +225,31 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     distinct = found.groupBy("anchor", "digest").agg(F.min(F.struct("id", "name", "place", "windows")).alias("own"))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
     several = materialise(distinct.select("anchor", "digest", "own.*").join(sizes, "anchor"), "strings")
-    # a single string needs no comparing: all its windows are its first holder's
-    single = several.where("n = 1").select("anchor", "digest", F.array_repeat("id", F.col("windows")).alias("earliest"))
+    # a single string needs no comparing: all its windows are its first holder's, ``low``
+    single = several.where("n = 1").select("anchor", "digest", F.col("id").alias("low"), F.lit(None).cast("array<long>").alias("earliest"))
     asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
     strings = materialise(_strings(texts.select("id", "text").join(asked, "id")), "bytes")
     compared = strings.where(F.col("n") <= MAX_STRINGS).repartition(tasks_by_size, "anchor").sortWithinPartitions("anchor")
-    # windows of the others, each whole
+    # windows of the others, each whole, as 96 bits of hash beside the anchor's 64
     windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
-    windows = windows.select("anchor", "digest", "id", "nth", F.expr(f"substring(bytes, nth + 1, {WINDOW})").alias("window"))
-    low = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"))
-    split = windows.join(low, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.array_sort(F.collect_list(F.struct("nth", "low")))["low"].alias("earliest"))
-    earliest = materialise(single.unionByName(_earliest(compared)).unionByName(split), "earliest")
+    window = F.expr(f"substring(bytes, nth + 1, {WINDOW})")
+    windows = windows.select("anchor", "digest", "id", "nth", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
+    low = windows.groupBy("anchor", "h", "g").agg(F.min("id").alias("low"))
+    nth_low = windows.select("anchor", "digest", "nth", "h", "g").join(low, ["anchor", "h", "g"])
+    split = nth_low.groupBy("anchor", "digest").agg(F.array_sort(F.collect_list(F.struct("nth", "low")))["low"].alias("earliest"))
+    several_low = _earliest(compared).unionByName(split).withColumn("low", F.array_min("earliest"))
+    earliest = materialise(single.unionByName(several_low), "earliest")
     # the windows that an earlier document has
-    hits = found.join(earliest, ["anchor", "digest"])
+    hits = found.join(earliest, ["anchor", "digest"]).where(F.col("low") < F.col("id"))
     early = F.transform("earliest", lambda e: e < F.col("id"))
-    hits = hits.select("id", "name", "place", early.alias("early")).where(F.array_contains("early", True))
+    hits = hits.select("id", "name", "place", F.col("windows"), early.alias("early"))
     size = F.size("early")
     begins = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("early", k) & ~F.coalesce(F.get("early", k - 1), F.lit(False)))
     ends = F.filter(F.sequence(F.lit(0), size - 1), lambda k: F.get("early", k) & ~F.coalesce(F.get("early", k + 1), F.lit(False)))
     place = F.col("place").cast("long")
     both = F.zip_with(begins, ends, lambda a, b: F.shiftleft(place + a, 32).bitwiseOR(place + b + 1))
-    spans = hits.select("id", "name", F.explode(both).alias("span")).repartition(tasks_by_size, "id")
+    whole = F.array(F.shiftleft(place, 32).bitwiseOR(place + F.col("windows")))
+    spans = hits.select("id", "name", F.explode(F.when(F.col("early").isNull(), whole).otherwise(both)).alias("span")).repartition(tasks_by_size, "id")
     spans = spans.groupBy("id", "name").agg(F.collect_list("span").alias("spans")).groupBy("id").agg(F.collect_list(F.struct("name", "spans")).alias("covered"))
     spans = materialise(spans, "spans")
     copies = names.join(nodes, "name").where("first < id").groupBy("id").agg(F.collect_set("name").alias("copied"))
