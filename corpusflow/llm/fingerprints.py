@@ -20,10 +20,10 @@ def shingle_hashes(text: Column) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    """Shingles from hashed words. ``words`` must be a plain column, so that it is made once."""
-    n = F.size(words)
-    some = F.transform(F.sequence(F.lit(1), n - SHINGLE_WORDS + 1), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(SHINGLE_WORDS)]))
-    whole = F.array(F.xxhash64(F.concat_ws(" ", words.cast("array<string>"))))
+    """Shingles from hashed words, as bin * 2**32 + hash. ``words`` must be a plain column, so that it is made once."""
+    n, bits = F.size(words), F.lit((BINS << 32) - 1)
+    some = F.transform(F.sequence(F.lit(1), n - SHINGLE_WORDS + 1), lambda i: F.xxhash64(F.slice(words, i, SHINGLE_WORDS)).bitwiseAND(bits))
+    whole = F.array(F.xxhash64(words).bitwiseAND(bits))
     return F.when(n >= SHINGLE_WORDS, some).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -80,8 +80,7 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     """
     step = f"_{name}"
     rows = rows.withColumn(step, shingle_hashes(F.col(text)))
-    rows = rows.withColumn(step, _shingles(F.col(step)))
-    rows = rows.withColumn(step, F.sort_array(F.transform(F.col(step), lambda h: h.bitwiseAND(F.lit((BINS << 32) - 1)))))
+    rows = rows.withColumn(step, F.sort_array(_shingles(F.col(step))))
     rows = rows.withColumn(step, _firsts(F.col(step)))
     rows = rows.withColumn(step, F.when(F.size(step) > 0, _spread(F.col(step))))
     rows = rows.withColumn(step, F.when(F.col(step).isNotNull(), _dense(F.col(step))))
