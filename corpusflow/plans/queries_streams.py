@@ -47,6 +47,18 @@ def stream_metrics(spark, sf_dir):
     return found.select(F.unix_millis("window_start").alias("window_ms"), "name", F.round("average", 6).alias("average"), "samples")
 
 
+@query(
+    "stream_metrics_all",
+    """SELECT epoch_us(time_bucket(INTERVAL '5 seconds', ts)) // 1000 AS window_ms, name, round(avg(value), 6) AS average, count(*) AS samples
+    FROM (SELECT ts, CASE WHEN event_id % 5 = 0 THEN 'memory_used' ELSE event_type END AS name, value FROM events) GROUP BY 1, 2""",
+)
+def stream_metrics_all(spark, sf_dir):
+    """Every window with its last state, also those that are open where the available data ends."""
+    metrics = views.metrics(spark, _live(sf_dir)).withColumn("ts", F.timestamp_millis("ts_ms"))
+    found = streams.snapshots(streams.metric_windows(metrics), "metrics-all")
+    return found.select(F.unix_millis("window_start").alias("window_ms"), "name", F.round("average", 6).alias("average"), "samples")
+
+
 @query(
     "stream_rate",
     """SELECT event_id, ts_ms, n AS in_window, CASE WHEN n >= 5 THEN 3600000 - (ts_ms - oldest) + 100 ELSE 0 END AS wait_ms FROM (
