@@ -70,16 +70,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Equal byte ranges get equal numbers (exact, no hashing), others different ones."""
+def dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """Byte ranges in dictionary form: equal ranges get equal numbers (exact, no hashing), others different ones."""
     if not len(starts):
-        return np.zeros(0, np.int64)
+        return pa.array([], pa.large_binary()).dictionary_encode()
     # ranges and the gaps between them tile the bytes
     offsets = np.empty(2 * len(starts) + 1, np.int64)
     offsets[:-1:2], offsets[1::2], offsets[-1] = starts, ends, ends[-1]
     own = pa.array(np.arange(len(starts)) * 2)
-    column = strings(data, offsets).cast(pa.large_binary()).take(own)
-    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return strings(data, offsets).cast(pa.large_binary()).take(own).dictionary_encode()
+
+
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of ``dictionary``."""
+    return dictionary(data, starts, ends).indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

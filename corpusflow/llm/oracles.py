@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import licences, quality
+from corpusflow.llm import filter_audit, licences, quality, url_rules
 
 #: CRC-32 of a text's UTF-8 bytes, a table built from the polynomial and folded over the bytes.
 CRC32 = """crc_steps AS (
@@ -154,3 +154,109 @@ FROM lined LEFT JOIN per_row USING (row_no)"""
 
 
 LICENCES = _licences()
+
+FILTER_AUDIT = rf"""WITH RECURSIVE plain AS (
+    SELECT row_number() OVER () AS row_no, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM plain),
+first_of AS (SELECT text, min(doc_id) AS first FROM plain GROUP BY text),
+marks AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+    SELECT row_no, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(ws) < {filter_audit.MIN_WORDS} THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > {filter_audit.MAX_UPPER_PERCENT} * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN first < worded.doc_id THEN 'E' ELSE '' END AS fails
+    FROM worded JOIN first_of USING (text) LEFT JOIN marks ON marks.doc_id = worded.doc_id
+), orders AS (
+    SELECT '' AS filter_order UNION ALL
+    SELECT filter_order || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)
+), steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS before
+    FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step) WHERE length(filter_order) = 5
+), met AS (
+    SELECT part, filter_order, step, f, good, toxic, fails = f AS alone, contains(fails, f) AS hit,
+        length(translate(before, fails, '')) < length(before) AS gone
+    FROM judged, steps
+), counted AS (
+    SELECT part, filter_order, step, f, count(*) FILTER (WHERE NOT gone AND NOT hit) AS kept, count(*) FILTER (WHERE hit AND NOT gone) AS removed,
+        count(*) FILTER (WHERE hit AND gone) AS redundant, count(*) FILTER (WHERE alone) AS unique_fails,
+        count(*) FILTER (WHERE hit AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE hit AND NOT gone AND toxic) AS toxic_lost
+    FROM met GROUP BY ALL
+)
+SELECT * EXCLUDE f, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM counted"""
+
+URL_FILTER = rf"""WITH split AS (
+    SELECT row_number() OVER () AS row_no, page_id, url, coalesce(url, '') AS u, regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1) AS raw_host,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), placed AS (
+    SELECT row_no, page_id, url, u, translate(raw_host, '{url_rules.string.ascii_uppercase}', '{url_rules.string.ascii_lowercase}') AS host, path FROM split
+), rules(rule_host, rule_path, rule, said) AS (
+    VALUES ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'), ('www.example.com', '/en/', 'www.example.com/en/', 'allow'),
+        ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block')
+), tokens AS (
+    SELECT DISTINCT url, unnest(list_distinct(list_transform(
+        list_filter([translate(regexp_extract(u, '(?s)^(.*?)://', 1), '{url_rules.string.ascii_uppercase}', '{url_rules.string.ascii_lowercase}')], lambda x: x <> ''),
+        lambda x: 's:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+        || list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+        || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+        || list_transform(list_filter(string_split(regexp_extract(u, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+        || list_transform(list_filter(string_split(regexp_extract(u, '(?s)://[^#]*#(.*)$', 1), chr(10)), lambda x: x <> ''), lambda x: 'f:' || regexp_replace(x, '[0-9]+', '#', 'g'))
+    )) AS token FROM placed WHERE url IS NOT NULL
+), marks AS (
+    SELECT doc_id, coalesce(bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)), false) AS blocked FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), labelled AS (
+    SELECT row_number() OVER () AS no, url, blocked FROM placed JOIN marks ON doc_id = try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) WHERE url IS NOT NULL
+), bound AS (
+    SELECT greatest({url_rules.MIN_URLS}, ceil(count(*) * {url_rules.MIN_SHARE}::DECIMAL(9, 6))::BIGINT) AS least FROM labelled
+), frequent AS (
+    SELECT token, count(*) AS urls FROM labelled JOIN tokens USING (url) GROUP BY token HAVING count(*) >= (SELECT least FROM bound)
+), held AS (
+    SELECT no, blocked, list(token ORDER BY urls, token)[1:{url_rules.MAX_TOKENS}] AS items FROM labelled JOIN tokens USING (url) JOIN frequent USING (token) GROUP BY ALL
+), combined AS (
+    SELECT no, blocked, list_sort(list_filter(items, lambda x, i: (picked >> (i - 1)) & 1 = 1)) AS combination
+    FROM (SELECT no, blocked, items, unnest(range(1, 1::BIGINT << len(items))) AS picked FROM held)
+), mined AS (
+    SELECT combination, count(*) AS urls, count(*) FILTER (WHERE blocked) AS blocked_urls FROM combined GROUP BY combination
+    HAVING count(*) FILTER (WHERE blocked) >= (SELECT least FROM bound) AND 100 * count(*) FILTER (WHERE blocked) >= {url_rules.MIN_CONFIDENCE_PERCENT} * count(*)
+), best AS (
+    SELECT url, max((blocked_urls / urls, urls, combination)) AS b FROM (SELECT url, list(token) AS own FROM tokens GROUP BY url) JOIN mined ON list_has_all(own, combination) GROUP BY url
+), longest AS (
+    SELECT page_id, url, host, path, rule, said FROM placed LEFT JOIN rules
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY length(rule) DESC NULLS LAST) = 1
+)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN b IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+    array_to_string(b[3], ' ') AS learned, round(b[1], 9) AS confidence
+FROM longest LEFT JOIN best USING (url)"""
+
+PREFIX_TRIE = rf"""WITH RECURSIVE raw AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), ordered AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS pos FROM raw
+), plain AS (SELECT DISTINCT conv_id AS row_no, conv_id::VARCHAR AS text FROM raw), {CRC32},
+heads AS (SELECT row_no AS conv_id, crc32 % 4 AS h, row_no - row_no % 20 AS base FROM crc),
+joined AS (
+    SELECT heads.conv_id, 0 AS own, pos, role, text FROM heads JOIN ordered ON ordered.conv_id = base AND pos < h
+    UNION ALL SELECT heads.conv_id, 1, pos, role, text FROM heads JOIN ordered ON ordered.conv_id = heads.conv_id AND pos >= h
+), rebuilt AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM joined),
+prefixes AS (
+    SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        sha256(to_json(list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth))::VARCHAR) AS name FROM rebuilt
+    UNION ALL SELECT conv_id, 0, 0, 'root' FROM heads
+), ended AS (
+    SELECT name, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends
+    FROM (SELECT conv_id, max_by(name, depth) AS name FROM prefixes GROUP BY conv_id) GROUP BY name
+), nodes AS (SELECT name, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(words) AS words, count(*) AS n_convs FROM prefixes GROUP BY name),
+paths AS (
+    SELECT nodes.name, nodes.depth, nodes.n_convs, nodes.words, p.name AS above, p.depth AS above_depth FROM nodes JOIN prefixes p ON p.conv_id = nodes.conv_id AND p.depth <= nodes.depth
+), parents AS (SELECT name, above FROM paths WHERE above_depth = depth - 1),
+children AS (SELECT above AS name, count(*) AS n_children FROM parents GROUP BY above),
+totals AS (
+    SELECT above AS name, sum((n_convs - 1) * words)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves
+    FROM paths LEFT JOIN children USING (name) GROUP BY above
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+    saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes n JOIN totals USING (name) LEFT JOIN children USING (name) LEFT JOIN ended USING (name) LEFT JOIN parents USING (name) LEFT JOIN nodes u ON u.name = parents.above"""

@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import fingerprints, language, licences, oracles, packing, passages, piece_sampling, quality, sharding, shingle_join, token_counts
+from corpusflow.llm import (
+    filter_audit,
+    fingerprints,
+    language,
+    licences,
+    oracles,
+    packing,
+    passages,
+    piece_sampling,
+    prefix_trie,
+    quality,
+    sharding,
+    shingle_join,
+    token_counts,
+    url_rules,
+)
 from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +40,12 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 @_query("op1_piece_sampling")
@@ -94,3 +113,30 @@ def op9(spark, sf_dir):
 @_query("op10_packing")
 def op10(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op11_filter_audit", oracles.FILTER_AUDIT)
+def op11(spark, sf_dir):
+    return filter_audit.audit(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+#: What is allowed and blocked whatever the labels say.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@_query("op12_url_filter", oracles.URL_FILTER)
+def op12(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    labelled = url_rules.labelled_pages(pages, _table(spark, sf_dir, "labels"))
+    return url_rules.judge(pages, labelled, URL_RULES).withColumn("confidence", F.round("confidence", 9))
+
+
+@_query("op13_prefix_trie", oracles.PREFIX_TRIE)
+def op13(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
