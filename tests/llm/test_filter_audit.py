@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from corpusflow.llm import filter_audit
@@ -86,17 +87,20 @@ def test_empty_tables(spark):
     assert rows_of(filter_audit.audit(some, labels)) == brute(odd_rows(), [])
 
 
-def test_matrix_holds_every_word(spark, sf_dir):
+def test_matrix_holds_every_word(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(filter_audit, "SHARD_BYTES", 100_000)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shards = filter_audit.local_shards(documents, "doc_id", "lang", "text")
-    terms = filter_audit.dictionary(shards)
-    word = {r.term: r.word for r in terms.collect()}
-    assert sorted(word) == list(range(len(word))) and [word[k] for k in sorted(word)] == sorted(word.values(), key=str.encode)
+    encoded = filter_audit.encoded_words(shards)
+    pairs = filter_audit.dictionary(encoded).collect()
+    word = {r.term: r.word for r in pairs}
+    assert shards.count() > 3 and len(word) == len(set(word.values())) == len(pairs)
     found = {}
-    for shard in filter_audit.matrix(shards, terms).collect():
+    for shard in filter_audit.matrix(shards, encoded).collect():
+        starts, terms, counts = np.frombuffer(shard.starts, np.int32), np.frombuffer(shard.terms, np.int64), np.frombuffer(shard.counts, np.int32)
         for k, row in enumerate(shard.rows):
-            a, b = shard.starts[k], shard.starts[k + 1]
-            found[row.key] = Counter({word[t]: n for t, n in zip(shard.terms[a:b], shard.counts[a:b])})
+            a, b = starts[k], starts[k + 1]
+            found[row.key] = Counter({word[t]: n for t, n in zip(terms[a:b].tolist(), counts[a:b].tolist())})
     assert found == {r.doc_id: Counter(WORD.findall(r.text or "")) for r in documents.collect()}
 
 
