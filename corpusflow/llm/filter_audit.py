@@ -208,6 +208,7 @@ def failures(shards: DataFrame, encoded: DataFrame) -> DataFrame:
                 mask = mask | np.where(words < MIN_WORDS, A, 0) | np.where(100 * distinct < MIN_DISTINCT_PERCENT * words, B, 0)
                 columns = [rows.field("key"), rows.field("part"), rows.field("digest"), pa.array(mask, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "part", "digest", "mask"])
+            common.release()
 
     return _with_terms(shards, encoded).mapInArrow(work, "key long, part string, digest binary, mask int")
 
