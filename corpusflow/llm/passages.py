@@ -31,8 +31,16 @@ BATCH_SYMBOLS = 1_000_000
 TASK_DIGESTS = 1_000_000
 
 
-def _names(texts: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_128_intdigest(t) & (2**64 - 1) for t in texts], np.uint64).view(np.int64)
+def _digests(texts: list[bytes], clashing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each text; the first is its name, unless it is ``clashing``: then the second one is."""
+    whole = [xxhash.xxh3_128_intdigest(t) for t in texts]
+    name, check = np.array([d & (2**64 - 1) for d in whole], np.uint64), np.array([d >> 64 for d in whole], np.uint64)
+    other = np.isin(name, clashing)
+    return np.where(other, check, name).view(np.int64), np.where(other, name, check).view(np.int64)
+
+
+def _names(texts: list[bytes], clashing: np.ndarray) -> np.ndarray:
+    return _digests(texts, clashing)[0]
 
 
 def _text_list(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -40,21 +48,19 @@ def _text_list(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def named(documents: DataFrame, key: str, text: str) -> DataFrame:
+def named(documents: DataFrame, key: str, text: str, clashing: np.ndarray) -> DataFrame:
     """``id``, ``name`` (64-bit digest), ``check`` (the other half of the 128-bit digest) and ``n_bytes`` per row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             data, offsets = common.text_bytes(block.column("text"))
-            digests = [xxhash.xxh3_128_intdigest(t) for t in _text_list(data, offsets)]
-            name = np.array([d & (2**64 - 1) for d in digests], np.uint64).view(np.int64)
-            check = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
+            name, check = _digests(_text_list(data, offsets), clashing)
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(name), pa.array(check), pa.array(np.diff(offsets))], ["id", "name", "check", "n_bytes"])
 
     return documents.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(work, "id long, name long, check long, n_bytes long")
 
 
-def shared_anchors(documents: DataFrame, text: str, tasks: int) -> DataFrame:
+def shared_anchors(documents: DataFrame, text: str, tasks: int, clashing: np.ndarray) -> DataFrame:
     """``anchor`` and ``name`` for all anchors that two different texts or more have.
 
     Digests travel packed, one row per block and bucket; a task keeps distinct ones only.
@@ -63,7 +69,7 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
             data, offsets = common.text_bytes(block.column("text"))
-            names = _names(_text_list(data, offsets))
+            names = _names(_text_list(data, offsets), clashing)
             of, _, _, digest = anchors.window_groups(data, offsets, WINDOW, GRAM)
             _, once = np.unique(names, return_index=True)
             first = np.zeros(block.num_rows, bool)
@@ -78,13 +84,13 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int) -> DataFrame:
     return dealt.mapInArrow(common.met_twice(2 * TASK_DIGESTS, "anchor", "name"), "anchor long, name long")
 
 
-def _occurrences(texts: DataFrame, tasks: int) -> DataFrame:
+def _occurrences(texts: DataFrame, tasks: int, clashing: np.ndarray) -> DataFrame:
     """Strings of windows with one anchor, for the anchors listed with each text: anchor, digest, id, name, place, windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
             data, offsets = common.text_bytes(block.column("text"))
-            own = _names(_text_list(data, offsets)) == block.column("name").to_numpy(zero_copy_only=False)
+            own = _names(_text_list(data, offsets), clashing) == block.column("name").to_numpy(zero_copy_only=False)
             of, first, count, digest = anchors.window_groups(data, offsets, WINDOW, GRAM)
             short = common.short(digest, tasks).view(np.uint64)
             wanted = block.column("anchors")
@@ -105,13 +111,13 @@ def _occurrences(texts: DataFrame, tasks: int) -> DataFrame:
     return texts.mapInArrow(work, "anchor long, digest long, id long, name long, place int, windows int")
 
 
-def _strings(texts: DataFrame) -> DataFrame:
+def _strings(texts: DataFrame, clashing: np.ndarray) -> DataFrame:
     """The bytes that are ``asked`` of each text: anchor, digest, id, n, bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
             data, offsets = common.text_bytes(block.column("text"))
-            names = _names(_text_list(data, offsets))
+            names = _names(_text_list(data, offsets), clashing)
             whole, asked = data.tobytes(), block.column("asked")
             flat = asked.flatten()
             of = np.repeat(np.arange(block.num_rows), pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))
@@ -198,8 +204,8 @@ def _earliest(distinct: DataFrame) -> DataFrame:
     return distinct.select("anchor", "digest", "bytes", "id").mapInArrow(work, "anchor long, digest long, earliest array<long>")
 
 
-def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -> DataFrame:
-    """id, text, what is ``carried``, and what is to be removed from each row.
+def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -> tuple[DataFrame, np.ndarray]:
+    """id, text, what is ``carried``, and what is to be removed from each row; and the names that are not used.
 
     ``covered`` is an array of (name, spans): in the text of that name, windows go from span >> 32 on, up to the low half of span.
     ``copied`` holds the names of the row's key whose whole text an earlier document has. Texts meet what belongs to them by id, three times.
@@ -207,28 +213,33 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     spark = documents.sparkSession
     plain = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), *carried)
     rows = plain.where("id IS NOT NULL")
-    names = materialise(named(rows, "id", "text"), "named")
-    nodes = names.groupBy("name").agg(F.min("id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
-    nodes = materialise(nodes, "named-once")
-    if nodes.where("low <> high").limit(1).count():
-        raise RuntimeError("two different texts have one 64-bit digest")
+    clashing = np.zeros(0, np.uint64)
+    while True:
+        names = materialise(named(rows, "id", "text", clashing), "named")
+        nodes = names.groupBy("name").agg(F.min("id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
+        nodes = materialise(nodes, "named-once")
+        # names that two different texts got: some hundred at 10^11 texts, by the birthday bound; those texts take their other digest
+        clashes = [r["name"] for r in nodes.where("low <> high").select("name").collect()]
+        if not clashes:
+            break
+        clashing = np.union1d(clashing, np.array(clashes, np.int64).view(np.uint64))
     total = names.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(parts, total // 16 // TASK_DIGESTS + 1)
-    shared = shared_anchors(rows, "text", tasks)
+    shared = shared_anchors(rows, "text", tasks, clashing)
     listed = shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors")).join(nodes.select("name", "first"), "name")
     # each step is written: what it shuffled can go then, and a lost task repeats no earlier step
     listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors")
     tasks_by_size = max(parts, total // 16_000_000 + 1)
     texts = rows.repartition(tasks_by_size, "id")
-    found = materialise(_occurrences(texts.select("id", "text").join(listed, "id"), tasks), "occurrences")
+    found = materialise(_occurrences(texts.select("id", "text").join(listed, "id"), tasks, clashing), "occurrences")
     distinct = found.groupBy("anchor", "digest").agg(F.min(F.struct("id", "name", "place", "windows")).alias("own"))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
     several = materialise(distinct.select("anchor", "digest", "own.*").join(sizes, "anchor"), "strings")
     # a single string needs no comparing: all its windows are its first holder's, ``low``
     single = several.where("n = 1").select("anchor", "digest", F.col("id").alias("low"), F.lit(None).cast("array<long>").alias("earliest"))
     asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
-    strings = materialise(_strings(texts.select("id", "text").join(asked, "id")), "bytes")
+    strings = materialise(_strings(texts.select("id", "text").join(asked, "id"), clashing), "bytes")
     compared = strings.where(F.col("n") <= MAX_STRINGS).repartition(tasks_by_size, "anchor").sortWithinPartitions("anchor")
     # windows of the others, each whole, as 96 bits of hash beside the anchor's 64
     windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
@@ -254,14 +265,14 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     spans = materialise(spans, "spans")
     copies = names.join(nodes, "name").where("first < id").groupBy("id").agg(F.collect_set("name").alias("copied"))
     marked = texts.join(spans, "id", "left").join(copies, "id", "left")
-    return marked.unionByName(plain.where("id IS NULL"), allowMissingColumns=True)
+    return marked.unionByName(plain.where("id IS NULL"), allowMissingColumns=True), clashing
 
 
-def _cut(block: pa.RecordBatch) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, list[int]]:
+def _cut(block: pa.RecordBatch, clashing: np.ndarray) -> tuple[np.ndarray, list[list[bytes]], np.ndarray, list[int]]:
     """Bytes of each text, the pieces that are kept of it, bytes and runs removed."""
     data, offsets = common.text_bytes(block.column("text"))
     texts = _text_list(data, offsets)
-    names = _names(texts)
+    names = _names(texts, clashing)
     kept, removed, n_runs = [], [], []
     for k, (t, covered, copied) in enumerate(zip(texts, block.column("covered").to_pylist(), block.column("copied").to_pylist())):
         name = int(names[k])
@@ -289,11 +300,11 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     is the input, never what is left. Texts shorter than a window lose nothing; null texts are empty; rows that share a
     key don't judge each other; rows without a key neither judge nor lose anything; no rows give no rows.
     """
-    marked = with_removals(documents, key, text)
+    marked, clashing = with_removals(documents, key, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
-            sizes, pieces, removed, n_runs = _cut(block)
+            sizes, pieces, removed, n_runs = _cut(block, clashing)
             kept = [b"".join(p) for p in pieces]
             yield pa.RecordBatch.from_arrays(
                 [block.column("id"), pa.array(sizes), pa.array(removed), pa.array(n_runs, pa.int64()), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept"]
@@ -309,12 +320,12 @@ def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text",
     empty, a null text stays null. ``length``, if there is such a column, becomes the characters of the new text.
     """
     names = [c for c in documents.columns if c != text]
-    marked = with_removals(documents, key, text, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    marked, clashing = with_removals(documents, key, text, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     row = marked.select("row").schema.fields[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text", 2_000_000):
-            _, pieces, _, _ = _cut(block)
+            _, pieces, _, _ = _cut(block, clashing)
             missing = block.column("text").is_null().to_pylist()
             texts = [None if m else "".join(p.decode("utf-8", "ignore") for p in own) for m, own in zip(missing, pieces)]
             yield pa.RecordBatch.from_arrays([block.column("row"), pa.array(texts, pa.string())], ["row", "text"])

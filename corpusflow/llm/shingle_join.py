@@ -29,6 +29,9 @@ SMALL = 64
 #: Part digests a task of the pigeonhole join gets, about.
 TASK_DIGESTS = 1_000_000
 
+#: Pairs of sets that a task compares at a time, and sets of one part that are compared in one group.
+BLOCK_PAIRS, CHUNK_SETS = 1_000_000, 4096
+
 #: So many ids are broadcast to the scan at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -105,26 +108,29 @@ def part_digests(shingles: np.ndarray, of: np.ndarray, n: np.ndarray, step: int)
     return common.mix(digest ^ common.mix((band[at].astype(np.uint64) << np.uint64(48)) ^ part[at].astype(np.uint64))), of[at]
 
 
-def _names(shingles: np.ndarray, of: np.ndarray, n: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each set; the first, with bit 0 clear, is its name."""
+def _names(shingles: np.ndarray, of: np.ndarray, n: np.ndarray, clashing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set; the first, with bit 0 clear, is its name, unless it is ``clashing``: then the second one is."""
     sums = []
-    for k in (2 * salt + 1, 2 * salt + 2):
+    for k in (1, 2):
         total = np.zeros(len(n), np.uint64)
         begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
         if len(begins):
             total[of[begins]] = np.add.reduceat(common.mix(shingles ^ np.uint64(k)), begins)
         sums.append(common.mix(total ^ n.astype(np.uint64)))
-    return (sums[0] & ~np.uint64(1)).view(np.int64), sums[1].view(np.int64)
+    name, check = sums[0] & ~np.uint64(1), sums[1]
+    other = np.isin(name, clashing)
+    name, check = np.where(other, check & ~np.uint64(1), name), np.where(other, name, check)
+    return name.view(np.int64), check.view(np.int64)
 
 
-def sketched(documents: DataFrame, key: str, text: str, salt: int) -> DataFrame:
+def sketched(documents: DataFrame, key: str, text: str, clashing: np.ndarray) -> DataFrame:
     """Per row: id, size of the set, name and check digest, slack of either scheme, sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             shingles, of = shingle_sets(block.column("text"))
             n = np.bincount(of, minlength=block.num_rows).astype(np.int64)
-            name, check = _names(shingles, of, n, salt)
+            name, check = _names(shingles, of, n, clashing)
             slack = []
             for step in (0, 1):
                 _, whose = part_digests(shingles, of, n, step)
@@ -144,7 +150,7 @@ def sketched(documents: DataFrame, key: str, text: str, salt: int) -> DataFrame:
     return rows.mapInArrow(work, f"id {kind}, n long, name long, check long, slack_0 long, slack_1 long, sketch array<long>")
 
 
-def shared_parts(documents: DataFrame, text: str, salt: int, tasks: int) -> DataFrame:
+def shared_parts(documents: DataFrame, text: str, clashing: np.ndarray, tasks: int) -> DataFrame:
     """``part`` and ``who`` (the set's name, bit 0 telling its scheme) of all part digests that two sets or more have.
 
     Digests travel packed by bucket, one row per block and bucket. A task reads its buckets in pieces and keeps
@@ -155,7 +161,7 @@ def shared_parts(documents: DataFrame, text: str, salt: int, tasks: int) -> Data
         for block in common.blocks(batches, "text"):
             shingles, of = shingle_sets(block.column("text"))
             n = np.bincount(of, minlength=block.num_rows).astype(np.int64)
-            name, _ = _names(shingles, of, n, salt)
+            name, _ = _names(shingles, of, n, clashing)
             _, once = np.unique(name, return_index=True)  # copies within the block count once
             first = np.zeros(block.num_rows, bool)
             first[once] = True
@@ -194,28 +200,117 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common_size >= 75 * union).select("a", "b")
 
 
+def _across(rest: DataFrame) -> DataFrame:
+    """``a`` and ``b``, the smaller first: the pairs of sets in one part but different components that may be linked.
+
+    ``rest`` has part, sets (in the part), name, component, n, sketch. A part of very many sets is cut into chunks by name, and every two
+    chunks meet in a group of their own. A task compares in numpy and gives a pair of the many parts it may share only once
+    per BLOCK_PAIRS found.
+    """
+    chunks = F.ceil(F.col("sets") / CHUNK_SETS).cast("int")
+    rows = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("name"), "chunks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    rows = rows.select("part", "chunk", "name", "component", "n", "sketch", other)
+    rows = rows.select("part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "name", "component", "n", "sketch")
+
+    def near(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, low, high, chunk, name, component, n, lanes = columns
+        open_ = (component[left] != component[right]) & ((low[left] == high[left]) | (chunk[left] != chunk[right]))
+        open_ &= (4 * n[left] >= 3 * n[right]) & (4 * n[right] >= 3 * n[left])
+        left, right = left[open_], right[open_]
+        distance = np.zeros(len(left), np.int64)
+        for k in range(lanes.shape[1]):
+            distance += np.bitwise_count(lanes[left, k] ^ lanes[right, k])
+        may = 7 * distance <= n[left] + n[right]
+        x, y = name[left[may]], name[right[may]]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def once(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for columns in _whole_groups(batches):
+            part, low, high = columns[:3]
+            new = np.ones(len(part), bool)
+            new[1:] = (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            ends = np.append(np.flatnonzero(new)[1:], len(part))
+            at = np.arange(len(part))
+            after = ends[np.cumsum(new) - 1] - at - 1  # rows of the group behind each
+            upto = np.cumsum(after)
+            begin = 0
+            while begin < len(at):
+                done = upto[begin - 1] if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(upto, done + BLOCK_PAIRS, side="right")))
+                times = after[begin:stop]
+                left = np.repeat(at[begin:stop], times)
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+                found.append(near(columns, left, right))
+                begin = stop
+                if sum(len(f[0]) for f in found) > BLOCK_PAIRS:
+                    yield once(found)
+                    found = []
+        if found:
+            yield once(found)
+        common.release()
+
+    dealt = rows.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high")
+    return dealt.mapInArrow(meet, "a long, b long")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows in order of part, low and high, in pieces that hold whole groups; the last column is the sketches' lanes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+        columns.append(batch.columns[-1].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1))
+        last = (columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1])
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        same = held and all(held[-1][k][-1] == columns[k][0] for k in range(3))
+        if held and not same:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        if cut:
+            held.append([c[:cut] for c in columns])
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` per row: the smallest key it reaches over links.
 
-    Equal sets are one node from the start, so copies cost nothing; links between different texts are all found.
+    Equal sets are one node from the start, so copies cost nothing. Links are found as far as components need them: pairs that are in one
+    component already are not compared any more.
     Rows whose key is null are linked like others but don't name a component: among such only, it is null.
     Null texts, and texts without words, have no shingles and their own key as component; rows that repeat, or
     share a key, are judged by their own text; no rows give no rows; other columns are not read.
     """
-    salt = 0
+    clashing = np.zeros(0, np.uint64)
     while True:
-        rows = materialise(sketched(documents, key, text, salt), "sketched")
+        rows = materialise(sketched(documents, key, text, clashing), "sketched")
         nodes = rows.where("n > 0").groupBy("name").agg(
             F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"), *[F.first(c).alias(c) for c in ("n", "slack_0", "slack_1", "sketch")]
         )
         nodes = materialise(nodes, "nodes")
-        total, clash = nodes.agg(F.sum("n"), F.sum(F.when(F.col("low") != F.col("high"), 1).otherwise(0))).first()
-        if not clash:
+        # names that two different sets got: some hundred at 10^11 sets, by the birthday bound; those sets take their other digest
+        clashes = [r["name"] for r in nodes.where("low <> high").select("name").collect()]
+        if not clashes:
             break
-        salt += 1  # two different sets got one name; the next names are others
+        clashing = np.union1d(clashing, np.array(clashes, np.int64).view(np.uint64))
+    total = nodes.agg(F.sum("n")).first()[0]
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TASK_DIGESTS + 1)
-    shared = materialise(shared_parts(documents, text, salt, tasks), "shared-parts")
+    shared = materialise(shared_parts(documents, text, clashing, tasks), "shared-parts")
 
     # each set joins on its rarest parts only: of its agreeing parts with a linked one, one is among them
     counts = shared.groupBy("part").agg(F.count("*").alias("sets"))
@@ -233,21 +328,23 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     near = star.join(x, "a").join(y, "b").where(_may_link("x", "y"))
     best = near.groupBy("a").agg(F.min(F.struct(_distance("x.sketch", "y.sketch").alias("d"), "b"))["b"].alias("b"))
     wanted = joined.select("name").distinct()
-    sets = _sets_of(documents, key, text, salt, wanted, nodes)
+    sets = _sets_of(documents, key, text, clashing, wanted, nodes)
     first = materialise(_verified(best, sets), "links")
     found = components(first)
 
     # then all pairs of one part that are not yet in one component
     labelled = joined.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    open_parts = labelled.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("part")
-    rest = materialise(labelled.join(open_parts, "part", "left_semi").join(sketches, "name"), "open-parts")
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.component") < F.col("y.component")) & _may_link("x", "y"))
-    second = _verified(across.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), sets)
+    parts = labelled.groupBy("part").agg(F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_parts = materialise(parts.where("low <> high").select("part", "sets"), "open-parts")
+    rest = labelled.join(open_parts, "part").join(sketches, "name")
+    across = materialise(_across(rest).distinct(), "candidates")
+    second = _verified(across, sets)
     reached = components(first.unionByName(second))
     smallest = nodes.join(reached.withColumnRenamed("node", "name"), "name").groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = reached.join(smallest, "component").select(F.col("node").alias("name"), "component_id")
     own = nodes.select("name", F.col("id").alias("own_id"))
     ids = own.join(of_node, "name", "left").select("name", F.coalesce("component_id", "own_id").alias("component_id"))
+    ids = materialise(ids, "component-ids")  # so that a set that very many rows have can be split in the join
     labelled_rows = rows.select("id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(ids, "name", "left")
     return labelled_rows.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
@@ -278,14 +375,14 @@ def one_per_component(documents: DataFrame, key: str = "doc_id", text: str = "te
     return once.unionByName(packed_rows.dropDuplicates(["id", "content"]).select("row.*"))
 
 
-def _sets_of(documents: DataFrame, key: str, text: str, salt: int, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets_of(documents: DataFrame, key: str, text: str, clashing: np.ndarray, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and its shingles for the wanted names: one text per name is read again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             shingles, of = shingle_sets(block.column("text"))
             n = np.bincount(of, minlength=block.num_rows).astype(np.int64)
-            name, _ = _names(shingles, of, n, salt)
+            name, _ = _names(shingles, of, n, clashing)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.ListArray.from_arrays(offsets, pa.array(shingles.view(np.int64)))], ["node", "shingles"])
 

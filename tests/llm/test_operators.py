@@ -358,3 +358,17 @@ def test_language_of_odd_rows(odd):
     assert all(r.lang_pred in ("en", "de") for r in rows if r.doc_id in (4, 7, 12))
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
+
+
+def test_names_that_clash(spark, odd, monkeypatch):
+    """Two sets or two texts with one name take other ones, and nothing else changes."""
+    joined, cut = (sorted(map(str, f(odd).collect())) for f in (shingle_join.link, passages.dedup))
+
+    def few(digests):
+        """A third of all names are one."""
+        return lambda *args: (lambda name, check: (np.where((name % 3 == 0) & ~np.isin(np.uint64(2), args[-1]), 2, name), check))(*digests(*args))
+
+    monkeypatch.setattr(shingle_join, "_names", few(shingle_join._names))
+    monkeypatch.setattr(passages, "_digests", few(passages._digests))
+    assert sorted(map(str, shingle_join.link(odd).collect())) == joined
+    assert sorted(map(str, passages.dedup(odd).collect())) == cut
