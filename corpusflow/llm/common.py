@@ -40,7 +40,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-            release()
+        release()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +119,14 @@ def per_worker(key, make: Callable):
     return kept.objects[key]
 
 
+def forget() -> None:
+    """Drops what tasks of other operators have left in this worker process."""
+    kept = sys.modules.get("_corpusflow_worker")
+    if kept is not None and getattr(kept, "objects", None):
+        kept.objects.clear()
+        release()
+
+
 def short(values: np.ndarray, buckets: int) -> np.ndarray:
     """64-bit values as bucket * 2**32 + 32 bits of the value: what ``met_twice`` tells apart and gives back."""
     return ((values % np.uint64(buckets)) << np.uint64(32) | values >> np.uint64(32)).astype(np.int64)
@@ -176,6 +184,7 @@ def met_twice(limit: int, value: str, holder: str) -> Callable[[Iterator[pa.Reco
             yield np.concatenate(values), np.concatenate(who)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen, first, known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         for values, who in pieces(batches):
             order = np.lexsort((who, values))
@@ -204,5 +213,6 @@ def met_twice(limit: int, value: str, holder: str) -> Callable[[Iterator[pa.Reco
             known = np.concatenate([known, (sizes > 1)[add]])
             order = np.argsort(seen, kind="stable")
             seen, first, known = seen[order], first[order], known[order]
+            release()
 
     return meet

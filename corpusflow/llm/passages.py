@@ -189,6 +189,7 @@ def _earliest(distinct: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), lists], ["anchor", "digest", "earliest"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         rows: list[tuple] = []
         held = 0
         for batch in batches:
@@ -196,10 +197,12 @@ def _earliest(distinct: DataFrame) -> DataFrame:
                 if held > BATCH_SYMBOLS and row[0] != rows[-1][0]:
                     yield solve(rows)
                     rows, held = [], 0
+                    common.release()
                 rows.append(row)
                 held += len(row[2]) + 1
         if rows:
             yield solve(rows)
+        common.release()
 
     return distinct.select("anchor", "digest", "bytes", "id").mapInArrow(work, "anchor long, digest long, earliest array<long>")
 

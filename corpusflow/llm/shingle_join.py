@@ -29,8 +29,8 @@ SMALL = 64
 #: Part digests a task of the pigeonhole join gets, about.
 TASK_DIGESTS = 1_000_000
 
-#: Pairs of sets that a task compares at a time, and sets of one part that are compared in one group.
-BLOCK_PAIRS, CHUNK_SETS = 1_000_000, 4096
+#: Pairs of sets that a task compares at a time, sets of one part that are compared in one group, and twice the pairs of a least name in one task.
+BLOCK_PAIRS, CHUNK_SETS, TASK_PAIRS = 1_000_000, 4096, 20_000_000
 
 #: So many ids are broadcast to the scan at most; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -203,15 +203,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _across(rest: DataFrame) -> DataFrame:
     """``a`` and ``b``, the smaller first: the pairs of sets in one part but different components that may be linked.
 
-    ``rest`` has part, sets (in the part), name, component, n, sketch. A part of very many sets is cut into chunks by name, and every two
-    chunks meet in a group of their own. A task compares in numpy and gives a pair of the many parts it may share only once
-    per BLOCK_PAIRS found.
+    ``rest`` has part, sets (in the part), least (of their names), salt, name, component, n, sketch. A part of very many sets is cut into chunks
+    by name, and every two chunks meet in a group of their own. Parts go to tasks by their least name, since near copies share many
+    parts and mostly have one least name in them: a task compares in numpy and gives a pair only once per BLOCK_PAIRS found.
     """
     chunks = F.ceil(F.col("sets") / CHUNK_SETS).cast("int")
     rows = rest.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("name"), "chunks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("part", "chunk", "name", "component", "n", "sketch", other)
-    rows = rows.select("part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "name", "component", "n", "sketch")
+    rows = rows.select("part", "least", "salt", "chunk", "name", "component", "n", "sketch", other)
+    rows = rows.select("least", "salt", "part", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "name", "component", "n", "sketch")
 
     def near(columns: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         _, low, high, chunk, name, component, n, lanes = columns
@@ -259,8 +259,8 @@ def _across(rest: DataFrame) -> DataFrame:
             yield once(found)
         common.release()
 
-    dealt = rows.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high")
-    return dealt.mapInArrow(meet, "a long, b long")
+    dealt = rows.repartition("least", "salt", "low", "high").sortWithinPartitions("least", "salt", "part", "low", "high")
+    return dealt.drop("least", "salt").mapInArrow(meet, "a long, b long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -334,8 +334,11 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     # then all pairs of one part that are not yet in one component
     labelled = joined.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    parts = labelled.groupBy("part").agg(F.count("*").alias("sets"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_parts = materialise(parts.where("low <> high").select("part", "sets"), "open-parts")
+    parts = labelled.groupBy("part").agg(F.count("*").alias("sets"), F.min("name").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+    open_parts = materialise(parts.where("low <> high").select("part", "sets", "least"), "open-parts")
+    # the parts of a least name go to several tasks if there is much to compare
+    work = open_parts.groupBy("least").agg(F.ceil(F.sum(F.col("sets") * F.col("sets")) / TASK_PAIRS).alias("spread"))
+    open_parts = open_parts.join(work, "least").select("part", "sets", "least", F.pmod(F.xxhash64("part"), "spread").alias("salt"))
     rest = labelled.join(open_parts, "part").join(sketches, "name")
     across = materialise(_across(rest).distinct(), "candidates")
     second = _verified(across, sets)
