@@ -109,18 +109,20 @@ def generate(df: DataFrame, prompt: Column, client, parallel: int | None = None)
     return called if client.inline else materialise(called, "replies")
 
 
-def cached_generate(calls: DataFrame, client, cache: DataFrame, model: str, now_ms: int) -> DataFrame:
+def cached_generate(
+    calls: DataFrame, client, cache: DataFrame, model: str, now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS
+) -> DataFrame:
     """Replies for ``calls(text, prompt, ...)`` with one model call per distinct missing text.
 
     Copies are reduced to distinct texts on the map side before anything is
     looked up or called. Python replies are written, because a model call must
     not be recomputed. The calls meet the replies in one join on the text's hash
-    and leave texts and prompts behind; a hot text is a skewed left side of that
-    join, which adaptive execution splits.
+    and leave texts and prompts behind. The replies are written first, so that a hot
+    text is a skewed left side of plain tables, which adaptive execution splits.
     """
     keyed = calls.withColumn("model", F.lit(model)).withColumn("text_hash", content_key(F.col("text")))
     distinct = keyed.groupBy("model", "text_hash").agg(F.min("prompt").alias("call_prompt"))
-    looked_up = lookup(distinct, cache, ["model", "text_hash"], now_ms)
+    looked_up = lookup(distinct, cache, ["model", "text_hash"], now_ms, ttl_ms)
     missing = looked_up.filter(~F.col("hit")).select("model", "text_hash", "call_prompt")
     called = generate(missing, F.col("call_prompt"), client).select(
         "model", "text_hash", F.lit(False).alias("hit"), "reply"
@@ -131,7 +133,8 @@ def cached_generate(calls: DataFrame, client, cache: DataFrame, model: str, now_
         F.lit(None).cast("string").alias("error"),
     )
     known = looked_up.filter("hit").select("model", "text_hash", "hit", cached_reply.alias("reply"))
-    return keyed.drop("text", "prompt").join(known.unionByName(called), ["model", "text_hash"])
+    told = materialise(known.unionByName(called), "told")
+    return keyed.drop("text", "prompt").join(told, ["model", "text_hash"])
 
 
 # --- chunked requests -----------------------------------------------------------------------

@@ -9,8 +9,9 @@ from corpusflow import fixed_values as fv
 from corpusflow.functions.errors import run_error
 from corpusflow.operators import jobs
 from corpusflow.plans.interpret import interpret
-from corpusflow.session import materialise
-from corpusflow.sources.reports import report_path
+from corpusflow.session import materialise, scratch_path
+from corpusflow.sources.reports import own_paths
+
 
 def run_batch(
     docs: DataFrame,
@@ -22,6 +23,7 @@ def run_batch(
     *,
     job_id: str = "job",
     retries: int = 0,
+    ledger: str | None = None,
     cancelled: DataFrame | None = None,
     **options,
 ) -> DataFrame:
@@ -30,11 +32,15 @@ def run_batch(
     Documents whose report is in ``existing(output_path)`` are skipped before
     their text is used; documents listed in ``cancelled(doc_id)`` are cancelled
     and never fail. Every attempt is one job over the documents still open and is
-    written before it is split, so finished documents are never called again.
+    written before it is split, so finished documents are never called again. A
+    Python client's chunk calls go through a ledger, so the finished chunks of a failed document are not called again either;
+    give a ``ledger`` folder to resume a job that died. Documents whose names give one report path get paths of their own.
     The rows feed ``jobs.job_state`` and ``reports.batch_report``.
     """
-    named = docs.withColumn("output_path", report_path(folder))
-    names = named.select("doc_id", "name", "output_path")
+    names = materialise(own_paths(docs.select("doc_id", "name", "path"), folder), "outputs")
+    paths = names.select("doc_id", "output_path")
+    if ledger is None and not client.inline and options.get("cache") is None:
+        ledger = scratch_path(docs.sparkSession, "ledger")
     no_text = F.lit(None).cast("string")
 
     def items(df: DataFrame, status: str, skipped: bool, attempts, path, code, message, report) -> DataFrame:
@@ -54,24 +60,27 @@ def run_batch(
             report.alias("report"),
         )
 
-    open_docs = jobs.without_existing(named, existing, "output_path")
+    # texts are only read for documents that are open
+    open_ids = jobs.without_existing(names, existing, "output_path").select("doc_id")
     skipped = jobs.with_existing(names, existing, "output_path")
     parts = [items(skipped, "success", True, 0, F.col("output_path"), no_text, no_text, no_text)]
     if cancelled is not None:
-        stopped = jobs.without_existing(names, existing, "output_path").join(cancelled.select("doc_id"), "doc_id", "left_semi")
+        stopped = names.join(open_ids, "doc_id", "left_semi").join(cancelled.select("doc_id"), "doc_id", "left_semi")
         parts.append(items(stopped, "cancelled", False, 0, no_text, F.lit("CANCELLED"), F.lit(fv.CANCELLED_TEXT), no_text))
-        open_docs = open_docs.join(cancelled.select("doc_id"), "doc_id", "left_anti")
+        open_ids = open_ids.join(cancelled.select("doc_id"), "doc_id", "left_anti")
+    open_ids = materialise(open_ids, "open-documents")
     last = max(retries, 0) + 1
     for attempt in range(1, last + 1):
-        tried = materialise(interpret(open_docs.drop("output_path"), client, instructions, model, **options), "attempt")
-        good = tried.filter(F.col("error").isNull()).withColumn("output_path", report_path(folder))
+        todo = docs.join(open_ids, "doc_id", "left_semi")
+        tried = materialise(interpret(todo, client, instructions, model, ledger=ledger, **options), "attempt")
+        good = tried.filter(F.col("error").isNull()).join(paths, "doc_id")
         parts.append(items(good, "success", False, attempt, F.col("output_path"), no_text, no_text, F.col("report")))
         bad = tried.filter(F.col("error").isNotNull())
         if attempt == last:
             fault = run_error(F.col("error"))
             parts.append(items(bad, "failed", False, attempt, no_text, fault["code"], fault["message"], no_text))
         else:
-            open_docs = open_docs.join(bad.select("doc_id"), "doc_id", "left_semi")
+            open_ids = bad.select("doc_id")
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

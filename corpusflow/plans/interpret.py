@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import replies, templates, text, urls
 from corpusflow.functions.models import chunk_token_limit, model_token_limit
-from corpusflow.operators import calls
+from corpusflow.operators import cache_log, calls
 from corpusflow.operators.chunking import token_chunks
 from corpusflow.operators.hooks import Hooks
+from corpusflow.operators.ledger import resumed_generate
 from corpusflow.session import materialise
 from corpusflow.sources.reports import front_matter_report, markdown_report
 
@@ -67,19 +68,23 @@ def _prepare(docs, model, instructions, max_tokens, chunking, direction, hooks)
     )
 
 
-def _answered(prepared: DataFrame, client, cache, model, now_ms, parallel, hooks) -> DataFrame:
+def _answered(prepared: DataFrame, client, cache, ledger, model, now_ms, parallel, hooks) -> DataFrame:
     """``(doc_id, meta, replies)`` with the replies in chunk order.
 
     Hooks run on rows, one per call, so that column and Python hooks work alike for every client.
     """
-    if client.inline and cache is None and not hooks.around_calls():
+    if client.inline and cache is None and ledger is None and not hooks.around_calls():
         answered = F.transform("prompts", client.respond)
         return prepared.select("doc_id", "meta", answered.alias("replies"))
     rows = prepared.select(
         "doc_id", "meta", F.posexplode_outer(F.arrays_zip(F.col("pieces").alias("text"), F.col("prompts").alias("prompt"))).alias("index", "call")
     ).select("doc_id", "meta", "index", "call.text", "call.prompt")
     rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
-    if cache is None:
+    if ledger is not None:
+        called = resumed_generate(rows.drop("text"), client, ledger, model, parallel).drop("attempt")
+    elif isinstance(cache, str):
+        called = cache_log.generate(rows, client, cache, model, now_ms).drop("hit")
+    elif cache is None:
         called = calls.generate(rows, F.col("prompt"), client, parallel).select("doc_id", "meta", "index", "reply")
     else:
         called = calls.cached_generate(rows, client, cache, model, now_ms)
@@ -104,7 +109,8 @@ def interpret(
     max_tokens: int | None = None,
     chunking: bool = True,
     direction_client=None,
-    cache: DataFrame | None = None,
+    cache: DataFrame | str | None = None,
+    ledger: str | None = None,
     now_ms: int = 0,
     parallel: int | None = None,
     hooks: Hooks | None = None,
@@ -117,10 +123,16 @@ def interpret(
     document's row and nothing is shuffled; otherwise calls are spread one by one
     and come back with one shuffle of the answers by document. The replies of a
     Python client are written to the shared folder first, which runs the calls.
+
+    ``cache`` is a table of entries, or the folder of a ``cache_log``, which then learns
+    the answers. ``ledger`` is a folder that all executors reach: chunk calls that it
+    has an answer for are not made, whether an earlier run failed or died.
     """
+    if ledger is not None and cache is not None:
+        raise ValueError("a job takes its calls from a ledger or from a cache, not from both")
     hooks = hooks or Hooks()
     prepared = _prepare(docs, model, instructions, max_tokens, chunking, direction_client, hooks)
-    answered = _answered(prepared, client, cache, model, now_ms, parallel, hooks)
+    answered = _answered(prepared, client, cache, ledger, model, now_ms, parallel, hooks)
     contents = F.transform("replies", lambda r: r["content"])
     errors = F.filter(F.transform("replies", lambda r: r["error"]), lambda e: e.isNotNull())
     staged = answered.select(

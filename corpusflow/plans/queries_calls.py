@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as fv
 from corpusflow.functions import replies, templates, text
-from corpusflow.operators import calls, chunking, hooks, sse
+from corpusflow.operators import cache_log, calls, chunking, hooks, ledger, sse
 from corpusflow.plans import oracle_views as ov
 from corpusflow.plans import samples, views
+from corpusflow.plans.batch import run_batch
 from corpusflow.plans.interpret import analyse_direction, interpret
 from corpusflow.plans.queries_corpus import text_chunk_sql, token_chunk_sql
 from corpusflow.plans.queries_records import _chunk_cache, _chunk_calls
@@ -75,6 +76,105 @@ def generate_cached(spark, sf_dir):
     return done.select("doc_id", "index", "hit", "reply.content")
 
 
+BAD_LETTER = "ß"
+
+
+def _strict_model(prompt: str) -> tuple[str, int, int]:
+    """A client that fails on one letter."""
+    if BAD_LETTER in prompt:
+        raise ValueError("HTTP_429")
+    return _steady_model(prompt)
+
+
+def _steady_model(prompt: str) -> tuple[str, int, int]:
+    return f"{len(prompt)} {prompt[:20]}", len(prompt), 1
+
+
+@query(
+    "generate_resumed",
+    f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000)}
+    SELECT doc_id, idx AS index, CASE WHEN contains(content, '{BAD_LETTER}') THEN 2 ELSE 1 END AS attempt,
+      length(content) || ' ' || substr(content, 1, 20) AS content, CASE WHEN contains(content, '{BAD_LETTER}') THEN 2 ELSE 1 END AS calls FROM tc""",
+)
+def generate_resumed(spark, sf_dir):
+    """Two runs over all chunks with one ledger: the first fails on some, the second calls only those."""
+    path = scratch_path(spark, "ledger")
+    todo = _chunk_calls(spark, sf_dir).select("doc_id", "index", F.col("text").alias("prompt"))
+    for model in (_strict_model, _steady_model):
+        done = ledger.resumed_generate(todo, calls.CallableClient(model), path, "gpt-4o", parallel=8)
+    made = ledger.read_ledger(spark, path).groupBy(F.col("document").cast("bigint").alias("doc_id"), F.col("chunk").alias("index")).agg(F.count("*").alias("calls"))
+    return done.select("doc_id", "index", "attempt", "reply.content").join(made, ["doc_id", "index"])
+
+
+_BATCH_PATH = "'/out/Doc ' || doc_id % 50 || '_解读' || CASE WHEN n > 1 THEN '-' || substr(sha256(path), 1, 12) ELSE '' END || '.md'"
+
+
+@query(
+    "run_batch",
+    f"""WITH p AS (SELECT doc_id, text, '/corpus/' || doc_id || '/Doc ' || doc_id % 50 || '.txt' AS path, count(*) OVER (PARTITION BY doc_id % 50) AS n FROM documents),
+    s AS (SELECT *, {_BATCH_PATH} AS output_path, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS done, doc_id % 11 = 0 AS stopped, contains(text, '{BAD_LETTER}') AS bad FROM p)
+    SELECT doc_id AS item_id, CASE WHEN done THEN 'success' WHEN stopped THEN 'cancelled' WHEN bad THEN 'failed' ELSE 'success' END AS status, done AS skipped,
+      CASE WHEN done OR stopped THEN 0 WHEN bad THEN 2 ELSE 1 END AS attempts, CASE WHEN done OR NOT (stopped OR bad) THEN output_path END AS output_path,
+      CASE WHEN done THEN NULL WHEN stopped THEN 'CANCELLED' WHEN bad THEN 'RATE_LIMITED' END AS error_code, NOT done AND NOT stopped AND NOT bad AS has_report FROM s""",
+)
+def batch_run(spark, sf_dir):
+    """A batch with a Python client: reports that exist are skipped, some documents are cancelled, some fail twice; names repeat over folders."""
+    name = F.concat(F.lit("Doc "), (F.col("doc_id") % 50).cast("string"), F.lit(".txt"))
+    path = F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string"), F.lit("/"), name)
+    docs = views.documents(spark, sf_dir).select("doc_id", name.alias("name"), path.alias("path"), F.lit("txt").alias("kind"), "text")
+    paths = reports.own_paths(docs.select("doc_id", "name", "path"), "/out")
+    bad = views.table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    existing = paths.join(bad, "doc_id", "left_semi").select("output_path")
+    cancelled = docs.filter("doc_id % 11 = 0").select("doc_id")
+    items = run_batch(docs, existing, calls.CallableClient(_strict_model), samples.INSTRUCTIONS, "gpt-4", "/out", retries=1, cancelled=cancelled, parallel=8)
+    return items.select("item_id", "status", "skipped", "attempts", "output_path", "error_code", F.col("report").isNotNull().alias("has_report"))
+
+
+_LATER_MS = samples.NOW_MS + 3600 * 1000
+
+
+def _two_cached_runs(spark, sf_dir):
+    """Labelled documents first, an hour later all: the folder of the cache, and the second run's replies."""
+    path = scratch_path(spark, "cache-log")
+    todo = _chunk_calls(spark, sf_dir).select("doc_id", "index", "text", F.col("text").alias("prompt"))
+    labelled = views.table(spark, sf_dir, "labels").select("doc_id")
+    first = todo.join(labelled, "doc_id", "left_semi")
+    cache_log.generate(first, calls.CallableClient(_strict_model), path, "gpt-4o", samples.NOW_MS)
+    return path, cache_log.generate(todo, calls.CallableClient(_steady_model), path, "gpt-4o", _LATER_MS)
+
+
+_TWO_RUNS = f"""{text_chunk_sql('v_ff_docs', 1000)},
+    first_run AS (SELECT DISTINCT content FROM tc WHERE doc_id IN (SELECT doc_id FROM labels) AND NOT contains(content, '{BAD_LETTER}'))"""
+
+
+@query(
+    "cache_write_back",
+    f"""WITH RECURSIVE {_TWO_RUNS} SELECT doc_id, idx AS index, content IN (SELECT content FROM first_run) AS hit, length(content) || ' ' || substr(content, 1, 20) AS content FROM tc""",
+)
+def cache_write_back(spark, sf_dir):
+    _, replies_ = _two_cached_runs(spark, sf_dir)
+    return replies_.select("doc_id", "index", "hit", "reply.content")
+
+
+_AGAIN_MS = _LATER_MS + 1000
+
+
+@query(
+    "cache_compacted",
+    f"""WITH RECURSIVE {_TWO_RUNS}, state AS (
+      SELECT sha256(content) AS key, content IN (SELECT content FROM first_run) AS hit, count(*) AS n, max(length(content) || ' ' || substr(content, 1, 20)) AS result, content FROM tc GROUP BY content),
+    e AS (SELECT key, result, hit, CASE WHEN hit THEN n ELSE 0 END AS access_count, CASE WHEN hit THEN {samples.NOW_MS} ELSE {_LATER_MS} END AS written_ms FROM state),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY {_LATER_MS}, key) AS lru_rank, count(*) OVER () AS size FROM e)
+    SELECT key, result, written_ms, {_LATER_MS} AS last_access_ms, access_count FROM ranked WHERE lru_rank > greatest(1, floor(size * 0.1))""",
+)
+def cache_compacted(spark, sf_dir):
+    """The cache after two runs, one round of eviction and a compaction."""
+    path, _ = _two_cached_runs(spark, sf_dir)
+    cache_log.evict(spark, path, 1, 1 << 60, _AGAIN_MS)
+    cache_log.compact(spark, path, _AGAIN_MS)
+    return cache_log.entries(cache_log.read_log(spark, path)).select("key", "result", "written_ms", "last_access_ms", "access_count")
+
+
 PART_SIZE, FAIL_WORD = 800, "unge"
 
 

@@ -12,6 +12,7 @@ from corpusflow import fixed_values as fv
 from corpusflow.functions.keys import join_path, output_name
 from corpusflow.functions.labels import status_label
 from corpusflow.functions.templates import render
+from corpusflow.session import materialise
 
 
 def _yes_no(flag: Column) -> Column:
@@ -153,10 +154,26 @@ def report_path(folder: str) -> Column:
     return join_path(F.lit(folder), output_name(F.col("name")))
 
 
+def own_paths(names: DataFrame, folder: str) -> DataFrame:
+    """``names(doc_id, name, path)`` with an ``output_path`` each.
+
+    Where names of several sources give one path, each gets the start of its source path's
+    SHA-256 behind the name, so none overwrites another and a later run finds the same paths.
+    """
+    wanted = names.withColumn("output_path", report_path(folder))
+    shared = wanted.groupBy("output_path").agg(F.min(F.coalesce("path", F.lit(""))).alias("low"), F.max(F.coalesce("path", F.lit(""))).alias("high")).filter("low <> high")
+    shared = materialise(shared.select("output_path", F.lit(True).alias("shared")), "shared-paths")
+    own = F.regexp_replace("output_path", r"(\.[^.]*)$", "")
+    ending = F.regexp_extract("output_path", r"(\.[^.]*)$", 1)
+    apart = F.concat(own, F.lit("-"), F.substring(F.sha2(F.coalesce("path", F.lit("")), 256), 1, 12), ending)
+    met = wanted.join(shared, "output_path", "left")
+    return met.select(*names.columns, F.when(F.col("shared"), apart).otherwise(F.col("output_path")).alias("output_path"))
+
+
 def batch_report(items: DataFrame, state: DataFrame, generated_at: str) -> DataFrame:
     """Sections ``(job_id, section_no, content)`` of the reports of jobs with more than one item.
 
-    Section 0 is the head with the totals, then one section per item in item
+    Section -1 is the head with the totals, then one section per item in item
     order. A job of any size stays spread over tasks: ``write_sections`` sorts
     by range instead of gathering a job.
     """
