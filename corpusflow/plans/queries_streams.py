@@ -11,7 +11,7 @@ from corpusflow.plans.queries_records import _chunk_cache, _chunk_calls
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.reports import write_reports
-from corpusflow.streaming import streams
+from corpusflow.streaming import stateful, streams
 
 
 def _live(sf_dir: str) -> views.LiveDir:
@@ -103,3 +103,60 @@ def stream_ingest(spark, sf_dir):
         streams.append_available(found, sink, checkpoint)
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
     return spark.read.parquet(sink).select(name.alias("name"), "text", "run")
+
+
+# --- streams whose state ends ---------------------------------------------------------------------
+
+
+def _dropped(rows, name: str, part, heartbeat: dict):
+    """``rows`` as a stream of one file per value of ``part``, in that order, and a last row a year later that ends all state."""
+    spark = rows.sparkSession
+    folder = scratch_path(spark, name)
+    for k in range(2):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
+    last.select(*[F.lit(heartbeat.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in rows.schema]).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query(
+    "stream_calls",
+    """SELECT conv_id * 1000 + turn AS call_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: x || ' '), '') AS content,
+    length(text) AS prompt_tokens, 2 AS completion_tokens, length(text) AS total_tokens, (conv_id * 1000 + turn) % 5 <> 0 AS complete FROM conversations""",
+)
+def stream_calls(spark, sf_dir):
+    """Calls in two halves; every fifth has no end mark and comes out without it."""
+    lines = views.sse_lines(spark, sf_dir).filter("call_id % 5 <> 0 OR line <> 'data: [DONE]'")
+    lines = lines.select("*", F.timestamp_millis(samples.NOW_MS + F.col("call_id") * 10 + F.col("line_no")).alias("ts"))
+    live = _dropped(lines, "call-lines", F.when(F.col("line_no") < 3, 0).otherwise(1), {"line": ""})
+    return stateful.stateful_appended(stateful.call_stream(live, quiet_ms=365 * 12 * 3600 * 1000, late="100 days"), "calls")
+
+
+_TTL_MS = 6 * 3600 * 1000
+
+
+@query(
+    "stream_cache_ttl",
+    f"""WITH RECURSIVE a AS (SELECT event_id AS access_id, model, key AS text_hash, ts_ms, row_number() OVER (PARTITION BY model, key ORDER BY ts_ms, event_id) AS n FROM v_cache_log),
+    run AS (SELECT *, ts_ms AS written_ms, false AS hit FROM a WHERE n = 1
+      UNION ALL SELECT a.access_id, a.model, a.text_hash, a.ts_ms, a.n, CASE WHEN a.ts_ms - r.written_ms <= {_TTL_MS} THEN r.written_ms ELSE a.ts_ms END, a.ts_ms - r.written_ms <= {_TTL_MS}
+      FROM run r JOIN a ON a.model = r.model AND a.text_hash = r.text_hash AND a.n = r.n + 1)
+    SELECT access_id, model, text_hash, hit, 'answer to ' || text_hash AS result, written_ms FROM run""",
+)
+def stream_cache_ttl(spark, sf_dir):
+    """The access log in two halves of time; what missed in the first is a hit in the second while it is fresh."""
+    log = views.cache_log(spark, sf_dir).select(
+        F.col("event_id").alias("access_id"), "model", F.col("key").alias("text_hash"), F.concat(F.lit("answer to "), "key").alias("answer"), F.timestamp_millis("ts_ms").alias("ts")
+    )
+    middle = F.lit("2024-01-15").cast("timestamp")
+    live = _dropped(log, "accesses", F.when(F.col("ts") < middle, 0).otherwise(1), {})
+    return stateful.stateful_appended(stateful.living_cache_stream(live, _TTL_MS), "cache-ttl")
+
+
+@query("stream_rate_state", same_as="stream_rate")
+def stream_rate_state(spark, sf_dir):
+    """The request log in two halves of time; buckets end with the watermark."""
+    requests = views.events(spark, sf_dir).select("event_id", F.timestamp_millis("ts_ms").alias("ts"), (F.col("user_id") % 2).alias("caller"))
+    live = _dropped(requests, "requests", F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), 0).otherwise(1), {"event_id": -1, "caller": -1})
+    rates = stateful.stateful_appended(stateful.rate_stream(live, "caller", window_ms=3600 * 1000), "rate-state")
+    return rates.filter("event_id >= 0")
