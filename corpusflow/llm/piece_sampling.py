@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ _BYTE = 0x10FF00
 _CODES = 0x110000
 _LETTER = np.array([chr(i).isalpha() for i in range(128)])
 _SHIFT = np.int64(21)  # a code point has 21 bits
+#: Words of more symbols are filtered and walked alone; the rounds over all words are as many as the longest of them has.
+LONG_WORD = 256
 
 
 class PieceModel:
@@ -57,7 +60,7 @@ class PieceModel:
                 shown.append(piece.replace(BLANK, " ").encode())
         if any(BLANK in p.lstrip(BLANK) for p in pieces):
             raise ValueError("a piece crosses the start of a word")
-        self.single = {c for c in pieces if len(c) == 1} - {BLANK}
+        self.single = {c for c in pieces if len(c) == 1 and ord(c) < _BYTE} - {BLANK}
         # a full stop or comma behind a letter is cut off where no piece crosses the two
         self.stops = not any(re.search("[A-Za-z][.,]", p) for p in pieces)
         self.longest = max(map(len, pieces))
@@ -85,8 +88,12 @@ class PieceModel:
 
     def _symbols(self, text: str) -> str:
         """The text behind one more blank; what is no piece, and a blank mark of the text itself, as bytes."""
-        for c in set(text) - self.single - {" "}:
-            text = text.replace(c, "".join(chr(_BYTE + b) for b in c.encode()))
+        others = {c: "".join(chr(_BYTE + b) for b in c.encode()) for c in set(text) - self.single - {" "}}
+        if others and ord(max(others)) >= _BYTE:
+            # the text has characters that look like those for bytes, so all must be put in at once
+            return " " + text.translate({ord(c): symbols for c, symbols in others.items()})
+        for c, symbols in others.items():
+            text = text.replace(c, symbols)
         return " " + text
 
     def _words(self, symbols: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,13 +150,20 @@ class PieceModel:
         alpha = np.zeros(len(codes) + len(ends))
         top, total = np.full(len(alpha), -np.inf), np.zeros(len(alpha))
         weight, reach = self.weight[node], np.zeros(len(end))
-        order = _stable(nth, int(nth.max()) + 1)
+        # long words one by one, so that their depth costs the others nothing
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            last = int(ends[k]) + k
+            own = slice(*np.searchsorted(end, [last - int(sizes[k]) + 1, last + 1]).tolist())
+            reach[own] = _filtered(start[own], end[own], weight[own])
+            total[end[own]] = reach[own]  # the last of an end's edges stays
+        short = np.flatnonzero(sizes[word] <= LONG_WORD)
+        order = short[_stable(nth[short], int(nth.max()) + 1)]
         order = order[_stable(depth[order], int(depth.max()) + 1)]
         key = depth[order] * (self.longest + 1) + nth[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        depths = depth[order[edge]]
-        for a, b in zip(*(x.tolist() for x in _groups(depths))):
-            groups = [order[x:y] for x, y in zip(edge[a:b], np.append(edge, len(order))[a + 1 : b + 1])]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        upto = np.append(edge, len(order))
+        for a, b in zip(*(x.tolist() for x in _groups(depth[order[edge]]))):
+            groups = [order[x:y] for x, y in zip(upto[a:b], upto[a + 1 : b + 1])]
             scores = [alpha[start[g]] + weight[g] for g in groups]  # the ends of a group are distinct
             for g, score in zip(groups, scores):
                 top[end[g]] = np.maximum(top[end[g]], score)
@@ -182,6 +196,11 @@ class PieceModel:
         seed = common.mix(keys)[of]
         word = np.arange(len(at))
         drawn = []
+        long = np.flatnonzero(stops - at > LONG_WORD)
+        for w in long.tolist():
+            drawn += self._walk(w, int(first[w]), int(node[w]), int(behind[w]), seed[w], starts, pieces, reach)
+        short_rounds = len(drawn)
+        word = word[stops - at <= LONG_WORD]
         while len(word):
             own = node[word]
             draw = common.mix(seed[word] ^ common.mix(behind[word] + own - first[word]))
@@ -193,10 +212,26 @@ class PieceModel:
         per_word = np.bincount(np.concatenate([w for w, _ in drawn]), minlength=len(at))
         last = np.cumsum(per_word) - 1
         ids = np.empty(int(last[-1]) + 1, np.int32)
-        for step, (w, piece) in enumerate(drawn):  # a word's walk came from its end
+        for w, walked in drawn[:short_rounds]:
+            ids[last[w[0]] - np.arange(len(walked))] = walked
+        for step, (w, piece) in enumerate(drawn[short_rounds:]):  # a word's walk came from its end
             ids[last[w] - step] = piece
         return ids, np.bincount(of, per_word, minlength=len(texts)).astype(np.int64)
 
+    @staticmethod
+    def _walk(w: int, first: int, node: int, behind: int, seed: np.uint64, starts: np.ndarray, pieces: np.ndarray, reach: np.ndarray) -> list[tuple]:
+        """The pieces of one long word from its end on, drawn as all others are."""
+        draw = common.mix(seed ^ common.mix(behind + np.arange(node - first + 1)))
+        u = ((draw >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+        low = int(np.searchsorted(reach, first, side="right"))
+        high = int(np.searchsorted(reach, node + 1.0, side="right"))
+        own, begin, walked = reach[low:high].tolist(), starts[low:high].tolist(), []
+        while node > first:
+            edge = bisect_right(own, node + u[node - first])
+            walked.append(low + edge)
+            node = begin[edge]
+        return [(np.full(len(walked), w), pieces[walked])]
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts one behind the other, and their offsets."""
         sizes = self.shown_lengths[ids]
@@ -211,6 +246,24 @@ class PieceModel:
         return data[keep], ends - np.concatenate([[0], np.cumsum(some)])
 
 
+def _filtered(start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Forward filtering of one word, place by place: per edge the sum up to it of its end's ways, over the largest of them."""
+    base = int(start.min())
+    s, e, w = (start - base).tolist(), (end - base).tolist(), weight.tolist()
+    alpha, reach, at = [0.0] * (e[-1] + 1), [], 0
+    while at < len(s):
+        place, scores = e[at], []
+        while at < len(s) and e[at] == place:
+            scores.append(alpha[s[at]] + w[at])
+            at += 1
+        top, total = max(scores), 0.0
+        for score in scores:
+            total += math.exp(score - top)
+            reach.append(total)
+        alpha[place] = top + math.log(total)
+    return np.array(reach)
+
+
 def _stable(keys: np.ndarray, bound: int) -> np.ndarray:
     """Stable order of keys from 0 to ``bound``; 16 bits at a time, for which numpy counts."""
     order = np.argsort(keys.astype(np.uint16), kind="stable")
