@@ -131,13 +131,15 @@ def _own_block(grams: str, block: str, last: str) -> str:
 
 
 def _run_of_start() -> str:
-    """The best run of template ``t`` from line ``s`` on: one pass over the bigrams that are new behind ``s``, judging each run where its last line ends."""
+    """The best run of template ``t`` from line ``x.line`` on, whose first place is ``x.at``: one pass over the bigrams that are new behind ``s``, judging each run where its last line ends."""
     score = "(acc.h * 1.0D * (acc.h * 2.0D / (acc.a + t.n)))"
     fits = "acc.last > s AND acc.a BETWEEN t.low AND t.high AND acc.h >= t.low AND NOT (s <= first_line AND acc.last >= last_line) AND acc.h * 2.0D / (acc.a + t.n) * 100 >= %PERCENT%"
     judged = f"IF({fits} AND {score} > acc.best.score, struct(CAST(s AS int) AS block, acc.last AS last, acc.h * 2.0D / (acc.a + t.n) AS dice, t.license AS license, {score} AS score), acc.best)"
     zero = "struct(0 AS a, 0 AS h, CAST(s AS int) AS last, struct(CAST(s AS int) AS block, CAST(s AS int) AS last, 0.0D AS dice, CAST(NULL AS string) AS license, 0.0D AS score) AS best)"
     step = f"struct(acc.a + 1 AS a, acc.h + IF(array_contains(p.of, t.t), 1, 0) AS h, p.l2 AS last, IF(p.l2 > acc.last, {judged}, acc.best) AS best)"
-    return f"aggregate(filter(pos, p -> p.l1 >= s AND p.prev < s), {zero}, (acc, p) -> {step}, acc -> {judged})"
+    # every bigram counts once, so those behind the template's upper bound can't be in a run that fits
+    of_line = f"aggregate(slice(filter(slice(pos, s_at, size(pos)), p -> p.prev < s), 1, t.high + 1), {zero}, (acc, p) -> {step}, acc -> {judged})"
+    return re.sub(r"\bs\b", "x.line", of_line).replace("s_at", "x.at")
 
 
 RUN_OF_START = _run_of_start()
@@ -173,8 +175,8 @@ def scan(
     of several lines, others are the lines ``block`` to ``last``. A line and the whole text have their best template
     if that reaches ``percent``, equal ones by name. For every template and first line the run of two lines or more (but
     less than the text) that reaches ``percent`` and has the most shared bigrams times Dice is a candidate; of candidates
-    that share a line the first by that product stays, and one that shares a line with a found line, or is of the
-    licence of the whole text, stays only above its product.
+    that share a line the first by that product stays, and one that shares a line with a found line stays only above
+    its product. Of those that stay, runs of the whole text's licence go if the whole text has more of it.
 
     Case, punctuation and anything but ASCII letters and digits are not compared. A block that reaches ``percent`` shares
     at least as many bigrams as the template's lower bound, and so does its text: other texts are done after
@@ -213,17 +215,21 @@ def scan(
         {"pos": "zip_with(pos, prev, (x, y) -> struct(x.g AS g, x.i AS i, x.l1 AS l1, x.l2 AS l2, coalesce(y, 0) AS prev))", "prev": None},
         {"pos": f"transform(array_sort(pos, (a, b) -> a.i - b.i), x -> struct(x.l1 AS l1, x.l2 AS l2, x.prev AS prev, coalesce(element_at(transform(array(x.g), g -> {of}), 1), {none}) AS of))"},
         {"last_line": "array_max(transform(pos, x -> x.l2))", "first_line": "array_min(transform(pos, x -> x.l1))", "lines": "size(split(_f, '\n'))"},
+        {"firsts": "transform(pos, p -> p.l1)"},
         {"starts": "array_distinct(transform(filter(pos, p -> size(p.of) > 0), p -> p.l1))"},
         {"whole": f"filter(transform(IF(lines > 1, array(pos), array()), q -> {_own_block('filter(q, p -> p.prev = 0)', '0', 'lines')}), x -> x.license IS NOT NULL)"},
         {"single": f"filter(transform(starts, s -> {_own_block('filter(pos, p -> p.l1 = s AND p.l2 = s AND p.prev < s)', 's', 's')}), x -> x.license IS NOT NULL)"},
-        {"runs": f"flatten(transform(near, t -> transform(filter(starts, s -> exists(pos, p -> p.l1 = s AND array_contains(p.of, t.t))), s -> {RUN_OF_START})))"},
+        # the lines that begin a bigram of a template: the line, its first place, the templates of its bigrams
+        {"begins": "transform(starts, s -> struct(s AS line, CAST(array_position(firsts, s) AS int) AS at, array_distinct(flatten(transform(filter(pos, p -> p.l1 = s), p -> p.of))) AS of))", "firsts": None},
+        {"runs": f"flatten(transform(near, t -> transform(filter(begins, s -> array_contains(s.of, t.t)), x -> {RUN_OF_START})))"},
         {"runs": f"""aggregate(array_sort(filter(runs, r -> r.license IS NOT NULL AND r.dice * 100 >= {percent}), (a, b) -> CASE
             WHEN a.score > b.score THEN -1 WHEN a.score < b.score THEN 1 WHEN a.block <> b.block THEN a.block - b.block
             WHEN a.last <> b.last THEN a.last - b.last WHEN a.license < b.license THEN -1 WHEN a.license > b.license THEN 1 ELSE 0 END),
             CAST(array() AS array<struct<block:int,last:int,dice:double,license:string,score:double>>),
             (kept, r) -> IF(exists(kept, k -> k.block <= r.last AND k.last >= r.block)
-                OR exists(single, k -> k.block BETWEEN r.block AND r.last AND k.score >= r.score)
-                OR exists(whole, k -> k.license = r.license AND k.score >= r.score), kept, array_append(kept, r)))"""},
+                OR exists(single, k -> k.block BETWEEN r.block AND r.last AND k.score >= r.score), kept, array_append(kept, r)))"""},
+        # only now, so that a part of the whole text's licence still keeps a lesser one from its lines
+        {"runs": "filter(runs, r -> NOT exists(whole, k -> k.license = r.license AND k.score >= r.score))"},
         {"found": f"CAST(transform(array_sort(concat(whole, single, runs)), x -> struct(x.block AS block, x.last AS last, x.dice AS dice, x.license AS license)) AS {kind})"},
     ]
     have = [f"`{key}`", "_f"]

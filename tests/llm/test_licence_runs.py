@@ -62,3 +62,14 @@ def test_runs_have_the_dice_of_brute_force(found):
         assert {f.license for f in rows[name].found} <= set(best)
         top = max(best, key=best.get)
         assert top in {f.license for f in rows[name].found}
+
+
+def test_a_whole_licence_is_that_licence_only(spark):
+    """Each template as it stands, and once more behind other text; equal texts of several names are found by the first."""
+    texts = [(k, n, t) for k, (n, t) in enumerate(licences.TEMPLATES + licences.FULL_TEMPLATES)]
+    rows = [(k, t) for k, _, t in texts] + [(1000 + k, FILLER * 200 + "\n" + (t if "\n" in t else textwrap.fill(t, 70)) + "\n\n" + FILLER * 200) for k, _, t in texts]
+    found = {r.doc_id: {f.license for f in r.found} for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    for k, name, text in texts:
+        same = {n for _, n, t in texts if licences.template_bigrams(t) == licences.template_bigrams(text)}
+        assert found[k] == {min(same)}, name
+        assert found[1000 + k] == {min(same)}, name
