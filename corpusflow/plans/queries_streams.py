@@ -11,7 +11,7 @@ from corpusflow.plans.queries_records import _chunk_cache, _chunk_calls
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources.reports import write_reports
-from corpusflow.streaming import stateful, streams
+from corpusflow.streaming import incremental, stateful, streams
 
 
 def _live(sf_dir: str) -> views.LiveDir:
@@ -108,15 +108,45 @@ def stream_ingest(spark, sf_dir):
 # --- streams whose state ends ---------------------------------------------------------------------
 
 
-def _dropped(rows, name: str, part, heartbeat: dict):
-    """``rows`` as a stream of one file per value of ``part``, in that order, and a last row a year later that ends all state."""
-    spark = rows.sparkSession
-    folder = scratch_path(spark, name)
+def _halves(rows, name: str, part):
+    """The folder of ``rows`` as a stream of one file per value of ``part``, 0 then 1."""
+    folder = scratch_path(rows.sparkSession, name)
     for k in range(2):
         rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _live_files(rows, folder: str):
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _dropped(rows, name: str, part, heartbeat: dict):
+    """``rows`` in two halves as a stream, and a last row a year later that ends all state."""
+    folder = _halves(rows, name, part)
     last = rows.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
     last.select(*[F.lit(heartbeat.get(f.name)).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts") for f in rows.schema]).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return _live_files(rows, folder)
+
+
+@query("stream_job_totals", same_as="job_state")
+def stream_job_totals(spark, sf_dir):
+    """The items of all jobs in two batches, as partial counters that are merged."""
+    items = views.job_items(spark, sf_dir)
+    live = _live_files(items, _halves(items, "job-items", F.col("item_id") % 2))
+    table = incremental.job_table(scratch_path(spark, "job-totals"), compact_every=1)
+    table.run(live, scratch_path(spark, "job-totals-checkpoint"))
+    return incremental.job_states(table, spark)
+
+
+@query("stream_window_totals", same_as="stream_metrics_all")
+def stream_window_totals(spark, sf_dir):
+    """Every metric window, fed in two batches of time."""
+    metrics = views.metrics(spark, sf_dir).withColumn("ts", F.timestamp_millis("ts_ms")).select("ts", "name", "value")
+    live = _live_files(metrics, _halves(metrics, "metrics", F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), 0).otherwise(1)))
+    table = incremental.window_table(scratch_path(spark, "window-totals"))
+    table.run(live, scratch_path(spark, "window-totals-checkpoint"), **incremental.window_lateness(5000, 600_000))
+    found = incremental.window_averages(table, spark)
+    return found.select(F.unix_millis("window_start").alias("window_ms"), "name", F.round("average", 6).alias("average"), "samples")
 
 
 @query(
