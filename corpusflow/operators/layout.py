@@ -163,13 +163,33 @@ def assemble_pages(texts: DataFrame) -> DataFrame:
     return texts.groupBy("doc_id").agg(strip(joined).alias("text"))
 
 
+def document_edges(pages: Column) -> Column:
+    """The lines that ``repeated_edges`` finds, of a document's array of pages (struct with ``lines``)."""
+
+    def candidates(lines: Column) -> Column:
+        three = F.array(F.get(lines, F.lit(0)), F.get(lines, F.lit(1)), F.get(lines, F.size(lines) - 1))
+        return F.array_distinct(F.filter(three, lambda x: x.isNotNull() & is_edge_candidate(x)))
+
+    def repeated(found: Column) -> Column:
+        # sorted, a line that is there often enough equals the one so many places on
+        same = F.filter(found, lambda x, i: F.get(found, i + (fv.EDGE_MIN_REPEAT - 1)) == x)
+        return F.array_distinct(same)
+
+    return let(F.array_sort(F.flatten(F.transform(pages, lambda p: candidates(p["lines"])))), repeated)
+
+
 def clean_layout(items: DataFrame) -> DataFrame:
     """Items to clean document texts.
 
+    Two shuffles: items meet by page, pages by document. There the repeated edges are found in the document's own row, its pages become
+    rows again where they are, and their texts meet by document without moving.
     Documents that end up blank are kept with ``error = EMPTY_CONTENT``.
     """
-    pages = strip_repeated_edges(lines_to_pages(items_to_lines(items)))
-    cleaned = pages.select(*PAGE, drop_page_numbers(F.col("lines")).alias("lines"))
+    pages = lines_to_pages(items_to_lines(items))
+    gathered = pages.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "lines")).alias("pages"))
+    edged = gathered.select("doc_id", document_edges(F.col("pages")).alias("edges"), F.explode("pages").alias("page"))
+    kept = F.when(F.size("edges") > 0, F.filter("page.lines", lambda x: ~F.array_contains("edges", x))).otherwise(F.col("page.lines"))
+    cleaned = edged.select("doc_id", F.col("page.page_no").alias("page_no"), drop_page_numbers(kept).alias("lines"))
     texts = cleaned.select(*PAGE, rebuilt_paragraphs(F.col("lines")).alias("paragraphs")).select(
         *PAGE,
         F.when(

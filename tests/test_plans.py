@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusflow.operators import layout
 from corpusflow.plans import views
 from corpusflow.plans.catalogue import QUERIES
 
@@ -43,3 +44,8 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 def test_top_k_is_not_a_full_sort(spark, sf_dir):
     text = plan(QUERIES["bounded_history"](spark, sf_dir))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+def test_clean_layout_shuffles_by_page_and_by_document(spark, sf_dir):
+    text = plan(layout.clean_layout(views.page_items(spark, sf_dir)))
+    assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text
