@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Bytes of text that a numpy step works on at a time; a longer single text is a block of its own.
 BLOCK_BYTES = 4_000_000
@@ -28,7 +29,11 @@ def release() -> None:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that the texts of a piece have ``limit`` bytes at most, or are one text."""
+    """Cuts Arrow batches so that the texts of a piece have ``limit`` bytes at most, or are one text.
+
+    What this task hasn't asked ``per_worker`` for before is dropped: other operators have left it.
+    """
+    forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,21 +114,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def per_worker(key, make: Callable):
-    """One object per Python worker process, also across its tasks."""
+def _task() -> int:
+    context = TaskContext.get()
+    return -1 if context is None else context.taskAttemptId()
+
+
+def per_worker(key, make: Callable, small: bool = False):
+    """One object per Python worker process, also across its tasks, as long as they all ask for it, or if it is ``small``."""
     kept = sys.modules.setdefault("_corpusflow_worker", types.ModuleType("_corpusflow_worker"))
     if not hasattr(kept, "objects"):
-        kept.objects = {}
+        kept.objects, kept.asked = {}, {}
     if key not in kept.objects:
         kept.objects[key] = make()
+    kept.asked[key] = None if small else _task()
     return kept.objects[key]
 
 
 def forget() -> None:
-    """Drops what tasks of other operators have left in this worker process."""
+    """Drops the objects of this worker process that its present task has not asked for."""
     kept = sys.modules.get("_corpusflow_worker")
-    if kept is not None and getattr(kept, "objects", None):
-        kept.objects.clear()
+    left = [] if kept is None else [k for k, task in kept.asked.items() if task not in (None, _task())]
+    for key in left:
+        del kept.objects[key], kept.asked[key]
+    if left:
         release()
 
 

@@ -41,7 +41,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     Case is folded, and everything between letters is one blank.
     """
-    letter = common.per_worker("letters", _letters)
+    letter = common.per_worker("letters", _letters, small=True)
     raw = [("" if t is None else t.lower() + "\n").encode("utf-32-le", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) // 4 for r in raw]).astype(np.int64)
     chars = np.frombuffer(b"".join(raw), np.uint32)

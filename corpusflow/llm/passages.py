@@ -29,6 +29,8 @@ MAX_STRINGS = 128
 #: Symbols of the suffix arrays made at once.
 BATCH_SYMBOLS = 1_000_000
 TASK_DIGESTS = 1_000_000
+#: Bytes of text of a numpy step, whose arrays of 8-byte numbers are many times as large.
+BLOCK_BYTES = 1_000_000
 
 
 def _digests(texts: list[bytes], clashing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +69,7 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int, clashing: np.nda
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text", 2_000_000):
+        for block in common.blocks(batches, "text", BLOCK_BYTES):
             data, offsets = common.text_bytes(block.column("text"))
             names = _names(_text_list(data, offsets), clashing)
             of, _, _, digest = anchors.window_groups(data, offsets, WINDOW, GRAM)
@@ -81,14 +83,14 @@ def shared_anchors(documents: DataFrame, text: str, tasks: int, clashing: np.nda
 
     packed = documents.select(F.col(text).alias("text")).mapInArrow(emit, common.PACKED)
     dealt = packed.repartition(tasks, "bucket")
-    return dealt.mapInArrow(common.met_twice(2 * TASK_DIGESTS, "anchor", "name"), "anchor long, name long")
+    return dealt.mapInArrow(common.met_twice(TASK_DIGESTS, "anchor", "name"), "anchor long, name long")
 
 
 def _occurrences(texts: DataFrame, tasks: int, clashing: np.ndarray) -> DataFrame:
     """Strings of windows with one anchor, for the anchors listed with each text: anchor, digest, id, name, place, windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text", 2_000_000):
+        for block in common.blocks(batches, "text", BLOCK_BYTES):
             data, offsets = common.text_bytes(block.column("text"))
             own = _names(_text_list(data, offsets), clashing) == block.column("name").to_numpy(zero_copy_only=False)
             of, first, count, digest = anchors.window_groups(data, offsets, WINDOW, GRAM)
@@ -115,7 +117,7 @@ def _strings(texts: DataFrame, clashing: np.ndarray) -> DataFrame:
     """The bytes that are ``asked`` of each text: anchor, digest, id, n, bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text", 2_000_000):
+        for block in common.blocks(batches, "text", BLOCK_BYTES):
             data, offsets = common.text_bytes(block.column("text"))
             names = _names(_text_list(data, offsets), clashing)
             whole, asked = data.tobytes(), block.column("asked")
@@ -306,7 +308,7 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     marked, clashing = with_removals(documents, key, text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text", 2_000_000):
+        for block in common.blocks(batches, "text", BLOCK_BYTES):
             sizes, pieces, removed, n_runs = _cut(block, clashing)
             kept = [b"".join(p) for p in pieces]
             yield pa.RecordBatch.from_arrays(
@@ -327,7 +329,7 @@ def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text",
     row = marked.select("row").schema.fields[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text", 2_000_000):
+        for block in common.blocks(batches, "text", BLOCK_BYTES):
             _, pieces, _, _ = _cut(block, clashing)
             missing = block.column("text").is_null().to_pylist()
             texts = [None if m else "".join(p.decode("utf-8", "ignore") for p in own) for m, own in zip(missing, pieces)]
