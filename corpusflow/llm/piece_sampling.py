@@ -156,8 +156,9 @@ class PieceModel:
             own = slice(*np.searchsorted(end, [last - int(sizes[k]) + 1, last + 1]).tolist())
             reach[own] = _filtered(start[own], end[own], weight[own])
             total[end[own]] = reach[own]  # the last of an end's edges stays
-        short = np.flatnonzero(sizes[word] <= LONG_WORD)
-        order = short[_stable(nth[short], int(nth.max()) + 1)]
+        order = _stable(nth, int(nth.max()) + 1)
+        if (sizes > LONG_WORD).any():
+            order = order[sizes[word[order]] <= LONG_WORD]
         order = order[_stable(depth[order], int(depth.max()) + 1)]
         key = depth[order] * (self.longest + 1) + nth[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
