@@ -48,6 +48,7 @@ PROGRESS_INTERVAL_MS = 100
 RETRY_FIRST_MS = 2000
 RETRY_MAX_MS = 10000
 CLIENT_ATTEMPTS = 3
+FINAL_STATUSES = [401, 403, 404]
 
 # --- fixed values: models --------------------------------------------------------
 MODEL_TOKEN_LIMITS = [

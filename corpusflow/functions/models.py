@@ -74,4 +74,4 @@ def retry_delay(attempt: Column) -> Column:
 
 
 def retry_allowed(status: Column, attempt: Column) -> Column:
-    return ~status.isin(401, 403, 404) & (attempt < fv.CLIENT_ATTEMPTS)
+    return ~status.isin(*fv.FINAL_STATUSES) & (attempt < fv.CLIENT_ATTEMPTS)

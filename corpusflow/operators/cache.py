@@ -18,8 +18,9 @@ def lookup(calls: DataFrame, cache: DataFrame, keys: list[str], now_ms: int, ttl
     """Left join with the cached result; an expired entry is a miss.
 
     Of several entries with one key the newest counts. The age test is a filter on
-    the cache side, so expired rows are dropped before the join; copies of one text
-    on the call side are a skewed left side, which adaptive execution splits.
+    the cache side, so expired rows are dropped before the join. The cache side is an
+    aggregate, which adaptive execution can't split: ask with distinct keys, as
+    ``calls.cached_generate`` does, where one key may be very frequent.
     """
     live = cache.filter(fresh(F.col("written_ms"), F.lit(now_ms), ttl_ms))
     live = live.groupBy(*keys).agg(F.max_by("result", F.struct("written_ms", "result")).alias("cached_result"))
@@ -66,6 +67,60 @@ def evict(cache: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
     return ranked.withColumn("evicted", F.col("lru_rank") <= bound)
 
 
+def lru_cutoff(cache: DataFrame, count: int, buckets: int = 4096, take: int = 10_000) -> tuple[int, str] | None:
+    """Last access and key of the ``count``-th least recently used entry, None if there is none; ties go by key.
+
+    Found by counting: a histogram of access times says which bucket holds the entry, and only that bucket is divided
+    again. Entries of one time are divided by the characters of their keys. At most ``take`` entries are sorted in the end, and the driver holds
+    one histogram at a time, so no row is shuffled. A null time counts as 0, a null key as empty.
+    """
+    found = cache.select(F.coalesce("last_access_ms", F.lit(0)).cast("bigint").alias("at"), F.coalesce("key", F.lit("")).alias("key"))
+    low, high, size = found.agg(F.min("at"), F.max("at"), F.count("*")).first()
+    if count <= 0 or not size:
+        return None
+    rest = min(count, size)
+
+    def choose(group: Column) -> tuple:
+        nonlocal rest, size
+        for value, size in sorted((r[0], r[1]) for r in found.groupBy(group).count().collect()):
+            if rest <= size:
+                break
+            rest -= size
+        return value
+
+    while size > take and low < high:
+        width = (high - low) // buckets + 1
+        low += width * choose(F.floor((F.col("at") - low) / width).cast("bigint"))
+        high = min(high, low + width - 1)
+        found = found.filter(F.col("at").between(low, high))
+    prefix = ""
+    while size > take:
+        following = choose(F.substring("key", len(prefix) + 1, 1))
+        if not following:  # repeated entries of one key
+            return low, prefix
+        prefix += following
+        found = found.filter(F.col("key").startswith(prefix))
+    last = found.orderBy("at", "key").limit(rest).agg(F.max(F.struct("at", "key"))).first()[0]
+    return last["at"], last["key"]
+
+
+def evict_marked(cache: DataFrame, max_entries: int, max_bytes: int, buckets: int = 4096, take: int = 10_000) -> DataFrame:
+    """``evicted`` per entry like ``evict``, without ranks: every entry is compared with the cut-off where it is.
+
+    Rows with one key and time go together; an empty cache stays empty.
+    """
+    size, total = cache.agg(F.count("*"), F.sum(entry_bytes(["text", "result", "model"], 32))).first()
+    over = (total or 0) > max_bytes
+    due = max(1, size // 10) if size >= max_entries or over else 0
+    if over and size // 5 > 0:
+        due = size // 5
+    cut = lru_cutoff(cache, due, buckets, take) if due else None
+    if cut is None:
+        return cache.withColumn("evicted", F.lit(False))
+    at = F.coalesce("last_access_ms", F.lit(0))
+    return cache.withColumn("evicted", (at < cut[0]) | ((at == cut[0]) & (F.coalesce("key", F.lit("")) <= cut[1])))
+
+
 def bulk_entries(loads: DataFrame, now_ms: int) -> DataFrame:
     """Rows of parallel arrays to cache entries; a row whose arrays differ in length loads nothing."""
     same = (F.size("texts") == F.size("results")) & (F.size("texts") == F.size("token_counts"))

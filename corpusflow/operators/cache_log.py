@@ -101,10 +101,10 @@ def compact(spark: SparkSession, path: str, now_ms: int, ttl_ms: int = fv.CACHE_
 
 
 def evict(spark: SparkSession, path: str, max_entries: int, max_bytes: int, now_ms: int) -> DataFrame:
-    """One round of eviction by last access: tombstones for the least recently used; gives ``entries`` with ``lru_rank`` and ``evicted``."""
-    ranked = materialise(cache.evict(entries(read_log(spark, path)), max_entries, max_bytes), "evicted")
-    drop(ranked.filter("evicted"), path, now_ms)
-    return ranked
+    """One round of eviction by last access: tombstones for the least recently used; gives ``entries`` with ``evicted``."""
+    marked = cache.evict_marked(materialise(entries(read_log(spark, path)), "entries"), max_entries, max_bytes)
+    drop(marked.filter("evicted"), path, now_ms)
+    return marked
 
 
 def generate(rows: DataFrame, client, path: str, model: str, now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS) -> DataFrame:

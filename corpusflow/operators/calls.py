@@ -7,6 +7,8 @@ never fails a job.
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,27 +73,51 @@ class StubClient:
         )
 
 
+_FINAL = re.compile(rf"(?<!\d)({'|'.join(map(str, fv.FINAL_STATUSES))})(?!\d)")
+
+
 class CallableClient:
-    """A user's ``prompt -> (content, prompt tokens, completion tokens)`` callable."""
+    """A user's ``prompt -> (content, prompt tokens, completion tokens)`` callable.
+
+    A failed call is tried ``attempts`` times in all, unless its error names a status that no repetition mends. All failed
+    calls of an Arrow batch wait together, after attempt n ``first_wait_ms`` doubled n times, up to the
+    longest wait of ``models.retry_delay``; so a batch waits as often as one call does.
+    """
 
     inline = False
 
-    def __init__(self, call: Callable[[str], tuple[str, int, int]]):
+    def __init__(self, call: Callable[[str], tuple[str, int, int]], attempts: int = 1, first_wait_ms: int = fv.RETRY_FIRST_MS):
         self.call = call
+        self.attempts = attempts
+        self.first_wait_ms = first_wait_ms
 
-    def reply(self, prompt: str) -> tuple:
+    def _once(self, prompt: str) -> tuple:
         try:
             content, asked, answered = self.call(prompt)
             return content, asked, answered, asked + answered, None
         except Exception as error:  # captured per row
             return None, None, None, None, str(error) or type(error).__name__
 
+    def replies(self, prompts: list[str]) -> list[tuple]:
+        found = [self._once(p) for p in prompts]
+        for attempt in range(1, self.attempts):
+            again = [k for k, reply in enumerate(found) if reply[-1] is not None and not _FINAL.search(reply[-1])]
+            if not again:
+                break
+            time.sleep(min(self.first_wait_ms * 2**attempt, fv.RETRY_MAX_MS) / 1000)
+            for k in again:
+                found[k] = self._once(prompts[k])
+        return found
+
+    def reply(self, prompt: str) -> tuple:
+        return self.replies([prompt])[0]
+
     def respond(self, prompt: Column) -> Column:
-        reply = self.reply
+        replies = self.replies
 
         def batches(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for batch in prompts:
-                yield pd.DataFrame([reply(p) for p in batch], columns=REPLY_TYPE.names)
+                yield pd.DataFrame(replies(batch.tolist()), columns=REPLY_TYPE.names)
 
         # hints for pandas_udf, given as objects because annotations here are text
         batches.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow import fixed_values as fv
 from corpusflow.functions.errors import run_error
 from corpusflow.operators import jobs
+from corpusflow.operators.hooks import Hooks
 from corpusflow.plans.interpret import interpret
 from corpusflow.session import materialise, scratch_path
 from corpusflow.sources.reports import own_paths
@@ -25,6 +26,7 @@ def run_batch(
     retries: int = 0,
     ledger: str | None = None,
     cancelled: DataFrame | None = None,
+    hooks: Hooks | None = None,
     **options,
 ) -> DataFrame:
     """Item rows of one job over ``docs(doc_id, name, path, kind, text)``.
@@ -33,11 +35,15 @@ def run_batch(
     their text is used; documents listed in ``cancelled(doc_id)`` are cancelled
     and never fail. Every attempt is one job over the documents still open and is
     written before it is split, so finished documents are never called again. A
-    Python client's chunk calls go through a ledger, so the finished chunks of a failed document are not called again either;
+    Python client's calls go through a ledger, so the finished chunks of a failed document are not called again either;
     give a ``ledger`` folder to resume a job that died. Documents whose names give one report path get paths of their own.
-    The rows feed ``jobs.job_state`` and ``reports.batch_report``.
+    The rows feed ``jobs.job_state`` and ``reports.batch_report``. ``hooks`` go around every call; their observers are called
+    with tables that are written already: ``batch_before`` once with the job's documents and output paths,
+    ``before_parse`` once per attempt with its documents, ``batch_after`` once with the item rows.
     """
+    hooks = hooks or Hooks()
     names = materialise(own_paths(docs.select("doc_id", "name", "path"), folder), "outputs")
+    hooks.notify("batch_before", names)
     paths = names.select("doc_id", "output_path")
     if ledger is None and not client.inline and options.get("cache") is None:
         ledger = scratch_path(docs.sparkSession, "ledger")
@@ -72,7 +78,7 @@ def run_batch(
     last = max(retries, 0) + 1
     for attempt in range(1, last + 1):
         todo = docs.join(open_ids, "doc_id", "left_semi")
-        tried = materialise(interpret(todo, client, instructions, model, ledger=ledger, **options), "attempt")
+        tried = materialise(interpret(todo, client, instructions, model, ledger=ledger, hooks=hooks, **options), "attempt")
         good = tried.filter(F.col("error").isNull()).join(paths, "doc_id")
         parts.append(items(good, "success", False, attempt, F.col("output_path"), no_text, no_text, F.col("report")))
         bad = tried.filter(F.col("error").isNotNull())
@@ -84,4 +90,5 @@ def run_batch(
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
+    hooks.notify("batch_after", result)
     return result

@@ -11,6 +11,7 @@ from corpusflow.operators import cache_log, calls
 from corpusflow.operators.chunking import token_chunks
 from corpusflow.operators.hooks import Hooks
 from corpusflow.operators.ledger import resumed_generate
+from corpusflow.operators.rollups import rolled_rows
 from corpusflow.session import materialise
 from corpusflow.sources.reports import front_matter_report, markdown_report
 
@@ -19,15 +20,31 @@ _USAGE = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 def analyse_direction(client, body: Column) -> Column:
     """Research direction of a text; null when the call fails, which never fails the document."""
-    prompt = templates.direction_prompt(
-        text.abstract_section(body), text.introduction_section(body), text.keywords_section(body)
-    )
     return text.let(
-        client.respond(prompt),
+        client.respond(_direction_prompt(body)),
         lambda r: F.when(r["error"].isNull(), replies.direction(r["content"])),
     )
 
 
+def _direction_prompt(body: Column) -> Column:
+    return templates.direction_prompt(
+        text.abstract_section(body), text.introduction_section(body), text.keywords_section(body)
+    )
+
+
+def _with_direction(base: DataFrame, client, hooks: Hooks) -> DataFrame:
+    """Adds the ``direction`` of ``body``; hooks around calls see its prompt and answer like those of chunks."""
+    if client is None:
+        return base.withColumn("direction", F.lit(None).cast("struct<main:string,subs:array<string>,keywords:array<string>,confidence:double>"))
+    if not hooks.around_calls():
+        return base.withColumn("direction", analyse_direction(client, F.col("body")))
+    asked = base.withColumn("_prompt", hooks.apply("before_call", _direction_prompt(F.col("body"))))
+    answered = asked.withColumn("_reply", client.respond(F.col("_prompt")))
+    answered = answered.withColumn("_answer", hooks.apply("after_call", F.col("_reply.content")))
+    found = F.when(F.col("_reply.error").isNull(), replies.direction(F.col("_answer")))
+    return answered.withColumn("direction", found).drop("_prompt", "_reply", "_answer")
+
+
 def _prepare(docs, model, instructions, max_tokens, chunking, direction, hooks) -> DataFrame:
     """One row per document with its prompts; the text itself is not carried on."""
     asked = F.lit(max_tokens) if max_tokens else model_token_limit(F.lit(model))
@@ -38,10 +55,7 @@ def _prepare(docs, model, instructions, max_tokens, chunking, direction, hooks)
         pieces = F.transform(token_chunks(F.col("body"), limit), lambda c: c["text"])
     else:
         pieces = F.array("body")
-    found = analyse_direction(direction, F.col("body")) if direction is not None else F.lit(None).cast(
-        "struct<main:string,subs:array<string>,keywords:array<string>,confidence:double>"
-    )
-    staged = base.select("*", pieces.alias("pieces"), found.alias("direction"))
+    staged = _with_direction(base.select("*", pieces.alias("pieces")), direction, hooks)
     single = F.size("pieces") <= 1
     staged = staged.withColumn("bounded", F.when(single, templates.bounded_body(F.col("body"))))
 
@@ -68,6 +82,21 @@ def _prepare(docs, model, instructions, max_tokens, chunking, direction, hooks)
     )
 
 
+def _called(rows: DataFrame, client, ledger, model, parallel, hooks) -> DataFrame:
+    """``rows(doc_id, index, prompt, ...)`` with their ``reply`` instead of the prompt; hooks see every prompt and answer."""
+    rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
+    if ledger is not None:
+        called = resumed_generate(rows, client, ledger, model, parallel).drop("attempt")
+    else:
+        called = calls.generate(rows, F.col("prompt"), client, parallel).drop("prompt")
+    return _after_call(called, hooks)
+
+
+def _after_call(called: DataFrame, hooks) -> DataFrame:
+    called = called.withColumn("answer", hooks.apply("after_call", F.col("reply.content")))
+    return called.withColumn("reply", F.col("reply").withField("content", F.col("answer"))).drop("answer")
+
+
 def _answered(prepared: DataFrame, client, cache, ledger, model, now_ms, parallel, hooks) -> DataFrame:
     """``(doc_id, meta, replies)`` with the replies in chunk order.
 
@@ -79,17 +108,15 @@ def _answered(prepared: DataFrame, client, cache, ledger, model, now_ms, paralle
     rows = prepared.select(
         "doc_id", "meta", F.posexplode_outer(F.arrays_zip(F.col("pieces").alias("text"), F.col("prompts").alias("prompt"))).alias("index", "call")
     ).select("doc_id", "meta", "index", "call.text", "call.prompt")
-    rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
-    if ledger is not None:
-        called = resumed_generate(rows.drop("text"), client, ledger, model, parallel).drop("attempt")
-    elif isinstance(cache, str):
-        called = cache_log.generate(rows, client, cache, model, now_ms).drop("hit")
-    elif cache is None:
-        called = calls.generate(rows, F.col("prompt"), client, parallel).select("doc_id", "meta", "index", "reply")
+    if cache is None:
+        called = _called(rows.drop("text"), client, ledger, model, parallel, hooks)
     else:
-        called = calls.cached_generate(rows, client, cache, model, now_ms)
-    called = called.withColumn("answer", hooks.apply("after_call", F.col("reply.content")))
-    called = called.withColumn("reply", F.col("reply").withField("content", F.col("answer"))).drop("answer")
+        rows = rows.withColumn("prompt", hooks.apply("before_call", F.col("prompt")))
+        if isinstance(cache, str):
+            called = cache_log.generate(rows, client, cache, model, now_ms).drop("hit")
+        else:
+            called = calls.cached_generate(rows, client, cache, model, now_ms)
+        called = _after_call(called, hooks)
     ordered = F.array_sort(F.collect_list(F.struct("index", "reply")))
     # one group is one document, so a group is bounded by its chunk count
     return called.groupBy("doc_id").agg(
@@ -125,13 +152,18 @@ def interpret(
     Python client are written to the shared folder first, which runs the calls.
 
     ``cache`` is a table of entries, or the folder of a ``cache_log``, which then learns
-    the answers. ``ledger`` is a folder that all executors reach: chunk calls that it
-    has an answer for are not made, whether an earlier run failed or died.
+    the answers. ``ledger`` is a folder that all executors reach: chunk and roll-up calls that it
+    has an answer for are not made, whether an earlier run failed or died. With a ledger, or with
+    hooks around calls, the rounds of the roll-up are tables of calls too. Observers of
+    ``before_parse`` get the documents without their texts.
     """
     if ledger is not None and cache is not None:
         raise ValueError("a job takes its calls from a ledger or from a cache, not from both")
     hooks = hooks or Hooks()
+    hooks.notify("before_parse", docs.select("doc_id", "name", "path", "kind"))
     prepared = _prepare(docs, model, instructions, max_tokens, chunking, direction_client, hooks)
+    if client.inline and direction_client is not None and not direction_client.inline:
+        prepared = materialise(prepared, "prepared")  # or every action would repeat the direction calls
     answered = _answered(prepared, client, cache, ledger, model, now_ms, parallel, hooks)
     contents = F.transform("replies", lambda r: r["content"])
     errors = F.filter(F.transform("replies", lambda r: r["error"]), lambda e: e.isNotNull())
@@ -142,14 +174,20 @@ def interpret(
     summaries = F.when(many, F.transform("contents", lambda c, i: text.chunk_summary(c, i + 1))).otherwise(
         F.array().cast("array<string>")
     )
-    rolled = calls.rolling_summary(
-        client, F.col("summaries"), F.lit(instructions), F.col("meta.name"), F.col("meta.kind")
-    )
     staged = staged.withColumn("summaries", summaries)
-    staged = staged.withColumn("rollup", F.when(F.size("summaries") > 0, rolled) if client.inline else rolled)
-    if not client.inline:
-        # roll-up calls are written too, or every action would repeat them
-        staged = materialise(staged, "rollups")
+    if ledger is not None or hooks.around_calls():
+        staged = materialise(staged, "answers")
+        todo = staged.select("doc_id", "meta.name", "meta.kind", "summaries")
+        made = rolled_rows(todo, instructions, lambda rows: _called(rows, client, ledger, model, parallel, hooks))
+        staged = staged.join(made, "doc_id", "left")
+    else:
+        rolled = calls.rolling_summary(
+            client, F.col("summaries"), F.lit(instructions), F.col("meta.name"), F.col("meta.kind")
+        )
+        staged = staged.withColumn("rollup", F.when(F.size("summaries") > 0, rolled) if client.inline else rolled)
+        if not client.inline:
+            # roll-up calls are written too, or every action would repeat them
+            staged = materialise(staged, "rollups")
 
     def used(counter: str) -> Column:
         total = F.aggregate("replies", F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r[counter], F.lit(0)))

@@ -61,6 +61,33 @@ def generate_callable(spark, sf_dir):
     return calls.generate(_doc_prompts(spark, sf_dir), F.col("prompt"), client, parallel=8).select("doc_id", "reply.content", "reply.error")
 
 
+class _FlakyModel:
+    """Fails on a prompt of even length once, on a letter for ever; says how often it was asked."""
+
+    def __init__(self):
+        self.asked = {}
+
+    def __call__(self, prompt: str) -> tuple[str, int, int]:
+        times = self.asked[prompt] = self.asked.get(prompt, 0) + 1
+        if BAD_LETTER in prompt:
+            raise ValueError("HTTP_403")
+        if len(prompt) % 2 == 0 and times == 1:
+            raise ValueError("HTTP_503")
+        return f"{times} {prompt[:20]}", len(prompt), 1
+
+
+@query(
+    "generate_retried",
+    """SELECT doc_id, CASE WHEN NOT contains(p, 'ß') THEN CASE WHEN length(p) % 2 = 0 THEN '2 ' ELSE '1 ' END || substr(p, 1, 20) END AS content,
+    CASE WHEN contains(p, 'ß') THEN 'HTTP_403' END AS error FROM (SELECT doc_id, doc_id || ': ' || text AS p FROM documents)""",
+)
+def generate_retried(spark, sf_dir):
+    """Calls that fail are repeated inside the task, but for errors that no repetition mends."""
+    prompt = F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("text"))
+    client = calls.CallableClient(_FlakyModel(), attempts=fv.CLIENT_ATTEMPTS, first_wait_ms=1)
+    return calls.generate(views.documents(spark, sf_dir), prompt, client, parallel=8).select("doc_id", "reply.content", "reply.error")
+
+
 @query(
     "generate_cached",
     f"""WITH RECURSIVE {text_chunk_sql('v_ff_docs', 1000)},
@@ -442,16 +469,14 @@ def hook_chain(spark, sf_dir):
 
 @query("hook_observe", "SELECT count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents")
 def hook_observe(spark, sf_dir):
-    """Counters gathered by an observer while the documents are written, without a second pass."""
-    docs = views.documents(spark, sf_dir).select("doc_id", "n_chars")
-    seen, counters = hooks.counted(
-        docs, "batch", docs=F.count("*"), chars=F.sum("n_chars"), longest=F.max("n_chars")
-    )
+    """What an observer of a job's documents wrote, in one pass with the job's own counters."""
+    path = scratch_path(spark, "observed")
+    seen, _ = hooks.counted(views.documents(spark, sf_dir).select("doc_id", "n_chars"), "batch", docs=F.count("*"), chars=F.sum("n_chars"))
     chain = hooks.Hooks()
-    chain.on_event("batch_before", "write", lambda df: df.write.format("noop").mode("overwrite").save())
+    chain.on_event("batch_before", "broken", _broken)
+    chain.on_event("batch_before", "write", lambda df: df.write.parquet(path))
     chain.notify("batch_before", seen)
-    values = counters.get
-    return spark.range(1).select(*[F.lit(values[n]).cast("bigint").alias(n) for n in ("docs", "chars", "longest")])
+    return spark.read.parquet(path).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
 
 
 # --- reports ------------------------------------------------------------------------------------------------------
@@ -605,7 +630,11 @@ _INTERPRET = f"""bodies AS (SELECT doc_id, 0 AS variant, {ov.strip('text')} AS t
 )
 def interpret_corpus(spark, sf_dir):
     """Flagship: report per document with direction, token chunks, rolling summary and usage."""
-    return interpreted(spark, sf_dir).select(
+    return _report_rows(interpreted(spark, sf_dir))
+
+
+def _report_rows(reports_):
+    return reports_.select(
         "doc_id",
         F.col("chunking.chunk_count").alias("chunks"),
         "content",
@@ -613,3 +642,22 @@ def interpret_corpus(spark, sf_dir):
         "error",
         "report",
     )
+
+
+@query("interpret_hooked", same_as="interpret_corpus")
+def interpret_hooked(spark, sf_dir):
+    """The whole job with hooks around chunk, direction and roll-up calls: what the first of two hooks adds, the second takes away."""
+    chain = hooks.Hooks()
+    for stage in ("before_call", "after_call"):
+        chain.on_text(stage, "mark", hooks.row_hook(lambda value: value + "!"))
+        chain.on_text(stage, "broken", _broken)
+        chain.on_text(stage, "unmark", lambda c: F.substring(c, F.lit(1), F.length(c) - 1))
+    return _report_rows(interpreted(spark, sf_dir, hooks=chain))
+
+
+@query("interpret_resumed", same_as="interpret_corpus")
+def interpret_resumed(spark, sf_dir):
+    """The whole job on a ledger that a first run, whose calls failed on one word, has left."""
+    path = scratch_path(spark, "ledger")
+    interpreted(spark, sf_dir, calls.StubClient(fail_on=FAIL_WORD), ledger=path).write.format("noop").mode("overwrite").save()
+    return _report_rows(interpreted(spark, sf_dir, ledger=path))

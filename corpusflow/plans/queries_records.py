@@ -220,6 +220,17 @@ def lru_evict(spark, sf_dir):
     return cache.evict(views.cache_entries(spark, sf_dir), 100, 20000).select("key", "lru_rank", "evicted")
 
 
+@query(
+    "lru_cutoff",
+    """WITH t AS (SELECT count(*) AS n, sum(2 * (length(text) + length(result) + length(model)) + 32) AS b FROM v_cache_entries),
+    k AS (SELECT CASE WHEN b > 20000 AND floor(n * 0.2) > 0 THEN floor(n * 0.2) WHEN n >= 100 OR b > 20000 THEN greatest(1, floor(n * 0.1)) ELSE 0 END AS k FROM t)
+    SELECT key, r <= (SELECT k FROM k) AS evicted FROM (SELECT key, row_number() OVER (ORDER BY last_access_ms, key) AS r FROM v_cache_entries)""",
+)
+def lru_cutoff(spark, sf_dir):
+    """The same round of eviction by a cut-off that histograms of the access times find."""
+    return cache.evict_marked(views.cache_entries(spark, sf_dir), 100, 20000).select("key", "evicted")
+
+
 @query(
     "cache_stats",
     """SELECT model, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome = 'miss') AS misses, count(*) FILTER (outcome <> 'evict') AS accesses,
