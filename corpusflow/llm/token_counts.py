@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm import common
 from corpusflow.llm.chunk_memo import ChunkEncoder
+from corpusflow.session import materialise
 
 CACHE_SCHEMA = "tokenizer binary, content binary, n_tokens long"
 
@@ -70,4 +71,6 @@ def token_counts(
     counted = encode_counts(misses, path, keeps_space)
     counted.select(version.alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     rows = documents.select(F.col(key).alias(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), content.alias("content"))
-    return rows.join(known(), "content").select(key, "n_bytes", "n_tokens")
+    # one small row per text; written, so that a hot text is a skewed left side of two plain tables, which adaptive execution splits
+    counts = materialise(known(), "token-counts")
+    return rows.join(counts, "content").select(key, "n_bytes", "n_tokens")

@@ -225,6 +225,8 @@ def test_counts_use_the_cache(spark, odd, documents):
     for table in (documents, documents, odd):
         got = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(table, path, cache).collect())
         assert got == Counter((r.doc_id, len((r.text or "").encode()), len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)) for r in table.collect())
+    plan = token_counts.token_counts(documents, path, cache)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("Initial Plan")[-1]  # both sides of the last join are plain, so a hot text can be split
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("content").distinct().count()  # nothing is counted twice
 
