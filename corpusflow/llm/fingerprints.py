@@ -10,6 +10,8 @@ BINS, BITS = 256, 4
 SHINGLE_WORDS = 5
 #: Probes of the first look at an empty bin; a second look goes through all bins.
 PROBES = 12
+#: Text that a key range should hold, and the least and most ranges; beyond 25 TB the ranges grow.
+RANGE_BYTES, RANGES = 1 << 28, (256, 100_000)
 _LANES = 64 // BITS
 
 
@@ -112,37 +114,48 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(near)
 
 
-def _bucket(order: Column, bounds: list[int], low: int = 0) -> Column:
-    """Number of bounds that are ``order`` or less, by a balanced tree of comparisons."""
+def _longs(values: list[int]) -> Column:
+    """An array of constants, as one literal however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _bucket(order: Column, bounds: list[int]) -> Column:
+    """Number of the sorted ``bounds`` that are ``order`` or less, by halving steps."""
     if not bounds:
-        return F.lit(low)
-    half = len(bounds) // 2
-    return F.when(order < bounds[half], _bucket(order, bounds[:half], low)).otherwise(_bucket(order, bounds[half + 1 :], low + half + 1))
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    known = _longs(bounds)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= order, at + step).otherwise(at))
+
 
+def n_ranges(size: int) -> int:
+    """Ranges for ``size`` bytes: one per ``RANGE_BYTES``, within ``RANGES``."""
+    return min(max(RANGES[0], -(-size // RANGE_BYTES)), RANGES[1])
 
-def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], buckets: int = 256) -> DataFrame:
+
+def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], ranges: int = 256) -> DataFrame:
     """Adds ``next_<c>`` for ``columns``: the values of the next row by descending ``key``; the first row follows the last.
 
-    Rows are dealt to key ranges of about equal size by their quantiles; the head of each range is also sent to the range
-    before it, so one shuffle and a window per range do. A null key comes last; rows with equal keys are
-    ordered by ``tie``, equal ones of those anyhow. What the driver holds is two numbers per range.
+    Rows are dealt to ``ranges`` key ranges of about equal size by their quantiles; the head of each range is also sent to the range
+    before it, so one shuffle and a window per range do. A null key comes last; rows with equal keys are in one range,
+    ordered by ``tie``, equal ones of those anyhow. What the driver holds and tasks are sent is four numbers per range.
     """
     lowest = -(2**63)
     order = F.coalesce(F.col(key), F.lit(lowest))
-    quantiles = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []
+    quantiles = rows.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], max(10_000, 40 * ranges))).first()[0] or []
     rows = rows.withColumn("_bucket", _bucket(order, sorted(set(quantiles))))
     heads = rows.groupBy("_bucket").agg(F.max(F.struct(order.alias("key"), F.col(tie).alias("tie"))).alias("head")).collect()  # one per range
-    heads = sorted(((h._bucket, h.head.key, h.head.tie) for h in heads), reverse=True)
-    guest_of = F.lit(None).cast("int")
-    before = {h[0]: g[0] for h, g in zip(heads, heads[-1:] + heads[:-1])}
-    # ranges follow each other, so the tree of comparisons finds the range's head too
-    head_key = F.element_at(F.create_map(*[F.lit(x) for b, k, _ in heads for x in (b, k)]), F.col("_bucket")) if heads else F.lit(None)
-    head_tie = F.element_at(F.create_map(*[F.lit(x) for b, _, t in heads for x in (b, t)]), F.col("_bucket")) if heads else F.lit(None)
-    if heads:
-        to = F.element_at(F.create_map(*[F.lit(x) for b, g in before.items() for x in (b, g)]), F.col("_bucket"))
-        guest_of = F.when((order == head_key) & (F.col(tie) == head_tie), to)
+    heads = sorted((h._bucket, h.head.key, h.head.tie) for h in heads)
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("guest"))
-    sent = F.when(guest_of.isNotNull(), F.array(own, F.struct(guest_of.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    sent = F.array(own)
+    if heads:
+        last = heads[-1][0] + 1
+        head_key, head_tie, to = [lowest] * last, [0] * last, [0] * last
+        for (b, k, t), (before, _, _) in zip(heads, heads[1:] + heads[:1]):
+            head_key[b], head_tie[b], to[b] = k, t, before
+        is_head = (order == F.get(_longs(head_key), F.col("_bucket"))) & (F.col(tie) == F.get(_longs(head_tie), F.col("_bucket")))
+        guest = F.struct(F.get(_longs(to), F.col("_bucket")).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+        sent = F.when(is_head, F.array(own, guest)).otherwise(sent)
     dealt = rows.select(*[c for c in rows.columns if c != "_bucket"], F.explode(sent).alias("_to"))
     inside = Window.partitionBy("_to.bucket").orderBy("_to.guest", F.coalesce(F.col(key), F.lit(lowest)).desc(), F.col(tie).desc())
     led = dealt.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in columns])
@@ -157,7 +170,8 @@ def edited_likeness(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     rows = documents.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = with_fingerprint(rows, "text", "print").withColumn("tie", F.xxhash64("text"))
-    rows = with_next(rows, "doc_id", "tie", ["text", "print"])
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = with_next(rows, "doc_id", "tie", ["text", "print"], n_ranges(size))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))

@@ -161,6 +161,21 @@ def test_fingerprints_estimate_jaccard(odd, documents):
     assert fingerprints.edited_likeness(odd).count() == odd.count()
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 7, 1000])
+def test_next_rows_over_ranges(spark, ranges):
+    keys = random.Random(3).sample(range(-(10**12), 10**12), 300)
+    rows = spark.createDataFrame([(k, f"t{k}", k % 5) for k in keys], "k long, t string, tie long").repartition(4)
+    order = sorted(keys, reverse=True)
+    want = {k: f"t{n}" for k, n in zip(order, order[1:] + order[:1])}
+    assert {r.k: r.next_t for r in fingerprints.with_next(rows, "k", "tie", ["t"], ranges).collect()} == want
+    one = fingerprints.with_next(rows.where(F.col("k") == keys[0]), "k", "tie", ["t"], ranges).collect()
+    assert [r.next_t for r in one] == [f"t{keys[0]}"]
+
+
+def test_ranges_follow_the_size():
+    assert [fingerprints.n_ranges(s) for s in (0, 10**9, 10**12, 10**14)] == [256, 256, 3726, 100_000]
+
+
 # 5
 
 
