@@ -111,6 +111,11 @@ LIKELY_HEADING_PATTERNS = [
 ]
 PARAGRAPH_END_PATTERN = r"[.!?：:]$"
 PARAGRAPH_START_PATTERNS = [r"^[-•*]\s", r"^\d+[.)]\s"]
+PARAGRAPH_SPLIT = f"\\n[{BLANK}]*\\n"
+PAGE_SPLIT = r"\f"
+# the latest of the first, or the first found of the second, past the middle of a window
+TEXT_BREAKS = ["\n\n", "。", "\f"]
+PAGE_BREAKS = ["\n\n", "。\n", "。", "\n"]
 # section marks tried in this order by the token chunker
 CHUNK_SECTION_PATTERNS = [r"\n#\s", r"\n##\s", r"\n###\s", r"\n\d+\.\s", r"\n[A-Z][a-z]+\s*:"]
 SENTENCE_ENDS = [". ", "! ", "? ", ".\n", "!\n", "?\n"]

@@ -1,7 +1,8 @@
 """The main functions for SQL users, as temporary SQL functions.
 
 Bodies are plain SQL over built-ins, so they are inlined into the plan. The
-token chunker comes as an Arrow function: ``SELECT id, inline(cf_token_chunks(text, 1500)) FROM docs``.
+token chunker comes as an Arrow function: ``SELECT id, inline(cf_token_chunks(text, 1500)) FROM docs``,
+the other chunkers as table functions (``table_sql``).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from corpusflow import fixed_values as fv
+from corpusflow.functions.table_sql import register_tables
 from corpusflow.operators.chunking import _token_chunks
 
 
@@ -112,4 +114,4 @@ def register(spark: SparkSession, prefix: str = "cf_") -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {header} RETURN {body}")
         names.append(header.split("(")[0])
     spark.udf.register(f"{prefix}token_chunks", _token_chunks)
-    return [*names, f"{prefix}token_chunks"]
+    return [*names, f"{prefix}token_chunks", *register_tables(spark, prefix)]

@@ -118,7 +118,7 @@ def normalize_line(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Array of trimmed, non-blank paragraphs."""
-    parts = F.split(c, f"\\n[{fv.BLANK}]*\\n")
+    parts = F.split(c, fv.PARAGRAPH_SPLIT)
     return F.filter(F.transform(parts, strip), lambda p: F.length(p) > 0)
 
 

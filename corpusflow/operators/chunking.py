@@ -160,12 +160,12 @@ def _spans(text: Column, size: int, steps: int | None, break_length, last_uncut:
 
 
 def _latest_break(window: Column, n: Column) -> Column:
-    at = F.greatest(*[last_index(window, n, m) for m in ("\n\n", "。", "\f")])
+    at = F.greatest(*[last_index(window, n, m) for m in fv.TEXT_BREAKS])
     return F.when(at > n * 0.5, at + 1).otherwise(n)
 
 
 def _ranked_break(window: Column, n: Column) -> Column:
-    hits = [last_index(window, n, m) for m in ("\n\n", "。\n", "。", "\n")]
+    hits = [last_index(window, n, m) for m in fv.PAGE_BREAKS]
     return F.coalesce(*[F.when(h > n * 0.5, h + 1) for h in hits], n)
 
 
@@ -197,7 +197,7 @@ def dropped_chars(text: Column, chunks: Column) -> Column:
 
 
 def page_texts(text: Column) -> Column:
-    return F.split(text, "\f")
+    return F.split(text, fv.PAGE_SPLIT)
 
 
 def page_range_chunks(

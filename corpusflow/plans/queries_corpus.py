@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow import fixed_values as fv
-from corpusflow.functions import models, replies, templates, text
+from corpusflow.functions import models, replies, table_sql, templates, text
 from corpusflow.operators import chunking, layout
 from corpusflow.plans import oracle_views as ov
 from corpusflow.plans import samples, views
@@ -205,6 +205,31 @@ def chunk_sections(spark, sf_dir):
     return rows.select("doc_id", "index", "total", F.col("chunk").alias("content"))
 
 
+# --- chunkers from SQL ---------------------------------------------------------------------------
+
+
+def _from_sql(spark, docs, call: str):
+    """Rows of a SQL table function over each document, in plain SQL."""
+    table_sql.register_tables(spark)
+    return spark.sql(f"SELECT d.doc_id, c.* FROM {{docs}} d, LATERAL {call} c", docs=docs)
+
+
+@query("sql_chunk_text", same_as="chunk_text")
+def sql_chunk_text(spark, sf_dir):
+    return _from_sql(spark, views.ff_docs(spark, sf_dir), "cf_chunk_text(d.text, 1000)")
+
+
+@query("sql_chunk_pages", same_as="chunk_pages")
+def sql_chunk_pages(spark, sf_dir):
+    ranges = ", ".join(f"named_struct('first', {a}, 'last', {'CAST(NULL AS INT)' if b is None else b})" for a, b in RANGES)
+    return _from_sql(spark, views.ff_docs(spark, sf_dir), f"cf_chunk_pages(d.text, array({ranges}), {PAGE_SIZE})")
+
+
+@query("sql_chunk_sections", same_as="chunk_sections")
+def sql_chunk_sections(spark, sf_dir):
+    return _from_sql(spark, views.para_docs(spark, sf_dir), f"cf_chunk_sections(d.text, {SECTION_SIZE})")
+
+
 TOKEN_LIMIT = 200
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusflow.functions import errors, keys, models, replies, sql, text, urls
+from corpusflow.operators import chunking
 from corpusflow.plans import views
 
 
@@ -39,3 +40,37 @@ def test_token_chunks_from_sql(spark, sf_dir):
     rows = spark.sql("SELECT doc_id, inline(cf_token_chunks(text, 200)) FROM docs")
     assert rows.columns == ["doc_id", "text", "start", "end", "tokens"]
     assert rows.agg(F.max("tokens")).first()[0] <= 200
+
+
+ODD_TEXTS = [
+    None, "", " \n　", "x", "。" * 30, "a\fb\f\fc", "\n\n".join(["Abstract", "one two", "1. Next", "x" * 70, "第一章 起", "末"]),
+    "\f".join(f"page {i}. " + "词。" * 20 for i in range(7)), "word " * 400, "# A\n\n# B\n\n" + "y" * 205,
+]
+
+
+def test_table_functions_equal_chunkers(spark):
+    sql.register(spark)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_TEXTS)], "id int, text string")
+    c = F.col("text")
+    pairs = [
+        ("cf_chunk_text(text, 50)", chunking.text_chunks(c, 50), ["start", "chars", "content"]),
+        ("cf_chunk_pages(text, array(named_struct('first', 2, 'last', 3), named_struct('first', 4, 'last', NULL)), 40)",
+         chunking.page_range_chunks(c, [(2, 3), (4, None)], 40), ["start_page", "end_page", "chars", "content"]),
+    ]
+    for call, chunks, fields in pairs:
+        want = chunking.chunk_rows(docs.filter("text IS NOT NULL"), chunks, "id").filter("chunk IS NOT NULL")
+        want = want.select("id", "index", "total", *[f"chunk.{f}" for f in fields])
+        got = spark.sql(f"SELECT id, c.* FROM {{docs}}, LATERAL {call} c", docs=docs).select(want.columns)
+        assert want.count() > 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), call
+    for size in (10, 60, 1000):
+        want = chunking.chunk_rows(docs.filter("text IS NOT NULL"), chunking.section_chunks(c, size), "id").select("id", "index", "total", F.col("chunk").alias("content"))
+        got = spark.sql(f"SELECT id, c.* FROM {{docs}}, LATERAL cf_chunk_sections(text, {size}) c", docs=docs)
+        # an empty list of chunks is a row of nulls there and no row here
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.filter("content IS NOT NULL").collect())), size
+
+
+def test_table_functions_are_inlined(spark):
+    sql.register(spark)
+    docs = spark.createDataFrame([(1, "a")], "id int, text string")
+    plan = spark.sql("SELECT id, c.* FROM {docs}, LATERAL cf_chunk_text(text) c", docs=docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and not any(word in plan for word in ("Join", "Exchange", "Python", "Arrow"))
