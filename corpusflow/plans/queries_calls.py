@@ -16,6 +16,7 @@ from corpusflow.plans.queries_records import _chunk_cache, _chunk_calls
 from corpusflow.plans.registry import query
 from corpusflow.session import scratch_path
 from corpusflow.sources import files, reports
+from corpusflow.sources.report_sink import save_reports
 
 _ASK = ov.lit(samples.INSTRUCTIONS)
 _DOC_NAME = "'Doc ' || doc_id || '.txt'"
@@ -563,6 +564,29 @@ def read_text_docs(spark, sf_dir):
     return good.unionByName(quarantine.select(file_name, F.lit(None).cast("string").alias("text"), "error"))
 
 
+@query(
+    "report_sink",
+    """WITH named AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN 'shared ' || doc_id % 50 ELSE 'Doc ' || doc_id END AS stem,
+      '/corpus/' || coalesce(source, '') || '/' || doc_id AS path, coalesce(text, '') AS content FROM documents),
+    counted AS (SELECT *, count(*) OVER (PARTITION BY stem) AS n FROM named)
+    SELECT stem || CASE WHEN n > 1 THEN '-' || substr(sha256(path || chr(0) || content), 1, 16) ELSE '' END || '.md' AS file_name,
+    sha256(content) AS content_sha256 FROM counted""",
+)
+def report_sink(spark, sf_dir):
+    """One report file per document, a third of them with shared names, written with a commit and read back."""
+    shared = F.concat(F.lit("shared "), (F.col("doc_id") % 50).cast("string"))
+    own = F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    path = F.concat(F.lit("/corpus/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    folder = scratch_path(spark, "reports")
+    named = views.documents(spark, sf_dir).select(
+        F.concat(F.when(F.col("doc_id") % 3 == 0, shared).otherwise(own), F.lit(".md")).alias("file_name"), path.alias("path"), F.col("text").alias("content")
+    )
+    save_reports(named, folder)
+    written = spark.read.format("binaryFile").load(folder)
+    file_name = F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file_name")
+    return written.select(file_name, F.sha2("content", 256).alias("content_sha256"))
+
+
 # --- the whole job ---------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -13,6 +12,7 @@ from corpusflow.functions.keys import join_path, output_name
 from corpusflow.functions.labels import status_label
 from corpusflow.functions.templates import render
 from corpusflow.session import materialise
+from corpusflow.sources.report_sink import filesystem_uri
 
 
 def _yes_no(flag: Column) -> Column:
@@ -215,22 +215,14 @@ def write_sections(sections: DataFrame, folder: str) -> None:
     ordered.select("content").write.text(folder)
 
 
-def _filesystem_uri(df: DataFrame, folder: str) -> str:
-    """The folder as a URI of the cluster's own file system, in the spelling Arrow knows."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri())
-    return re.sub("^file:/+", "file:///", re.sub("^s3[an]://", "s3://", uri))
-
-
 def write_reports(reports: DataFrame, folder: str) -> None:
     """One file per report from ``(file_name, content)`` rows, written by the tasks.
 
     ``folder`` is a path that all executors reach. A file is written under a
     temporary name and then moved, so a repeated task leaves whole files only.
-    For very many documents write the rows as a table instead.
+    For files that appear whole or not at all see ``report_sink``; for very many documents write the rows as a table.
     """
-    uri = _filesystem_uri(reports, folder)
+    uri = filesystem_uri(reports.sparkSession, folder)
 
     def write(rows: Iterator[Row]) -> None:
         from pyarrow import fs
