@@ -92,22 +92,25 @@ BIB_ID_PREFIX = "zotero-"
 BIB_NAME_PREFIX = "Zotero Item "
 
 # --- fixed values: headings and paragraph patterns -----------------------------------
+# word ends and blanks are spelled out: what a short form matches behind Chinese marks differs between regex engines
+WORD_END = "(?:[^A-Za-z0-9_]|$)"
 SECTION_HEADING_MAX = 120
 SECTION_HEADING_PATTERNS = [
-    r"^#{1,6}\s+",
-    r"^##\s*第\s*\d+\s*页$",
-    r"(?i)^(abstract|introduction|background|methods?|materials? and methods?|results?"
-    r"|discussion|conclusion|references|keywords)\b",
-    r"(?i)^(chapter\s+\d+|section\s+\d+)\b",
-    r"^(第[一二三四五六七八九十百零\d]+章|第[一二三四五六七八九十百零\d]+节)\b",
-    r"^(\d+([.．]\d+)*[.．]?|[IVXLC]+[.．])\s+",
-    r"^[A-Z][A-Z\s\d,&/:-]{3,}$",
+    f"^#{{1,6}}[{BLANK}]+",
+    f"^##[{BLANK}]*第[{BLANK}]*[0-9]+[{BLANK}]*页$",
+    f"(?i)^(abstract|introduction|background|methods?|materials? and methods?|results?"
+    f"|discussion|conclusion|references|keywords){WORD_END}",
+    f"(?i)^(chapter[{BLANK}]+[0-9]+|section[{BLANK}]+[0-9]+){WORD_END}",
+    # a chapter mark counts where a Latin letter, a digit or _ follows at once
+    "^(第[一二三四五六七八九十百零0-9]+章|第[一二三四五六七八九十百零0-9]+节)[A-Za-z0-9_]",
+    f"^([0-9]+([.．][0-9]+)*[.．]?|[IVXLC]+[.．])[{BLANK}]+",
+    f"^[A-Z][A-Z{BLANK}0-9,&/:-]{{3,}}$",
 ]
 LIKELY_HEADING_MAX = 90
 LIKELY_HEADING_PATTERNS = [
-    r"(?i)^(abstract|introduction|conclusion|references|keywords)\b",
-    r"^#+\s",
-    r"^[A-Z][A-Z\s\d,&/-]{3,}$",
+    f"(?i)^(abstract|introduction|conclusion|references|keywords){WORD_END}",
+    f"^#+[{BLANK}]",
+    f"^[A-Z][A-Z{BLANK}0-9,&/-]{{3,}}$",
 ]
 PARAGRAPH_END_PATTERN = r"[.!?：:]$"
 PARAGRAPH_START_PATTERNS = [r"^[-•*]\s", r"^\d+[.)]\s"]

@@ -334,6 +334,26 @@ def section_headings(spark, sf_dir):
     )
 
 
+_MARKS = ", ".join(ov.lit(m) for m in samples.HEADING_MARKS)
+
+
+@query(
+    "heading_marks",
+    f"""WITH lines AS (SELECT doc_id, mark_no, whole, marks[mark_no] || CASE WHEN whole THEN text ELSE '' END AS line
+      FROM (SELECT doc_id, coalesce(text, '') AS text, [{_MARKS}] AS marks FROM documents), range(1, {len(samples.HEADING_MARKS) + 1}) AS r(mark_no), (VALUES (true), (false)) AS w(whole))
+    SELECT doc_id, mark_no, whole, {ov.section_heading('line')} AS section_heading, {ov.likely_heading('line')} AS likely_heading FROM lines""",
+)
+def heading_marks(spark, sf_dir):
+    """Headings of lines that open with marks beside Chinese text and wide blanks: the mark alone, and before each document's text."""
+    marks = F.posexplode(F.array(*[F.lit(m) for m in samples.HEADING_MARKS])).alias("pos", "mark")
+    rows = views.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), marks)
+    lines = rows.select("doc_id", (F.col("pos") + 1).alias("mark_no"), "text", "mark", F.explode(F.array(F.lit(True), F.lit(False))).alias("whole"))
+    line = F.concat("mark", F.when(F.col("whole"), F.col("text")).otherwise(""))
+    return lines.select(
+        "doc_id", "mark_no", "whole", text.is_section_heading(line).alias("section_heading"), text.is_likely_heading(line).alias("likely_heading")
+    )
+
+
 def _section_sql(names: str, stops: list[str]) -> str:
     stop = "|".join(["\\n\\s*\\n"] + [f"\\n\\s*{s}" for s in stops] + ["$"])
     found = f"regexp_matches(text, '(?i)({names})[\\s:]')"

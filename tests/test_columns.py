@@ -143,3 +143,19 @@ def test_answer_shapes(spark):
     ]
     got = values(spark, [(r,) for r, _ in rows], replies.answer_text(replies.parse_json(F.col("v"))))
     assert got == [e for _, e in rows]
+
+
+def test_headings_do_not_depend_on_the_regex_engine(spark):
+    """Word ends are those of Latin letters, digits and _; blanks are those of Unicode."""
+    cases = {
+        "第一章 起": False, "第一章": False, "第一章Intro": True, "第12节_": True, "第三节9": True, "第x章A": False,
+        "Abstract": True, "abstract摘要": True, "Abstracts": False, "methods_": False, "Results: x": True, "method是": True,
+        "#　题": True, "#题": False, "## 第 3 页": True, "CHAPTER 3 a": True, "section 4b": False, "Section 4，b": True,
+        "IV.　x": True, "3.1 x": True, "3.1x": False, "KEY WORDS": True, "KEY": False, "A　B C": True, "Ⅳ. x": False, "ſection 1": False,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "line string, want boolean")
+    wrong = rows.withColumn("got", text.is_section_heading(F.col("line"))).filter("got <> want")
+    assert [r.line for r in wrong.collect()] == []
+    likely = {"Abstract摘要": True, "Abstract1": False, "##　a": True, "A B C": True, "A：B": False}
+    rows = spark.createDataFrame(list(likely.items()), "line string, want boolean").withColumn("got", text.is_likely_heading(F.col("line")))
+    assert [r.line for r in rows.filter("got <> want").collect()] == []
