@@ -75,3 +75,10 @@ def retry_delay(attempt: Column) -> Column:
 
 def retry_allowed(status: Column, attempt: Column) -> Column:
     return ~status.isin(*fv.FINAL_STATUSES) & (attempt < fv.CLIENT_ATTEMPTS)
+
+
+def enabled_by_priority(models: Column, part: str) -> Column:
+    """Enabled models whose name of the model holds ``part``, by priority, then name; orders inside the row."""
+    chosen = F.filter(models, lambda m: m["enabled"] & F.contains(m["model"], F.lit(part)))
+    keyed = F.transform(chosen, lambda m: F.struct(m["priority"].alias("priority"), m["name"].alias("name"), m["model"].alias("model")))
+    return F.array_sort(keyed)

@@ -558,10 +558,28 @@ def scan_documents(spark, sf_dir):
     CASE WHEN doc_id % 50 = 0 THEN 'EMPTY_CONTENT' END AS error FROM documents WHERE doc_id % 3 < 2""",
 )
 def read_text_docs(spark, sf_dir):
-    docs, quarantine = files.read_text_documents(spark, _written_documents(spark, sf_dir))
-    file_name = F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name")
-    good = docs.select(file_name, "text", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(quarantine.select(file_name, F.lit(None).cast("string").alias("text"), "error"))
+    """Documents and blank files from one pass over the files."""
+    rows = files.text_rows(spark, _written_documents(spark, sf_dir))
+    return rows.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("name"), "text", "error")
+
+
+@query(
+    "parse_custom",
+    f"""WITH named AS (SELECT doc_id, 'Doc ' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.TEX' ELSE '.zip' END AS name,
+      CASE WHEN doc_id % 25 = 0 THEN NULL WHEN doc_id % 4 = 2 THEN '@' || text || '@' ELSE text END AS content FROM documents),
+    parsed AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN content WHEN 1 THEN '# ' || content WHEN 2 THEN replace(content, '@', '') END AS body FROM named)
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' WHEN 2 THEN 'tex' END AS kind, CASE WHEN {ov.strip('body')} <> '' THEN body END AS text,
+    CASE WHEN doc_id % 4 = 3 THEN 'UNSUPPORTED_TYPE' WHEN coalesce({ov.strip('body')}, '') = '' THEN 'EMPTY_CONTENT' END AS error FROM parsed""",
+)
+def parse_custom(spark, sf_dir):
+    """All documents parsed by their kind in one pass; ``tex`` has a parser of the user's own."""
+    ending = views.pick(F.col("doc_id"), [".txt", ".MD", ".TEX", ".zip"])
+    marked = F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("@"), "text", F.lit("@"))).otherwise(F.col("text"))
+    named = views.documents(spark, sf_dir).select(
+        "doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"), ending).alias("name"), F.when(F.col("doc_id") % 25 > 0, marked).alias("content")
+    )
+    parsers = {"txt": lambda c: c, "md": lambda c: F.concat(F.lit("# "), c), "tex": lambda c: F.replace(c, F.lit("@"), F.lit(""))}
+    return files.parse_in_row(named, parsers).select("doc_id", "kind", "text", "error")
 
 
 @query(

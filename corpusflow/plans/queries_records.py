@@ -9,6 +9,7 @@ from corpusflow import fixed_values as fv
 from corpusflow.functions import labels
 from corpusflow.functions.errors import handler_error_code
 from corpusflow.functions.keys import content_key, join_path, output_name
+from corpusflow.functions.models import enabled_by_priority
 from corpusflow.operators import cache, chunking, jobs, observability, tables
 from corpusflow.plans import oracle_views as ov
 from corpusflow.plans import samples, views
@@ -121,12 +122,10 @@ def template_join(spark, sf_dir):
 
 @query("enabled_models", "SELECT doc_id, name, model, CAST(priority AS BIGINT) AS priority FROM documents, v_models WHERE enabled AND model LIKE '%k%'")
 def enabled_models(spark, sf_dir):
-    """Enabled models of one provider family per document, by priority."""
-    rows = views.documents(spark, sf_dir).select("doc_id", F.explode(views.models(F.col("doc_id"))).alias("m"))
-    return (
-        rows.filter("m.enabled").filter(F.col("m.model").contains("k")).select("doc_id", "m.name", "m.model", "m.priority")
-        .orderBy("doc_id", "priority")
-    )
+    """Enabled models of one provider family per document, by priority: ordered in the row, so nothing is sorted or shuffled."""
+    listed = enabled_by_priority(views.models(F.col("doc_id")), "k")
+    rows = views.documents(spark, sf_dir).select("doc_id", F.explode(listed).alias("m"))
+    return rows.select("doc_id", "m.name", "m.model", "m.priority")
 
 
 # --- caches ---------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow import fixed_values as fv
 from corpusflow.functions.keys import base_name, file_kind, normalize_slashes
 from corpusflow.functions.text import is_blank
 
@@ -28,21 +29,36 @@ def scan_documents(spark: SparkSession, folder: str, recursive: bool = True) ->
     return files.filter(F.col("ext").isNotNull()).orderBy(F.collate("path", "zh"))
 
 
-def read_text_documents(spark: SparkSession, folder: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Whole text and Markdown files as documents, and blank ones as quarantine rows."""
+def text_rows(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """Whole text and Markdown files ``(id, path, name, kind, text, error)``, read once.
+
+    A blank file has a null text and the error ``EMPTY_CONTENT``. Files of no bytes give no row:
+    Spark's file sources leave them out of their listing, here and in ``scan_documents``.
+    """
     raw = (
         spark.read.option("recursiveFileLookup", recursive)
         .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
         .text(folder, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
-    name = base_name(F.col("path"))
-    docs = raw.select(
-        F.sha2("path", 256).alias("id"), "path", name.alias("name"), file_kind(name).alias("kind"), "text"
+    name, blank = base_name(F.col("path")), is_blank(F.col("text"))
+    return raw.select(
+        F.sha2("path", 256).alias("id"),
+        "path",
+        name.alias("name"),
+        file_kind(name).alias("kind"),
+        F.when(~blank, F.col("text")).alias("text"),
+        F.when(blank, F.lit("EMPTY_CONTENT")).alias("error"),
     )
-    blank = is_blank(F.col("text"))
-    quarantine = docs.filter(blank).select("id", "path", F.lit("EMPTY_CONTENT").alias("error"))
-    return docs.filter(~blank), quarantine
+
+
+def read_text_documents(spark: SparkSession, folder: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Whole text and Markdown files as documents, and blank ones as quarantine rows.
+
+    Each of the two reads the files; ``text_rows`` has both in one pass.
+    """
+    rows = text_rows(spark, folder, recursive)
+    return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select("id", "path", "error")
 
 
 def route_by_kind(files: DataFrame, custom: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -69,3 +85,20 @@ def parse_by_kind(files: DataFrame, parsers: dict[str, Callable[[DataFrame], Dat
     for part in parts[1:]:
         result = result.unionByName(part)
     return result
+
+
+def parse_in_row(files: DataFrame, parsers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``files(name, content, ...)`` with ``kind``, ``text`` and ``error``, each row parsed by its kind's column function.
+
+    One pass, whatever the number of kinds; extensions beyond the built-in kinds are custom ones. A kind without a
+    parser is ``UNSUPPORTED_TYPE``, a parsed text that is null or blank is ``EMPTY_CONTENT``; both have a null text.
+    """
+    routed = route_by_kind(files, {k: p for k, p in parsers.items() if k not in fv.FILE_KINDS}).drop("error")
+    text = F.lit(None).cast("string")
+    for kind, parse in parsers.items():
+        text = F.when(F.col("kind") == kind, parse(F.col("content"))).otherwise(text)
+    known = F.coalesce(F.col("kind").isin(list(parsers)), F.lit(False))
+    blank = F.coalesce(is_blank(F.col("text")), F.lit(True))
+    error = F.when(~known, F.lit("UNSUPPORTED_TYPE")).when(blank, F.lit("EMPTY_CONTENT"))
+    parsed = routed.withColumn("text", text).withColumn("error", error)
+    return parsed.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))

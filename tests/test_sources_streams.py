@@ -118,3 +118,25 @@ def test_rate_stream_over_batches(spark, tmp_path):
         return len(recent), 60000 - (t - recent[0]) + 100 if len(recent) >= 5 else 0
 
     assert got == {t: plain(t) for t in times}
+
+
+def test_documents_and_blank_files_in_one_pass(spark, tmp_path):
+    for name, text in (("a.txt", "x"), ("b.MD", " \n"), ("c.log", "y"), ("d.md", "")):
+        write(tmp_path, name, text)
+    rows = files.text_rows(spark, str(tmp_path))
+    got = sorted((r.path.rsplit("/", 1)[1], r.kind, r.text, r.error) for r in rows.collect())
+    assert got == [("a.txt", "txt", "x", None), ("b.MD", "md", None, "EMPTY_CONTENT")]  # d.md has no bytes
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_parsers_in_the_row(spark):
+    rows = [("a.TEX", "@x@", 1), ("b.md", "y", 2), ("c.zip", "z", 3), ("d.txt", "t", 4), ("e.tex", "@@", 5), ("f.md", None, 6), ("", "q", 7), (None, "n", 8)]
+    df = spark.createDataFrame(rows, "name string, content string, id int")
+    parsed = files.parse_in_row(df, {"md": F.upper, "tex": lambda c: F.replace(c, F.lit("@"), F.lit(""))})
+    got = {r.id: (r.kind, r.text, r.error) for r in parsed.collect()}
+    missing, empty = "UNSUPPORTED_TYPE", "EMPTY_CONTENT"
+    assert got == {
+        1: ("tex", "x", None), 2: ("md", "Y", None), 3: (None, None, missing), 4: ("txt", None, missing),
+        5: ("tex", None, empty), 6: ("md", None, empty), 7: (None, None, missing), 8: (None, None, missing),
+    }
+    assert files.parse_in_row(df.limit(0), {"md": F.upper}).count() == 0
