@@ -2,6 +2,7 @@
 
 import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusflow.operators import observability
@@ -72,3 +73,34 @@ def test_rates_of_a_hot_caller(spark, tmp_path):
     same = {r.ts_ms for r in plain.filter(F.col("ts") == F.lit(rows[cut][1])).collect()}
     pick = ~F.col("ts_ms").isin(list(same))
     assert sorted(map(tuple, got.filter(pick).collect())) == sorted(map(tuple, want.filter(pick).collect())) and got.count() == len(rows)
+
+
+class Handle:
+    """Stands for a stateful processor's handle with empty state, and counts what is asked of it."""
+
+    def __init__(self):
+        self.asked = 0
+
+    def __getattr__(self, name):
+        def ask(*_):
+            self.asked += 1
+
+        return ask
+
+    def getValueState(self, *_):
+        return self
+
+    getListState = getValueState
+
+    def exists(self):
+        self.asked += 1
+        return False
+
+
+def test_misses_of_a_key_come_out_together():
+    handle, cache = Handle(), stateful._Cache(60_000)
+    cache.init(handle)
+    rows = [Row(access_id=k, model="m", text_hash="k", answer="a", ts=None, ts_ms=100_000 * k) for k in range(25_000)]
+    found = list(cache.handleInputRows(("m", "k"), iter(rows), None))
+    assert [len(r.access_id) for r in found] == [10_000, 10_000, 5_000] and not any(any(r.hit) for r in found)
+    assert [k for r in found for k in r.written_ms] == [100_000 * k for k in range(25_000)] and handle.asked <= 4
