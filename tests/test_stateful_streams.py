@@ -104,3 +104,12 @@ def test_misses_of_a_key_come_out_together():
     found = list(cache.handleInputRows(("m", "k"), iter(rows), None))
     assert [len(r.access_id) for r in found] == [10_000, 10_000, 5_000] and not any(any(r.hit) for r in found)
     assert [k for r in found for k in r.written_ms] == [100_000 * k for k in range(25_000)] and handle.asked <= 4
+
+
+def test_a_call_that_ends_at_once_leaves_no_state():
+    handle, calls = Handle(), stateful._Assembler(60_000)
+    calls.init(handle)
+    line = Row("line_no", "ts_ms", "piece", "done", "has_usage", "prompt", "completion", "total")
+    rows = [line(1, 5, "b", False, True, 3, 2, None), line(0, 4, "a", False, True, 9, 9, 9), line(2, 6, None, True, False, None, None, None)]
+    (found,) = calls.handleInputRows((7,), iter(rows), None)
+    assert tuple(found) == (7, "ab", 9, 9, 9, True) and handle.asked == 1
