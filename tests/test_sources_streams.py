@@ -140,3 +140,14 @@ def test_parsers_in_the_row(spark):
         5: ("tex", None, empty), 6: ("md", None, empty), 7: (None, None, missing), 8: (None, None, missing),
     }
     assert files.parse_in_row(df.limit(0), {"md": F.upper}).count() == 0
+
+
+def test_ingested_files_come_in_bounded_batches(spark, tmp_path):
+    for k in range(25):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.txt").write_text(f"text {k}")
+    found = streams.ingest_stream(spark, str(tmp_path / "in"), files_per_batch=10).select("name", "text")
+    streams.ingest_available(found, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert len([n for n in os.listdir(tmp_path / "checkpoint" / "commits") if n.isdigit()]) == 3
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(f"text {k}" for k in range(25))
+    assert spark.conf.get("spark.sql.files.openCostInBytes", None) in (None, "4194304b", "4194304", "4MB")
