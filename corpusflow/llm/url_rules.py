@@ -25,8 +25,8 @@ MIN_URLS = 20
 MIN_SHARE = 0.001
 #: So many of 100 labelled URLs with a combination must be blocked.
 MIN_CONFIDENCE_PERCENT = 50
-#: Of a labelled URL, combinations are made of its so many rarest frequent tokens.
-MAX_TOKENS = 10
+#: Of a labelled URL, combinations are made of its so many rarest frequent tokens; None: of all of them.
+MAX_TOKENS = None
 #: The item that stands for a blocked label; tokens have a kind and a colon in front.
 _BLOCKED = "blocked"
 
@@ -73,7 +73,7 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(every)
 
 
-def transactions(labelled: DataFrame, least: int, max_tokens: int) -> tuple[DataFrame, DataFrame]:
+def transactions(labelled: DataFrame, least: int, max_tokens: int | None = MAX_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``items`` per row of ``url`` and ``blocked``, and the frequent tokens with their ``urls``.
 
     Tokens are counted and chosen once per distinct URL; the rows, of which one URL may hold very many, meet its items at the end.
@@ -82,7 +82,8 @@ def transactions(labelled: DataFrame, least: int, max_tokens: int) -> tuple[Data
     each = distinct.select("url", "blocked", "n", F.explode(tokens_of(F.col("url"))).alias("token"))
     frequent = each.groupBy("token").agg(F.sum("n").alias("urls")).where(F.col("urls") >= least)
     frequent = materialise(frequent, "frequent-tokens")
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("urls", "token"))), 1, max_tokens)["token"]
+    rarest = F.array_sort(F.collect_list(F.struct("urls", "token")))["token"]
+    rarest = rarest if max_tokens is None else F.slice(rarest, 1, max_tokens)
     items = materialise(each.join(frequent, "token").groupBy("url", "blocked").agg(rarest.alias("tokens")), "url-items")
     with_label = F.when(F.col("blocked"), F.array_append("tokens", F.lit(_BLOCKED))).otherwise(F.col("tokens"))
     return labelled.join(items, ["url", "blocked"]).select(with_label.alias("items")), frequent
@@ -93,13 +94,14 @@ def mine(
     min_urls: int = MIN_URLS,
     min_share: float = MIN_SHARE,
     min_confidence_percent: int = MIN_CONFIDENCE_PERCENT,
-    max_tokens: int = MAX_TOKENS,
+    max_tokens: int | None = MAX_TOKENS,
 ) -> DataFrame:
     """Rules that block, from rows of ``url`` and ``blocked``: ``tokens`` (sorted), ``urls`` and ``blocked_urls`` that hold them
     among all rows, ``confidence``, and ``filed``, the rarest token.
 
-    All rows are learned from, repeated ones each for itself; rows with a null label, and URLs without tokens, are not there. The parameters
-    bound what is learned: there are at most 2 ** ``max_tokens`` / ``min_share`` combinations. No rows give no rules.
+    All rows are learned from, repeated ones each for itself; rows with a null label, and URLs without tokens, are not there. Every frequent
+    token of a URL takes part, so no combination is left out; n tokens that stand together in ``min_share`` of the rows make 2 ** n
+    combinations, and a caller whose URLs share very many of them may set ``max_tokens``. No rows give no rules.
     """
     labelled = materialise(labelled.where("url IS NOT NULL AND blocked IS NOT NULL").select("url", "blocked"), "labelled")
     total = labelled.count()

@@ -113,3 +113,11 @@ def test_no_python_in_the_plan(spark, labelled):
     frame = url_rules.judge(pages, spark.createDataFrame(labelled, "url string, blocked boolean"), URL_RULES)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_no_frequent_token_is_left_out(spark):
+    """Eleven tokens that always stand together make a combination of eleven."""
+    labelled = [(f"http://a.b.c.d.e.f.g.h/i/j/{k}z", True) for k in range(30)]
+    frame = spark.createDataFrame([(u.replace("/" + u.rsplit("/", 1)[1], ""), b) for u, b in labelled], "url string, blocked boolean")
+    got = url_rules.mine(frame, 20, 0.0, 50)
+    assert max(len(r.tokens) for r in got.collect()) == 11 and got.count() == 2**11 - 1
