@@ -175,22 +175,28 @@ def rate_waits(
 
     Windows reach back less than ``window_ms``, so a key is cut into time buckets
     and each row that later rows may look back to is copied into the next bucket.
-    A hot key is thus spread over as many tasks as it has buckets.
+    A hot key is thus spread over as many tasks as it has buckets. A request enters its window and leaves it
+    ``window_ms`` later: what has entered less what has left is in the window, and the oldest of it leaves next. So
+    each row costs the same, however many requests a window holds.
     """
     bucket = F.floor(F.col("ts_ms") / bucket_ms)
     next_bucket = F.floor((F.col("ts_ms") + window_ms - 1) / bucket_ms)
-    spread = requests.withColumn("_bucket", F.explode(F.sequence(bucket, next_bucket))).withColumn(
-        "_own", F.col("_bucket") == bucket
+    spread = requests.withColumn("_bucket", F.explode(F.sequence(bucket, next_bucket)))
+    own = F.when(F.col("_bucket") == bucket, F.struct(*requests.columns))
+    leaves = F.col("ts_ms") + window_ms
+    marks = F.array(
+        F.struct(F.col("ts_ms").alias("at"), F.lit(1).alias("step"), F.lit(None).cast("bigint").alias("leaves"), own.alias("own")),
+        F.struct(leaves.alias("at"), F.lit(-1).alias("step"), leaves.alias("leaves"), F.lit(None).alias("own")),
     )
-    frame = Window.partitionBy(key, "_bucket").orderBy("ts_ms").rangeBetween(-(window_ms - 1), 0)
-    recent = spread.select(
-        "*",
-        (F.count("*").over(frame) - 1).alias("in_window"),
-        F.min("ts_ms").over(frame).alias("oldest_ms"),
-    )
-    wait = F.lit(window_ms) - (F.col("ts_ms") - F.col("oldest_ms")) + fv.RATE_WAIT_MARGIN_MS
-    return recent.filter("_own").select(
-        *requests.columns,
+    marked = spread.select(F.col(key).alias("_key"), "_bucket", F.inline(marks))
+    upto = Window.partitionBy("_key", "_bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy("_key", "_bucket").orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    recent = marked.select(
+        "own", (F.sum("step").over(upto) - 1).alias("in_window"), (F.min("leaves").over(later) - window_ms).alias("oldest_ms")
+    ).filter("own IS NOT NULL")
+    wait = F.lit(window_ms) - (F.col("own.ts_ms") - F.col("oldest_ms")) + fv.RATE_WAIT_MARGIN_MS
+    return recent.select(
+        "own.*",
         "in_window",
         F.when(F.col("in_window") >= limit, wait).otherwise(0).cast("bigint").alias("wait_ms"),
     )

@@ -40,3 +40,11 @@ def test_error_stats_of_one_hot_code(spark):
     catalog = spark.createDataFrame([("HOT", "network")], "code string, category string")
     got = {r.code: (r.n, r.first_ms, r.last_ms, r.last_message, r.category) for r in observability.error_stats(events, catalog).collect()}
     assert got == {"HOT": (3333, 1, 4999, "m4999", "network"), "COLD": (1667, 0, 4998, "m4998", None)}
+
+
+def test_rates_need_no_sliding_frame(spark):
+    """A sliding frame costs a row its whole window: rows times requests in a window."""
+    df = spark.createDataFrame([(1, 5, 7)], "event_id long, ts_ms long, caller long")
+    plan = observability.rate_waits(df, "caller")._jdf.queryExecution().analyzed().toString()
+    frames = [f.split(",")[1].strip() for f in plan.split("specifiedwindowframe(")[1:]]
+    assert frames and all(f.startswith("unboundedpreceding") for f in frames)
