@@ -113,3 +113,11 @@ def test_a_call_that_ends_at_once_leaves_no_state():
     rows = [line(1, 5, "b", False, True, 3, 2, None), line(0, 4, "a", False, True, 9, 9, 9), line(2, 6, None, True, False, None, None, None)]
     (found,) = calls.handleInputRows((7,), iter(rows), None)
     assert tuple(found) == (7, "ab", 9, 9, 9, True) and handle.asked == 1
+
+
+def test_calls_beside_lines_without_a_call(spark, tmp_path):
+    """Null ids must not turn the ids of others into floating point."""
+    rows = [(None, 0, PIECE % "n", at(0))] + [(k, n, PIECE % f"{k}-{n}", at(n)) for k in range(1, 41) for n in range(2)]
+    live = drops(spark, tmp_path, LINES, [rows, [(k, 2, "data: [DONE]", at(9)) for k in range(1, 41)] + [(None, 1, None, at(9))]])
+    got = stateful.stateful_appended(stateful.call_stream(live, quiet_ms=60_000, late="10 seconds"), "calls").collect()
+    assert sorted((r.call_id, r.content, r.complete) for r in got) == [(k, f"{k}-0{k}-1", True) for k in range(1, 41)]
