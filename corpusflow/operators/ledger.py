@@ -34,7 +34,8 @@ def resumed_generate(calls: DataFrame, client, ledger: str, model: str, parallel
     A task adds its calls to the ledger when it ends, not when the job does, so a job that dies loses the calls of its
     running tasks only; ``parallel`` says how many tasks there are. Failed calls are kept too, as the
     history of a request, and are called again next time. The prompt is left behind; ``reply`` and ``attempt``,
-    the run of the ledger that gave it, are added. Rows with one key and prompt share an answer.
+    the run of the ledger that gave it, are added. Rows with one key and prompt share an answer. Of the ledger only the range
+    of chunk numbers that is asked for is grouped and moved, so a round of a roll-up doesn't pay for the calls of the others.
     """
     spark = calls.sparkSession
     keyed = calls.select(
@@ -43,8 +44,10 @@ def resumed_generate(calls: DataFrame, client, ledger: str, model: str, parallel
     keyed = materialise(keyed, "asked")
     known = read_ledger(spark, ledger)
     attempt = (known.agg(F.max("attempt")).first()[0] or 0) + 1
+    low, high = keyed.agg(F.min("chunk"), F.max("chunk")).first()
+    asked = F.col("chunk").between(F.lit(low).cast("int"), F.lit(high).cast("int"))
     # written, so that the anti-join has two plain sides
-    done = materialise(finished(known).select(*KEYS), "finished-calls")
+    done = materialise(finished(known.filter(asked)).select(*KEYS), "finished-calls")
     todo = keyed.select(*KEYS, "prompt").join(done, KEYS, "left_anti").groupBy(*KEYS).agg(F.first("prompt").alias("prompt"))
     todo = todo if parallel is None else todo.repartition(parallel)
     called = todo.withColumn("answer", client.respond(F.col("prompt"))).select(
@@ -52,6 +55,6 @@ def resumed_generate(calls: DataFrame, client, ledger: str, model: str, parallel
     )
     # with this way of committing, a task's file is there as soon as the task has ended
     called.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("append").parquet(ledger)
-    latest = read_ledger(spark, ledger).groupBy(*KEYS).agg(F.max(F.struct("ok", "attempt", "reply")).alias("latest"))
+    latest = read_ledger(spark, ledger).filter(asked).groupBy(*KEYS).agg(F.max(F.struct("ok", "attempt", "reply")).alias("latest"))
     latest = materialise(latest.select(*KEYS, "latest.attempt", F.from_json("latest.reply", REPLY_TYPE).alias("reply")), "ledger-replies")
     return keyed.drop("prompt").join(latest, KEYS).drop(*KEYS)
