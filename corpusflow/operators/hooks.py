@@ -6,11 +6,13 @@ import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.operators.arrow_text import text_pieces
+
 log = logging.getLogger(__name__)
 
 TEXT_STAGES = ("after_parse", "before_call", "after_call")
@@ -28,10 +30,11 @@ def row_hook(fn: Callable[[str], str]) -> Callable[[Column], Column]:
 
     def batches(texts):
         for batch in texts:
-            yield batch.map(guarded)
+            for piece in text_pieces(batch):
+                yield pa.array([guarded(value) for value in piece.to_pylist()], pa.string())
 
-    batches.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(batches, T.StringType()).asNondeterministic()  # not copied into later expressions
+    batches.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(batches, T.StringType()).asNondeterministic()  # not copied into later expressions
     return lambda c: udf(c)
 
 
