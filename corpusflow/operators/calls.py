@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from corpusflow import fixed_values as fv
 from corpusflow.functions import templates
 from corpusflow.functions.keys import content_key
 from corpusflow.functions.text import coarse_tokens, let, needs_chunking
+from corpusflow.operators.arrow_text import LazyTexts
 from corpusflow.operators.cache import lookup
 from corpusflow.operators.chunking import chunk_rows, text_chunks
 from corpusflow.session import materialise
@@ -35,6 +37,13 @@ REPLY_TYPE = (
 STUB_MARK = "[stub] "
 
 
+def reply_array(rows: list[tuple]) -> pa.Array:
+    """Replies as one column of ``REPLY_TYPE``."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.StructArray.from_arrays(columns, names=REPLY_TYPE.names)
+
+
 class StubClient:
     """Deterministic local model made of column expressions only.
 
@@ -98,7 +107,7 @@ class CallableClient:
         except Exception as error:  # captured per row
             return None, None, None, None, str(error) or type(error).__name__
 
-    def replies(self, prompts: list[str]) -> list[tuple]:
+    def replies(self, prompts: Sequence[str]) -> list[tuple]:
         found = [self._once(p) for p in prompts]
         for attempt in range(1, self.attempts):
             again = [k for k, reply in enumerate(found) if reply[-1] is not None and not _FINAL.search(reply[-1])]
@@ -115,13 +124,14 @@ class CallableClient:
     def respond(self, prompt: Column) -> Column:
         replies = self.replies
 
-        def batches(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def batches(prompts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in prompts:
-                yield pd.DataFrame(replies(batch.tolist()), columns=REPLY_TYPE.names)
+                # the prompts stay in the Arrow batch; only a piece of them is Python strings at a time
+                yield reply_array(replies(LazyTexts(batch)))
 
-        # hints for pandas_udf, given as objects because annotations here are text
-        batches.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-        return F.pandas_udf(batches, REPLY_TYPE).asNondeterministic()(prompt)
+        # hints for arrow_udf, given as objects because annotations here are text
+        batches.__annotations__ = {"prompts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(batches, REPLY_TYPE).asNondeterministic()(prompt)
 
 
 def generate(df: DataFrame, prompt: Column, client, parallel: int | None = None) -> DataFrame:
@@ -136,7 +146,7 @@ def generate(df: DataFrame, prompt: Column, client, parallel: int | None = None)
 
 
 def cached_generate(
-    calls: DataFrame, client, cache: DataFrame, model: str, now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS
+    calls: DataFrame, client, cache: DataFrame, model: str, now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS, learn: Callable[[DataFrame], None] | None = None
 ) -> DataFrame:
     """Replies for ``calls(text, prompt, ...)`` with one model call per distinct missing text.
 
@@ -144,15 +154,25 @@ def cached_generate(
     looked up or called. Python replies are written, because a model call must
     not be recomputed. The calls meet the replies in one join on the text's hash
     and leave texts and prompts behind. The replies are written first, so that a hot
-    text is a skewed left side of plain tables, which adaptive execution splits.
+    text is a skewed left side of plain tables, which adaptive execution splits. ``learn`` gets
+    the written ``(model, text_hash, text, reply)`` of the texts that were called; a text that is its own prompt moves once.
     """
     keyed = calls.withColumn("model", F.lit(model)).withColumn("text_hash", content_key(F.col("text")))
-    distinct = keyed.groupBy("model", "text_hash").agg(F.min("prompt").alias("call_prompt"))
+    least = [F.min("prompt").alias("call_prompt")]
+    if learn is not None:
+        least.append(F.min(F.when(~F.col("text").eqNullSafe(F.col("prompt")), F.col("text"))).alias("other_text"))
+    distinct = keyed.groupBy("model", "text_hash").agg(*least)
     looked_up = lookup(distinct, cache, ["model", "text_hash"], now_ms, ttl_ms)
-    missing = looked_up.filter(~F.col("hit")).select("model", "text_hash", "call_prompt")
-    called = generate(missing, F.col("call_prompt"), client).select(
-        "model", "text_hash", F.lit(False).alias("hit"), "reply"
-    )
+    missing = looked_up.filter(~F.col("hit"))
+    # the prompt is left behind before anything is written
+    called = missing.withColumn("reply", client.respond(F.col("call_prompt")))
+    if learn is not None:
+        called = called.select("model", "text_hash", F.coalesce("other_text", "call_prompt").alias("text"), "reply")
+        called = materialise(called, "replies")
+        learn(called)
+    elif not client.inline:
+        called = materialise(called.select("model", "text_hash", "reply"), "replies")
+    called = called.select("model", "text_hash", F.lit(False).alias("hit"), "reply")
     cached_reply = F.struct(
         F.col("cached_result").alias("content"),
         *[F.lit(None).cast("bigint").alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")],
