@@ -104,12 +104,16 @@ def lru_cutoff(cache: DataFrame, count: int, buckets: int = 4096, take: int = 10
     return last["at"], last["key"]
 
 
-def evict_marked(cache: DataFrame, max_entries: int, max_bytes: int, buckets: int = 4096, take: int = 10_000) -> DataFrame:
+def evict_marked(
+    cache: DataFrame, max_entries: int, max_bytes: int, buckets: int = 4096, take: int = 10_000, text_chars: Column | None = None
+) -> DataFrame:
     """``evicted`` per entry like ``evict``, without ranks: every entry is compared with the cut-off where it is.
 
-    Rows with one key and time go together; an empty cache stays empty.
+    Rows with one key and time go together; an empty cache stays empty. ``text_chars`` gives the length of the text where
+    the entries come without it.
     """
-    size, total = cache.agg(F.count("*"), F.sum(entry_bytes(["text", "result", "model"], 32))).first()
+    total_bytes = entry_bytes(["text", "result", "model"], 32) if text_chars is None else entry_bytes(["result", "model"], 32) + text_chars * 2
+    size, total = cache.agg(F.count("*"), F.sum(total_bytes)).first()
     over = (total or 0) > max_bytes
     due = max(1, size // 10) if size >= max_entries or over else 0
     if over and size // 5 > 0:

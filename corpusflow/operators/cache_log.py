@@ -64,14 +64,10 @@ def drop(keys: DataFrame, path: str, now_ms: int) -> None:
     append(keys.select(*KEYS).distinct().select("*", F.lit("drop").alias("kind"), F.lit(now_ms).alias("at_ms")), path)
 
 
-def entries(log: DataFrame) -> DataFrame:
-    """The state a log stands for: key (``text_hash``), model, text, result, written_ms, last_access_ms, access_count per live key.
-
-    Of puts at one time the larger result counts, so readers agree. Touches before the entry was written belong to
-    an older one. A tombstone ends entries written before it or at its time. All of it is two aggregations that
-    combine before the shuffle; a key that very many rows touch is a row per task there.
-    """
-    newest = F.max(F.when(F.col("kind") == "put", F.struct("written_ms", "result", "text")))
+def _lean(log: DataFrame) -> DataFrame:
+    """What ``entries`` gives but for the texts, of which only the number of characters moves; ``nameless``: the text of a null key."""
+    nameless = F.when(F.col("model").isNull() | F.col("text_hash").isNull(), F.col("text")).alias("nameless")
+    newest = F.max(F.when(F.col("kind") == "put", F.struct("written_ms", "result", nameless, F.length("text").alias("chars"))))
     gone = F.max(F.when(F.col("kind") == "drop", F.col("at_ms")))
     state = log.groupBy(*KEYS).agg(newest.alias("put"), gone.alias("gone"))
     live = state.filter(F.col("put").isNotNull() & (F.col("gone").isNull() | (F.col("gone") < F.col("put.written_ms"))))
@@ -80,20 +76,39 @@ def entries(log: DataFrame) -> DataFrame:
     touches = log.filter(F.col("kind") == "touch").join(live.select(*KEYS, F.col("written_ms").alias("since")), KEYS).filter("at_ms >= since")
     used = touches.groupBy(*KEYS).agg(F.max("at_ms").alias("touched_ms"), F.sum("times").alias("times"))
     return live.join(used, KEYS, "left").select(
-        "model", "text_hash", F.col("text_hash").alias("key"), "text", "result", "written_ms",
+        "model", "text_hash", F.col("text_hash").alias("key"), "nameless", "chars", "result", "written_ms",
         F.coalesce("touched_ms", "written_ms").alias("last_access_ms"), F.coalesce("times", F.lit(0)).cast("long").alias("access_count"),
     )
 
 
+def _with_texts(lean: DataFrame, log: DataFrame) -> DataFrame:
+    """Adds the texts of the newest puts; the join goes where ``text`` isn't asked for, since a key has one row on its right side."""
+    newest = F.max(F.struct("written_ms", "result", "text"))
+    texts = log.filter(F.col("kind") == "put").groupBy(*KEYS).agg(newest.alias("newest")).select(*KEYS, F.col("newest.text").alias("named"))
+    others = [c for c in lean.columns if c not in ("model", "text_hash", "key", "nameless", "chars")]
+    return lean.join(texts, KEYS, "left").select("model", "text_hash", "key", F.coalesce("nameless", "named").alias("text"), *others)
+
+
+def entries(log: DataFrame) -> DataFrame:
+    """The state a log stands for: key (``text_hash``), model, text, result, written_ms, last_access_ms, access_count per live key.
+
+    Of puts at one time the larger result counts, so readers agree. Touches before the entry was written belong to
+    an older one. A tombstone ends entries written before it or at its time. All of it is aggregations that
+    combine before the shuffle; a key that very many rows touch is a row per task there. Texts are moved once, and only if they are read.
+    """
+    return _with_texts(_lean(log), log)
+
+
 def compact(spark: SparkSession, path: str, now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS) -> int:
     """Writes the live, unexpired state as a new generation and commits it; gives its number.
 
     Runs that append meanwhile write to the old generation and are not seen afterwards, so compaction needs the log for
     itself. Old generations are folders of their own that may be removed.
     """
-    current = materialise(cache.unexpired(entries(read_log(spark, path)), now_ms, ttl_ms), "compacted")
+    log = read_log(spark, path)
+    current = materialise(cache.unexpired(_lean(log), now_ms, ttl_ms), "compacted")
     new = (_stored(spark, path).agg(F.max("generation")).first()[0] or 0) + 1
-    append(current.select(*KEYS, "text", "result", "written_ms", F.lit("put").alias("kind"), F.col("written_ms").alias("at_ms")), path, new)
+    append(_with_texts(current, log).select(*KEYS, "text", "result", "written_ms", F.lit("put").alias("kind"), F.col("written_ms").alias("at_ms")), path, new)
     touched = current.filter("access_count > 0")
     append(touched.select(*KEYS, F.lit("touch").alias("kind"), F.col("last_access_ms").alias("at_ms"), F.col("access_count").alias("times")), path, new)
     append(spark.createDataFrame([(COMMIT, now_ms)], "kind string, at_ms long").select("*", *[F.lit("").alias(c) for c in KEYS]), path, new)
@@ -102,9 +117,10 @@ def compact(spark: SparkSession, path: str, now_ms: int, ttl_ms: int = fv.CACHE_
 
 def evict(spark: SparkSession, path: str, max_entries: int, max_bytes: int, now_ms: int) -> DataFrame:
     """One round of eviction by last access: tombstones for the least recently used; gives ``entries`` with ``evicted``."""
-    marked = cache.evict_marked(materialise(entries(read_log(spark, path)), "entries"), max_entries, max_bytes)
+    log = read_log(spark, path)
+    marked = cache.evict_marked(materialise(_lean(log), "entries"), max_entries, max_bytes, text_chars=F.col("chars"))
     drop(marked.filter("evicted"), path, now_ms)
-    return marked
+    return _with_texts(marked, log)
 
 
 def generate(rows: DataFrame, client, path: str, model: str, now_ms: int, ttl_ms: int = fv.CACHE_TTL_MS) -> DataFrame:
@@ -115,10 +131,15 @@ def generate(rows: DataFrame, client, path: str, model: str, now_ms: int, ttl_ms
     """
     spark = rows.sparkSession
     state = materialise(entries(read_log(spark, path)).select(*KEYS, "result", "written_ms"), "cache-state")
-    asked = materialise(rows.withColumn("text_hash", content_key(F.col("text"))).withColumn("model", F.lit(model)), "asked")
-    done = materialise(calls.cached_generate(asked.drop("model", "text_hash"), client, state, model, now_ms, ttl_ms), "cached-replies")
-    texts = asked.select(*KEYS, "text").groupBy(*KEYS).agg(F.first("text").alias("text"))
-    learned = done.filter(~F.col("hit") & F.col("reply.error").isNull()).groupBy(*KEYS).agg(F.max("reply.content").alias("result"))
-    put(learned.filter("result IS NOT NULL").join(texts, KEYS).select("model", "text", "result"), path, now_ms)
+    # a prompt that is the text itself is written once
+    own = F.col("prompt").eqNullSafe(F.col("text"))
+    asked = materialise(rows.withColumn("_own", own).withColumn("prompt", F.when(~F.col("_own"), F.col("prompt"))), "asked")
+    asked = asked.withColumn("prompt", F.when(F.col("_own"), F.col("text")).otherwise(F.col("prompt"))).drop("_own")
+
+    def learn(called: DataFrame) -> None:
+        answered = called.filter(F.col("text_hash").isNotNull() & F.col("reply.error").isNull() & F.col("reply.content").isNotNull())
+        put(answered.select("model", "text", F.col("reply.content").alias("result")), path, now_ms)
+
+    done = materialise(calls.cached_generate(asked, client, state, model, now_ms, ttl_ms, learn), "cached-replies")
     touch(done.filter("hit"), path, now_ms)
     return done.drop(*KEYS)
