@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,15 +155,27 @@ def direction_tags(text: Column) -> Column:
 
 
 def debounced(pieces: Column, interval_ms: int = fv.PROGRESS_INTERVAL_MS) -> Column:
-    """Pieces of ``array<struct<at_ms, text>>`` sent on: more than the interval after the last one sent."""
-    empty = F.filter(pieces, lambda p: F.lit(False))
-    start = F.struct(F.lit(0).cast("bigint").alias("last"), empty.alias("sent"))
-
-    def step(state: Column, piece: Column) -> Column:
-        due = piece["at_ms"] - state["last"] > interval_ms
-        return F.when(
-            due,
-            F.struct(piece["at_ms"].alias("last"), F.array_append(state["sent"], piece).alias("sent")),
-        ).otherwise(state)
-
-    return F.aggregate(pieces, start, step, lambda s: s["sent"])
+    """Pieces of ``array<struct<at_ms, text>>`` sent on: more than the interval after the last one sent.
+
+    Only the times go to Python, where one pass over each array finds the places of the pieces to send; a fold of columns would copy
+    what was sent so far for every piece. A null time is never due.
+    """
+
+    def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for times in batches:
+            ends, places = [0], array("i")
+            offsets, values = times.offsets.to_pylist(), times.values.fill_null(-(2**63)).to_numpy()
+            for row in range(len(times)):
+                last = 0
+                for place, at in enumerate(values[offsets[row] : offsets[row + 1]].tolist()):
+                    if at - last > interval_ms:
+                        places.append(place)
+                        last = at
+                ends.append(len(places))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield pc.if_else(times.is_valid(), found, pa.scalar(None, found.type)) if times.null_count else found
+
+    walk.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    due = F.arrow_udf(walk, "array<int>")(F.transform(pieces, lambda p: p["at_ms"].cast("bigint")))
+    both = F.struct(pieces.alias("pieces"), due.alias("due"))
+    return let(both, lambda b: F.transform(b["due"], lambda place: F.get(b["pieces"], place)))
