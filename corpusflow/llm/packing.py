@@ -27,6 +27,8 @@ from corpusflow.session import materialise
 
 #: The largest sources are counted round by round inside each task; the deficits of the others come from a table of rounds and sources.
 DENSE_QUEUES = 1024
+#: Bytes of text that are encoded at a time: the masks, cuts and ids of a block are many times its size.
+BLOCK_BYTES = 1_000_000
 #: Numbers in a block of rounds and queues that a task works on at a time.
 BLOCK_NUMBERS = 1 << 20
 #: Up to so many (partition, source) pairs are broadcast; more are joined by a shuffle.
@@ -41,7 +43,7 @@ def _encoded(documents: DataFrame, path: str, end_id: int, key: str, text: str,
         encoder = common.per_worker((path, False), lambda: ChunkEncoder(path, False))
         part = TaskContext.get().partitionId()
         done: dict[str, int] = {}
-        for block in common.blocks(batches, "text"):
+        for block in common.blocks(batches, "text", BLOCK_BYTES):
             texts = ["" if t is None else t for t in block.column("text").to_pylist()]
             ids, lengths = encoder.encode(texts)
             ends = np.cumsum(lengths)
