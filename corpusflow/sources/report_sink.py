@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from corpusflow.session import materialise
 
 FORMAT = "corpusflow_reports"
+#: An aborted run looks so often, with such pauses, for files that its tasks still write.
+ABORT_LOOKS, ABORT_PAUSE_S = 50, 0.2
 _STAGING, _MANIFESTS = "_staging", "_manifests"
 #: Attempt folders are published by one task each; a file of a report takes this name's place at once.
 _ATTEMPT = T.StructType().add("run", T.StringType()).add("attempt", T.StringType())
@@ -88,8 +91,20 @@ class _ReportWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         target, root = _open(self.uri)
         staged = f"{root}/{_STAGING}/{self.run}"
-        if self.run in _listed(target, f"{root}/{_STAGING}", "Directory"):
-            target.delete_dir(staged)
+        # tasks that are being ended may still add files: the folder must be found gone twice
+        gone = 0
+        for _ in range(ABORT_LOOKS):
+            if self.run not in _listed(target, f"{root}/{_STAGING}", "Directory"):
+                gone += 1
+                if gone == 2:
+                    return
+            else:
+                gone = 0
+                try:
+                    target.delete_dir(staged)
+                except OSError:  # a file came in between
+                    pass
+            time.sleep(ABORT_PAUSE_S)
 
 
 class ReportSink(DataSource):

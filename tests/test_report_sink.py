@@ -65,3 +65,21 @@ def test_no_rows_and_no_overwriting(spark, tmp_path):
     assert files_of(tmp_path / "none") == {}
     with pytest.raises(Exception, match="append"):
         empty.write.format(FORMAT).mode("overwrite").save(filesystem_uri(spark, str(tmp_path / "none")))
+
+
+def test_abort_outlives_tasks_that_still_write(tmp_path, monkeypatch):
+    """Files that come while the folder is being deleted, and a folder that comes again, are gone in the end."""
+    writer = report_sink._ReportWriter(f"file://{tmp_path}/out", ["file_name", "content"])
+    staged = tmp_path / "out" / "_staging" / writer.run
+    late, pauses = [staged / "b", staged / "c"], []
+
+    def pause(seconds):
+        pauses.append(seconds)
+        if late:
+            late[0].mkdir(parents=True)
+            (late.pop(0) / "r1").write_text("late")
+
+    monkeypatch.setattr(report_sink.time, "sleep", pause)
+    (staged / "a").mkdir(parents=True)
+    writer.abort([])
+    assert not staged.exists() and not late and len(pauses) > 2
