@@ -26,8 +26,10 @@ FORMAT = "corpusflow_reports"
 #: An aborted run looks so often, with such pauses, for files that its tasks still write.
 ABORT_LOOKS, ABORT_PAUSE_S = 50, 0.2
 _STAGING, _MANIFESTS = "_staging", "_manifests"
-#: Attempt folders are published by one task each; a file of a report takes this name's place at once.
+#: Attempt folders are listed by one task each; a file of a report takes this name's place at once.
 _ATTEMPT = T.StructType().add("run", T.StringType()).add("attempt", T.StringType())
+#: Files that a task moves or reads, about, and bytes of their contents that it hands on at a time.
+TASK_FILES, BATCH_BYTES = 20_000, 4_000_000
 
 
 def filesystem_uri(spark: SparkSession, folder: str) -> str:
@@ -141,42 +143,65 @@ def apart(reports: DataFrame) -> DataFrame:
     return single.unionByName(several.dropDuplicates(["file_name", "digest"]).drop("digest"))
 
 
-def publish(spark: SparkSession, folder: str) -> int:
-    """Move the staged files of all committed runs of a folder to their places; the number of runs.
+def _dealt(files: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one file each, as many to a task as it should take."""
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(least, -(-files.count() // TASK_FILES)), *keys)
+
+
+def _published(spark: SparkSession, folder: str) -> tuple[list[DataFrame], int]:
+    """Does what ``publish`` says; for each run that had files a written table of their ``file_name``, and the number of runs."""
+    import pyarrow as pa
 
-    Safe to repeat, and to run again after it died: a file that is gone from its attempt was moved before.
-    Afterwards nothing of those runs is left beside the reports, failed attempts included.
-    """
     uri = filesystem_uri(spark, folder)
     target, root = _open(uri)
     runs = [n.removesuffix(".json") for n in _listed(target, f"{root}/{_MANIFESTS}", "File") if n.endswith(".json")]
     # runs of one folder are published in the order of their manifests' times, the newest last
     times = {r: target.get_file_info(f"{root}/{_MANIFESTS}/{r}.json").mtime_ns or 0 for r in runs}
 
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, base = _open(uri)
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = _listed(there, f"{base}/{_STAGING}/{row['run']}/{row['attempt']}", "File")
+                yield pa.RecordBatch.from_pydict({**{k: [v] * len(found) for k, v in row.items()}, "file_name": pa.array(found, pa.string())})
+
     def move(rows: Iterator[T.Row]) -> None:
         there, base = _open(uri)
         for row in rows:
-            staged = f"{base}/{_STAGING}/{row.run}/{row.attempt}"
-            for name in _listed(there, staged, "File"):
-                try:
-                    there.move(f"{staged}/{name}", f"{base}/{name}")
-                except FileNotFoundError:  # a second copy of this task was faster
-                    if there.get_file_info(f"{base}/{name}").type.name != "File":
-                        raise
+            try:
+                there.move(f"{base}/{_STAGING}/{row.run}/{row.attempt}/{row.file_name}", f"{base}/{row.file_name}")
+            except FileNotFoundError:  # a second copy of this task was faster
+                if there.get_file_info(f"{base}/{row.file_name}").type.name != "File":
+                    raise
 
+    done = []
     for run in sorted(runs, key=lambda r: (times[r], r)):
         with target.open_input_stream(f"{root}/{_MANIFESTS}/{run}.json") as body:
             attempts = [(run, m["attempt"]) for m in json.loads(body.read()) if m["files"]]
         if attempts:
-            spark.createDataFrame(attempts, _ATTEMPT).repartition(len(attempts), "attempt").foreachPartition(move)
+            dealt = spark.createDataFrame(attempts, _ATTEMPT).repartition(len(attempts), "attempt")
+            # written before the first file moves, so that a repeated task finds the same names
+            staged = materialise(dealt.mapInArrow(names, "run string, attempt string, file_name string"), "report-names")
+            _dealt(staged, "file_name").foreachPartition(move)
+            done.append(staged.select("file_name"))
         if run in _listed(target, f"{root}/{_STAGING}", "Directory"):
             target.delete_dir(f"{root}/{_STAGING}/{run}")
         target.delete_file(f"{root}/{_MANIFESTS}/{run}.json")
-    return len(runs)
+    return done, len(runs)
+
+
+def publish(spark: SparkSession, folder: str) -> int:
+    """Move the staged files of all committed runs of a folder to their places; the number of runs.
+
+    Safe to repeat, and to run again after it died: a file that is gone from its attempt was moved before.
+    Afterwards nothing of those runs is left beside the reports, failed attempts included.
+    """
+    return _published(spark, folder)[1]
 
 
-def save_reports(reports: DataFrame, folder: str) -> None:
-    """Write ``(file_name, path, content)`` rows whole or not at all, one file per different report.
+def save_reports(reports: DataFrame, folder: str) -> DataFrame:
+    """Write ``(file_name, path, content)`` rows whole or not at all, one file per different report; the ``file_name`` of all files published.
 
     Names that reports share are told apart first (``apart``). A null name, one with a slash or one that begins
     with ``_`` fails the job, which leaves no file. No rows write nothing. For very many documents write a table instead.
@@ -185,4 +210,34 @@ def save_reports(reports: DataFrame, folder: str) -> None:
     spark.dataSource.register(ReportSink)
     rows = apart(reports).select("file_name", "content")
     rows.write.format(FORMAT).mode("append").save(filesystem_uri(spark, folder))
-    publish(spark, folder)
+    names = spark.createDataFrame([], "file_name string")
+    for more in _published(spark, folder)[0]:
+        names = names.unionByName(more)
+    return names.distinct()
+
+
+def read_reports(names: DataFrame, folder: str) -> DataFrame:
+    """``file_name`` and ``content`` (bytes) of the named files, opened by tasks. Neither the driver nor a task lists the folder."""
+    import pyarrow as pa
+
+    uri = filesystem_uri(names.sparkSession, folder)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, base = _open(uri)
+
+        def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+            found, contents = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contents, pa.binary())], ["file_name", "content"])
+
+        rows, held = [], 0
+        for name in (n for b in batches for n in b.column(0).to_pylist()):
+            with there.open_input_stream(f"{base}/{name}", compression=None) as body:
+                rows.append((name, body.read()))
+            held += len(rows[-1][1])
+            if held > BATCH_BYTES:
+                yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return _dealt(names.select("file_name"), "file_name").mapInArrow(read, "file_name string, content binary")

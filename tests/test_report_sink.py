@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.sources import report_sink
-from corpusflow.sources.report_sink import FORMAT, filesystem_uri, publish, save_reports
+from corpusflow.sources.report_sink import FORMAT, filesystem_uri, publish, read_reports, save_reports
 
 ROWS = "file_name string, path string, content string"
 
@@ -83,3 +83,14 @@ def test_abort_outlives_tasks_that_still_write(tmp_path, monkeypatch):
     (staged / "a").mkdir(parents=True)
     writer.abort([])
     assert not staged.exists() and not late and len(pauses) > 2
+
+
+def test_files_are_read_back_by_name_in_few_tasks(spark, tmp_path):
+    """What was published comes back, odd names and empty files too, and the tasks follow the files' number, not 4 MB each."""
+    out = tmp_path / "out"
+    rows = [(f"r {i}%20+ü.md", "/p", "x" * i) for i in range(300)] + [("e", "/p", None)]
+    names = save_reports(spark.createDataFrame(rows, ROWS).repartition(4), str(out))
+    found = read_reports(names, str(out))
+    assert found.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.file_name, bytes(r.content)) for r in found.collect()} == {(n, (c or "").encode()) for n, _, c in rows}
+    assert leftovers(out) == [] and save_reports(spark.createDataFrame([], ROWS), str(out)).count() == 0
