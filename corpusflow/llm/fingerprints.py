@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bins, a power of two, and the low-order bits stored of each.
 BINS, BITS = 256, 4
 SHINGLE_WORDS = 5
-#: Probes of the first look at an empty bin; a second look goes through all bins.
-PROBES = 12
+#: An empty bin makes so many probes one by one; then it looks at these ranges of probes, each at once.
+PROBES, LOOKS = 12, (12, 48, BINS)
 #: Text that a key range should hold, and the least and most ranges; beyond 25 TB the ranges grow.
 RANGE_BYTES, RANGES = 1 << 28, (256, 100_000)
 _LANES = 64 // BITS
@@ -24,27 +24,41 @@ def shingle_hashes(text: Column) -> Column:
 def _shingles(words: Column) -> Column:
     """Shingles from hashed words, as bin * 2**32 + hash. ``words`` must be a plain column, so that it is made once."""
     n, bits = F.size(words), F.lit((BINS << 32) - 1)
-    some = F.transform(F.sequence(F.lit(1), n - SHINGLE_WORDS + 1), lambda i: F.xxhash64(F.slice(words, i, SHINGLE_WORDS)).bitwiseAND(bits))
+
+    def shingle(i: Column) -> Column:  # as the hash of the array of its words, without making that array
+        return F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE_WORDS)]).bitwiseAND(bits)
+
+    some = F.transform(F.sequence(F.lit(0), n - SHINGLE_WORDS), shingle)
     whole = F.array(F.xxhash64(words).bitwiseAND(bits))
-    return F.when(n >= SHINGLE_WORDS, some).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= SHINGLE_WORDS, some).when(n > 0, whole).otherwise(F.array_repeat(F.lit(0).cast("long"), 0))
+
+
+def _sorted(shingles: Column) -> Column:
+    """Twice the shingles in order, and behind those of each bin an odd mark. Nothing in it can be null, so the sort is one of plain numbers."""
+    marks = F.sequence(F.lit((1 << 33) - 1), F.lit((BINS << 33) - 1), F.lit(1 << 33))
+    return F.sort_array(F.concat(F.transform(shingles, lambda v: F.shiftleft(v, 1)), marks))
 
 
 def _firsts(placed: Column) -> Column:
-    """The smallest hash of each bin, from a sorted array of bin * 2**32 + hash. ``placed`` must be a plain column."""
-    # the first entry of each bin stands behind an entry of another bin
-    return F.filter(placed, lambda v, i: (i == 0) | (F.shiftright(v, 32) != F.shiftright(F.get(placed, i - 1), 32)))
+    """What is first in each bin: twice its smallest shingle, or the mark of an empty one. ``placed`` must be a plain column, from ``_sorted``."""
+    # the first entry of each bin stands behind the mark of the bin before
+    return F.filter(placed, lambda v, i: (i == 0) | (F.get(placed, i - 1).bitwiseAND(F.lit((1 << 33) - 1)) == (1 << 33) - 1))
 
 
-def _spread(binned: Column) -> Column:
-    """The smallest hash of every bin, -1 in empty bins. ``binned`` must be a plain column, not empty."""
-    bin_of = lambda v: F.shiftright(v, 32).cast("int")
-    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(bin_of(F.get(binned, i - 1)))
-    low = lambda v: v.bitwiseAND(F.lit((1 << 32) - 1))
-    upto = F.flatten(F.transform(binned, lambda v, i: F.concat(F.array_repeat(F.lit(-1).cast("long"), bin_of(v) - before(i) - 1), F.array(low(v)))))
-    return F.concat(upto, F.array_repeat(F.lit(-1).cast("long"), F.lit(BINS - 1) - bin_of(F.element_at(binned, -1))))
+def _values(firsts: Column) -> Column:
+    """The smallest hash of every bin, null in empty bins."""
+    return F.transform(firsts, lambda v: F.when(v.bitwiseAND(F.lit(1)) == 0, F.shiftright(v, 1).bitwiseAND(F.lit((1 << 32) - 1))))
 
 
-def _dense(values: Column) -> Column:
+def _orders(spark: SparkSession) -> tuple[Column, Column]:
+    """Start and odd step of each bin's probes, hashes of the bin, as two literals."""
+    bin_ = F.col("id").cast("int")
+    rows = spark.range(BINS).select("id", F.pmod(F.hash(bin_), F.lit(BINS)).alias("start"), (F.pmod(F.hash(bin_, F.lit(1)), F.lit(BINS // 2)) * 2 + 1).alias("step"))
+    rows = sorted(rows.collect())  # one per bin
+    return _longs([r.start for r in rows]), _longs([r.step for r in rows])
+
+
+def _dense(values: Column, starts: Column, steps: Column) -> Column:
     """Low-order bits of all bins. ``values`` must be a plain column with a value in one bin at least.
 
     An empty bin probes others in an order of its own, the same for all documents, until it meets one that
@@ -53,15 +67,18 @@ def _dense(values: Column) -> Column:
     """
     low = F.lit((1 << BITS) - 1)
 
-    def probe(i: Column, first: int, last: int) -> Column:
-        start, step = F.pmod(F.hash(i), F.lit(BINS)), F.pmod(F.hash(i, F.lit(1)), F.lit(BINS // 2)) * 2 + 1
-        tried = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: F.get(values, F.pmod(start + t * step, F.lit(BINS))))
-        return F.get(F.filter(tried, lambda v: v >= 0), F.lit(0))
+    def probe(i: Column, t: Column) -> Column:
+        return F.get(values, (F.get(starts, i) + t * F.get(steps, i)).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+
+    def look(i: Column, first: int, last: int) -> Column:
+        return F.get(F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda t: probe(i, t)), lambda v: v.isNotNull()), F.lit(0))
 
     def lent(i: Column) -> Column:
-        return F.xxhash64(F.coalesce(probe(i, 0, PROBES - 1), probe(i, PROBES, BINS - 1)), i)
+        # a later probe is only made if those before it met empty bins
+        single = [probe(i, F.lit(t)) for t in range(PROBES)]
+        return F.xxhash64(F.coalesce(*single, *[look(i, a, b - 1) for a, b in zip(LOOKS, LOOKS[1:])]), i)
 
-    return F.transform(values, lambda v, i: F.when(v >= 0, v).otherwise(lent(i)).bitwiseAND(low))
+    return F.transform(values, lambda v, i: F.coalesce(v, lent(i)).bitwiseAND(low))
 
 
 def _packed(dense: Column) -> Column:
@@ -82,10 +99,11 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     """
     step = f"_{name}"
     rows = rows.withColumn(step, shingle_hashes(F.col(text)))
-    rows = rows.withColumn(step, F.sort_array(_shingles(F.col(step))))
-    rows = rows.withColumn(step, _firsts(F.col(step)))
-    rows = rows.withColumn(step, F.when(F.size(step) > 0, _spread(F.col(step))))
-    rows = rows.withColumn(step, F.when(F.col(step).isNotNull(), _dense(F.col(step))))
+    rows = rows.withColumn(step, _shingles(F.col(step)))
+    rows = rows.withColumn(step, F.when(F.size(step) > 0, _sorted(F.col(step))))
+    rows = rows.withColumn(step, F.when(F.col(step).isNotNull(), _firsts(F.col(step))))
+    rows = rows.withColumn(step, F.when(F.col(step).isNotNull(), _values(F.col(step))))
+    rows = rows.withColumn(step, F.when(F.col(step).isNotNull(), _dense(F.col(step), *_orders(rows.sparkSession))))
     packed = F.when(F.col(step).isNotNull(), _packed(F.col(step))).otherwise(F.array().cast("array<bigint>"))
     return rows.withColumn(name, packed).drop(step)
 
