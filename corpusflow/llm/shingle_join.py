@@ -200,9 +200,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common_size >= 75 * union).select("a", "b")
 
 
-def _across(rest: DataFrame) -> DataFrame:
+def _across(rest: DataFrame, nearest: bool) -> DataFrame:
     """``a`` and ``b``, the smaller first: the pairs of sets in one part but different components that may be linked.
 
+    With ``nearest`` only the most similar one of such pairs for every two components.
+
     ``rest`` has part, sets (in the part), least (of their names), salt, name, component, n, sketch. A part of very many sets is cut into chunks
     by name, and every two chunks meet in a group of their own. Parts go to tasks by their least name, since near copies share many
     parts and mostly have one least name in them: a task compares in numpy and gives a pair only once per BLOCK_PAIRS found.
@@ -222,19 +224,27 @@ def _across(rest: DataFrame) -> DataFrame:
         for k in range(lanes.shape[1]):
             distance += np.bitwise_count(lanes[left, k] ^ lanes[right, k])
         may = 7 * distance <= n[left] + n[right]
-        x, y = name[left[may]], name[right[may]]
-        return np.minimum(x, y), np.maximum(x, y)
+        left, right, distance = left[may], right[may], distance[may]
+        ends = [(c[left], c[right]) for c in (component, name)] if nearest else [(name[left], name[right])]
+        pairs = [f(x, y) for x, y in ends for f in (np.minimum, np.maximum)]
+        return (*pairs, distance / (n[left] + n[right])) if nearest else tuple(pairs)
+
+    def once(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """Of rows that are equal in the first two columns one, the one least unlike if that is known."""
+        columns = [np.concatenate(c) for c in zip(*found)]
+        order = np.lexsort((*columns[2:], columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+        return tuple(c[new] for c in columns)
+
+    fields = ["low", "high", "a", "b", "unlike"] if nearest else ["a", "b"]
 
-    def once(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+    def sent(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], fields)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         for columns in _whole_groups(batches):
             part, low, high = columns[:3]
             new = np.ones(len(part), bool)
@@ -253,14 +263,18 @@ def _across(rest: DataFrame) -> DataFrame:
                 found.append(near(columns, left, right))
                 begin = stop
                 if sum(len(f[0]) for f in found) > BLOCK_PAIRS:
-                    yield once(found)
-                    found = []
+                    found = [once(found)]
+                    if len(found[0][0]) > BLOCK_PAIRS // 2:
+                        yield sent(found.pop())
         if found:
-            yield once(found)
+            yield sent(once(found))
         common.release()
 
     dealt = rows.repartition("least", "salt", "low", "high").sortWithinPartitions("least", "salt", "part", "low", "high")
-    return dealt.drop("least", "salt").mapInArrow(meet, "a long, b long")
+    met = dealt.drop("least", "salt").mapInArrow(meet, ", ".join(f"{f} {'double' if f == 'unlike' else 'long'}" for f in fields))
+    if not nearest:
+        return met.distinct()
+    return met.groupBy("low", "high").agg(F.min(F.struct("unlike", "a", "b")).alias("best")).select("best.a", "best.b")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -329,20 +343,22 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     best = near.groupBy("a").agg(F.min(F.struct(_distance("x.sketch", "y.sketch").alias("d"), "b"))["b"].alias("b"))
     wanted = joined.select("name").distinct()
     sets = _sets_of(documents, key, text, clashing, wanted, nodes)
-    first = materialise(_verified(best, sets), "links")
-    found = components(first)
-
-    # then all pairs of one part that are not yet in one component
-    labelled = joined.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    parts = labelled.groupBy("part").agg(F.count("*").alias("sets"), F.min("name").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
-    open_parts = materialise(parts.where("low <> high").select("part", "sets", "least"), "open-parts")
-    # the parts of a least name go to several tasks if there is much to compare
-    work = open_parts.groupBy("least").agg(F.ceil(F.sum(F.col("sets") * F.col("sets")) / TASK_PAIRS).alias("spread"))
-    open_parts = open_parts.join(work, "least").select("part", "sets", "least", F.pmod(F.xxhash64("part"), "spread").alias("salt"))
-    rest = labelled.join(open_parts, "part").join(sketches, "name")
-    across = materialise(_across(rest).distinct(), "candidates")
-    second = _verified(across, sets)
-    reached = components(first.unionByName(second))
+    links = materialise(_verified(best, sets), "links")
+
+    # then all pairs of one part that are not yet in one component: the most similar pair of every two components goes first,
+    # since the others between two large components need no look once that one is a link
+    for nearest in (True, False):
+        found = components(links)
+        labelled = joined.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+        parts = labelled.groupBy("part").agg(F.count("*").alias("sets"), F.min("name").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+        open_parts = materialise(parts.where("low <> high").select("part", "sets", "least"), "open-parts")
+        # the parts of a least name go to several tasks if there is much to compare
+        work = open_parts.groupBy("least").agg(F.ceil(F.sum(F.col("sets") * F.col("sets")) / TASK_PAIRS).alias("spread"))
+        open_parts = open_parts.join(work, "least").select("part", "sets", "least", F.pmod(F.xxhash64("part"), "spread").alias("salt"))
+        rest = labelled.join(open_parts, "part").join(sketches, "name")
+        across = materialise(_across(rest, nearest), "candidates")
+        links = materialise(links.unionByName(_verified(across, sets)), "links")
+    reached = components(links)
     smallest = nodes.join(reached.withColumnRenamed("node", "name"), "name").groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = reached.join(smallest, "component").select(F.col("node").alias("name"), "component_id")
     own = nodes.select("name", F.col("id").alias("own_id"))

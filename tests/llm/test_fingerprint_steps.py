@@ -28,7 +28,7 @@ def test_fingerprints_are_those_of_the_plain_definition(spark):
     for r in lent.select("id", "i", low).collect():
         wanted.setdefault(r.id, {})[r.i] = r.low
     found = fp.with_fingerprint(rows, "text", "p").select("id", fp.as_hex(F.col("p")).alias("p")).collect()
-    assert {r.id: r.p for r in found} == {i: "".join(f"{wanted[i][k]:x}" for k in range(fp.BINS)) if i in wanted else "" for i, _ in texts}
+    assert {r.id: r.p for r in found} == {i: "".join(f"{wanted[i][k]:X}" for k in range(fp.BINS)) if i in wanted else "" for i, _ in texts}
 
 
 def test_no_array_that_is_sorted_may_hold_nulls(spark):
