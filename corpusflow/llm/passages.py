@@ -173,11 +173,16 @@ def earliest_windows(strings: list[bytes], ids: np.ndarray, groups: np.ndarray)
     return [result[a : a + m - WINDOW + 1] for a, m in zip(starts.tolist(), lengths.tolist())]
 
 
-def _earliest(distinct: DataFrame) -> DataFrame:
-    """``anchor``, ``digest`` and ``earliest`` (array, an id per window) for rows of anchor, digest, bytes, id.
+def by_anchor(strings: DataFrame, tasks: int) -> DataFrame:
+    """Rows in partitions that hold whole anchors, one behind the other, those of like many strings ``n`` together.
 
-    Rows come in partitions that hold whole anchors, in order of anchors.
+    A batch of suffix arrays takes as many steps as its longest text has symbols, so long texts should not be among short ones.
     """
+    return strings.repartition(tasks, "anchor").sortWithinPartitions("n", "anchor")
+
+
+def _earliest(distinct: DataFrame) -> DataFrame:
+    """``anchor``, ``digest`` and ``earliest`` (array, an id per window) for rows of anchor, digest, bytes, id, as ``by_anchor`` gives them."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         groups: dict[int, int] = {}
@@ -245,7 +250,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     single = several.where("n = 1").select("anchor", "digest", F.col("id").alias("low"), F.lit(None).cast("array<long>").alias("earliest"))
     asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
     strings = materialise(_strings(texts.select("id", "text").join(asked, "id"), clashing), "bytes")
-    compared = strings.where(F.col("n") <= MAX_STRINGS).repartition(tasks_by_size, "anchor").sortWithinPartitions("anchor")
+    compared = by_anchor(strings.where(F.col("n") <= MAX_STRINGS), tasks_by_size)
     # windows of the others, each whole, as 96 bits of hash beside the anchor's 64
     windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
     window = F.expr(f"substring(bytes, nth + 1, {WINDOW})")

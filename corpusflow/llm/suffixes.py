@@ -14,8 +14,8 @@ import numpy as np
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    ends = sizes.cumsum()
+    return np.arange(int(ends[-1]) if len(ends) else 0) + (starts - (ends - sizes)).repeat(sizes)
 
 
 def _run_starts(*keys: np.ndarray) -> np.ndarray:
@@ -23,7 +23,14 @@ def _run_starts(*keys: np.ndarray) -> np.ndarray:
     new[:1] = True
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
+    return new.nonzero()[0]
+
+
+def _run_sizes(starts: np.ndarray, n: int) -> np.ndarray:
+    sizes = np.empty_like(starts)
+    np.subtract(starts[1:], starts[:-1], out=sizes[:-1])
+    sizes[-1:] = n - starts[-1:]
+    return sizes
 
 
 def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -60,25 +67,27 @@ def _lyndon_groups(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         count = upto[active] - top
         upto[active] = top
         i = member[_ranges(top, count)]
-        own = np.repeat(top, count)
+        own = top.repeat(count)
         p = before[i]
-        late = np.flatnonzero((p >= 0) & (group[p] >= own))
+        late = ((p >= 0) & (group[p] >= own)).nonzero()[0]
         while len(late):
-            p[late] = before[p[late]]
-            before[i[late]] = p[late]  # members of one run jump over each other's jumps
-            late = late[(p[late] >= 0) & (group[p[late]] >= own[late])]
+            q = before[p[late]]
+            p[late] = q
+            before[i[late]] = q  # members of one run jump over each other's jumps
+            late = late[(q >= 0) & (group[q] >= own[late])]
         before[i] = p
-        p = np.sort(p[p >= 0])
+        p = p[p >= 0]
         if not len(p):
             continue
+        p.sort()
         at = _run_starts(p)
-        times = np.diff(np.append(at, len(p)))
+        times = _run_sizes(at, len(p))
         p = p[at]
         old = group[p]
-        order = np.lexsort((times, old))
+        order = (old * (n + 1) + times).argsort(kind="stable")
         p, times, old = p[order], times[order], old[order]
         at = _run_starts(old)
-        moved = np.diff(np.append(at, len(old)))
+        moved = _run_sizes(at, len(old))
         low = old[at]
         stay = size[low] - moved
         tail = _ranges(low + stay, moved)
@@ -87,46 +96,46 @@ def _lyndon_groups(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         there = member[tail]
         there = there[~taken[there]]
         taken[p] = False
-        free = was[was < np.repeat(low + stay, moved)]
+        free = was[was < (low + stay).repeat(moved)]
         member[free], slot[there] = there, free
         member[tail], slot[p] = p, tail
         at = _run_starts(old, times)
         new = tail[at]
-        sizes = np.diff(np.append(at, len(p)))
-        group[p] = np.repeat(new, sizes)
+        sizes = _run_sizes(at, len(p))
+        group[p] = new.repeat(sizes)
         size[low] = stay
         size[new] = sizes
 
 
 def _emit(group: np.ndarray, before: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Fills the groups from the lowest suffix up."""
+    """Fills the groups from the lowest suffix up. A text goes up its array and places a suffix in one step, if it can do both."""
+    n = len(group)
     first, end = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
     first, end = first[end > first], end[end > first]
-    out = np.full(len(group), -1, np.int64)
-    free = np.arange(len(group))  # next slot of the group that begins there
-    placed = np.zeros(len(group), bool)
+    out = np.full(n + 1, -1, np.int64)
+    free = np.arange(n)  # next slot of the group that begins there
+    placed = np.zeros(n + 1, bool)
+    placed[-1] = True  # what place -1 finds: nothing is left to place; before a text lies the last suffix of another, which is placed
     out[first], placed[end - 1] = end - 1, True
     at, j = first.copy(), end - 2  # the slot whose suffix places others; the suffix to be placed
-    j[j < first] = -1
     while len(at):
-        can = j >= 0
-        can[can] = ~placed[j[can]]
-        who = np.flatnonzero(can)
+        who = (~placed[j]).nonzero()[0]
         if len(who):
             p = j[who]
             g = group[p]
             s = free[g]
-            out[s], free[g], placed[p] = p, s + 1, True
+            out[s] = p
+            free[g] = s + 1
+            placed[p] = True
             j[who] = before[p]
-        rest = np.flatnonzero(~can)
+        rest = placed[j].nonzero()[0]
         if len(rest):
-            at[rest] += 1
-            done = at[rest] >= end[rest]
-            go = rest[~done]
-            nxt = out[at[go]] - 1
-            j[go] = np.where(nxt >= first[go], nxt, -1)
+            up = at[rest] + 1
+            at[rest] = up
+            j[rest] = out[up] - 1
+            done = up == end[rest]
             if done.any():
                 keep = np.ones(len(at), bool)
                 keep[rest[done]] = False
-                at, j, first, end = at[keep], j[keep], first[keep], end[keep]
-    return out
+                at, j, end = at[keep], j[keep], end[keep]
+    return out[:-1]
