@@ -1,9 +1,13 @@
-"""Batches of text steps: the order of suffix array texts."""
+"""Batches of text steps: the order of suffix array texts, the memo of the encoder."""
 
+import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from corpusflow.llm import passages
-
+from corpusflow.llm import chunk_memo, passages
+from corpusflow.llm.chunk_memo import ChunkEncoder
 
 def test_anchors_of_like_many_strings_come_together(spark):
     strings = [(a * 7919 % 1000, k, a % 5 + 1) for a in range(60) for k in range(a % 5 + 1)]
@@ -14,3 +18,36 @@ def test_anchors_of_like_many_strings_come_together(spark):
         own = [(r.n, r.anchor) for r in rows if r.part == part]
         assert own == sorted(own)
     assert all(len({r.part for r in rows if r.anchor == a}) == 1 for a in {s[0] for s in strings})
+
+
+@pytest.mark.parametrize("name, keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("limit", [5, 40, 100_000])
+def test_a_memo_that_drops_chunks_gives_the_ids_of_the_library(monkeypatch, name, keeps, limit):
+    monkeypatch.setattr(chunk_memo, "MEMO_CHUNKS", limit)
+    encoder, library = ChunkEncoder(public_tokenizers.path(name), keeps), Tokenizer.from_file(public_tokenizers.path(name))
+    common = "The naïve Straße, çá va? %%% don't"
+    for k in range(40):
+        texts = [common, f"word{k} Größe{k}### ключ&&& x{k}y*** it's {k * 37}!", "", f"{common} \t l'été{k % 7}... \"a\" b'c é' É&"]
+        texts += ["\x85 a", "b c <|endoftext|>", "a　b", "éx", f"A{'b' * k}-- 日本{k}。"]
+        ids, lengths = encoder.encode(texts)
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [list(x) for x in np.split(ids, np.cumsum(lengths)[:-1])] == expected
+
+
+def test_the_memo_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr(chunk_memo, "MEMO_CHUNKS", 60)
+    encoder = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    again, learned, learn = "one two three four five", [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    for k in range(30):
+        encoder.encode([again + " " + " ".join("x" * (20 * k + j + 1) for j in range(20))])
+        assert len(encoder.memo) <= 60
+    assert all(learned.count(w) == 1 for w in again.split())
+
+
+def test_words_before_marks_skip_the_library(monkeypatch):
+    encoder = ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    asked, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda texts: (asked.extend(texts), library(texts))[1])
+    encoder.encode(["inthe&&& anores%%% émentions*** plain don't"])
+    assert asked == ["don't"]
