@@ -15,6 +15,9 @@ from pyspark import TaskContext
 #: Bytes of text that a numpy step works on at a time; a longer single text is a block of its own.
 BLOCK_BYTES = 4_000_000
 
+#: Bytes of the Arrow batches of steps that are written: some blocks of text.
+BATCH_BYTES = "4m"
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -214,7 +214,7 @@ def pack(
     null; repeated rows are packed each on its own; no rows give no rows; other columns are not read.
     """
     spark = documents.sparkSession
-    stored = materialise(_encoded(documents, path, end_id, key, text, source), "packing")
+    stored = materialise(_encoded(documents, path, end_id, key, text, source), "packing", common.BATCH_BYTES)
     by_source = stored.groupBy("source").agg(F.sum("n").alias("total"))
     by_source = materialise(by_source, "packing-sources")
     largest = [(r.source, r.total) for r in by_source.orderBy(F.desc("total"), "source").limit(DENSE_QUEUES).collect()]

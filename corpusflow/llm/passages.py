@@ -225,7 +225,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     rows = plain.where("id IS NOT NULL")
     clashing = np.zeros(0, np.uint64)
     while True:
-        names = materialise(named(rows, "id", "text", clashing), "named")
+        names = materialise(named(rows, "id", "text", clashing), "named", common.BATCH_BYTES)
         nodes = names.groupBy("name").agg(F.min("id").alias("first"), F.min("check").alias("low"), F.max("check").alias("high"))
         nodes = materialise(nodes, "named-once")
         # names that two different texts got: some hundred at 10^11 texts, by the birthday bound; those texts take their other digest
@@ -239,17 +239,17 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     shared = shared_anchors(rows, "text", tasks, clashing)
     listed = shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors")).join(nodes.select("name", "first"), "name")
     # each step is written: what it shuffled can go then, and a lost task repeats no earlier step
-    listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors")
+    listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors", common.BATCH_BYTES)
     tasks_by_size = max(parts, total // 16_000_000 + 1)
     texts = rows.repartition(tasks_by_size, "id")
-    found = materialise(_occurrences(texts.select("id", "text").join(listed, "id"), tasks, clashing), "occurrences")
+    found = materialise(_occurrences(texts.select("id", "text").join(listed, "id"), tasks, clashing), "occurrences", common.BATCH_BYTES)
     distinct = found.groupBy("anchor", "digest").agg(F.min(F.struct("id", "name", "place", "windows")).alias("own"))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
     several = materialise(distinct.select("anchor", "digest", "own.*").join(sizes, "anchor"), "strings")
     # a single string needs no comparing: all its windows are its first holder's, ``low``
     single = several.where("n = 1").select("anchor", "digest", F.col("id").alias("low"), F.lit(None).cast("array<long>").alias("earliest"))
     asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
-    strings = materialise(_strings(texts.select("id", "text").join(asked, "id"), clashing), "bytes")
+    strings = materialise(_strings(texts.select("id", "text").join(asked, "id"), clashing), "bytes", common.BATCH_BYTES)
     compared = by_anchor(strings.where(F.col("n") <= MAX_STRINGS), tasks_by_size)
     # windows of the others, each whole, as 96 bits of hash beside the anchor's 64
     windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
@@ -259,7 +259,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     nth_low = windows.select("anchor", "digest", "nth", "h", "g").join(low, ["anchor", "h", "g"])
     split = nth_low.groupBy("anchor", "digest").agg(F.array_sort(F.collect_list(F.struct("nth", "low")))["low"].alias("earliest"))
     several_low = _earliest(compared).unionByName(split).withColumn("low", F.array_min("earliest"))
-    earliest = materialise(single.unionByName(several_low), "earliest")
+    earliest = materialise(single.unionByName(several_low), "earliest", common.BATCH_BYTES)
     # the windows that an earlier document has
     hits = found.join(earliest, ["anchor", "digest"]).where(F.col("low") < F.col("id"))
     early = F.transform("earliest", lambda e: e < F.col("id"))

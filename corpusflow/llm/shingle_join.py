@@ -311,7 +311,7 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     clashing = np.zeros(0, np.uint64)
     while True:
-        rows = materialise(sketched(documents, key, text, clashing), "sketched")
+        rows = materialise(sketched(documents, key, text, clashing), "sketched", common.BATCH_BYTES)
         nodes = rows.where("n > 0").groupBy("name").agg(
             F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"), *[F.first(c).alias(c) for c in ("n", "slack_0", "slack_1", "sketch")]
         )
@@ -324,7 +324,7 @@ def link(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     total = nodes.agg(F.sum("n")).first()[0]
     spark = documents.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TASK_DIGESTS + 1)
-    shared = materialise(shared_parts(documents, text, clashing, tasks), "shared-parts")
+    shared = materialise(shared_parts(documents, text, clashing, tasks), "shared-parts", common.BATCH_BYTES)
 
     # each set joins on its rarest parts only: of its agreeing parts with a linked one, one is among them
     counts = shared.groupBy("part").agg(F.count("*").alias("sets"))

@@ -1,13 +1,38 @@
-"""Batches of text steps: the order of suffix array texts, the memo of the encoder."""
+"""Batches of text steps: their Arrow size, the order of suffix array texts, the memo of the encoder."""
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusflow.llm import chunk_memo, passages
 from corpusflow.llm.chunk_memo import ChunkEncoder
+from corpusflow.session import materialise
+
+KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+
+@pytest.mark.parametrize("before", [None, "32m"])
+def test_a_written_step_bounds_its_arrow_batches(spark, before):
+    if before is not None:
+        spark.conf.set(KEY, before)
+    try:
+        own = spark.conf.get(KEY, None)
+        rows = spark.range(0, 500, 1, 1).select(F.expr("repeat(cast(id as string), 1000)").alias("text"))
+        sizes = [r.n for r in materialise(rows.mapInArrow(_sizes, "n long"), "sizes", "100k").collect()]
+        assert len(sizes) > 5 and max(sizes) < 200_000
+        assert spark.conf.get(KEY, None) == own
+        assert len(materialise(rows.mapInArrow(_sizes, "n long"), "sizes").collect()) == 1
+    finally:
+        spark.conf.unset(KEY)
+
 
 def test_anchors_of_like_many_strings_come_together(spark):
     strings = [(a * 7919 % 1000, k, a % 5 + 1) for a in range(60) for k in range(a % 5 + 1)]
