@@ -257,7 +257,8 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     windows = windows.select("anchor", "digest", "id", "nth", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
     low = windows.groupBy("anchor", "h", "g").agg(F.min("id").alias("low"))
     nth_low = windows.select("anchor", "digest", "nth", "h", "g").join(low, ["anchor", "h", "g"])
-    split = nth_low.groupBy("anchor", "digest").agg(F.array_sort(F.collect_list(F.struct("nth", "low")))["low"].alias("earliest"))
+    # a set, since rows that come twice give their strings twice
+    split = nth_low.groupBy("anchor", "digest").agg(F.array_sort(F.collect_set(F.struct("nth", "low")))["low"].alias("earliest"))
     several_low = _earliest(compared).unionByName(split).withColumn("low", F.array_min("earliest"))
     earliest = materialise(single.unionByName(several_low), "earliest", common.BATCH_BYTES)
     # the windows that an earlier document has

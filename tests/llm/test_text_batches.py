@@ -45,6 +45,16 @@ def test_anchors_of_like_many_strings_come_together(spark):
     assert all(len({r.part for r in rows if r.anchor == a}) == 1 for a in {s[0] for s in strings})
 
 
+@pytest.mark.parametrize("crowd", [128, 1])
+def test_rows_that_come_twice_are_cut_like_single_ones(spark, monkeypatch, crowd):
+    monkeypatch.setattr(passages, "MAX_STRINGS", crowd)
+    shared = "".join(chr(97 + k * k % 23) for k in range(70))
+    rows = [(k, f"{'xyz'[k % 3] * 30}{k} {shared[k % 3:]} {k}{'uvw'[k % 2] * 40}") for k in range(9)]
+    once, twice = (passages.dedup(spark.createDataFrame(r, "doc_id long, text string").repartition(3)).collect() for r in (rows, rows * 2))
+    assert sum(r.n_removed > 0 for r in once) > 5
+    assert sorted(map(str, twice)) == sorted(map(str, once * 2))
+
+
 @pytest.mark.parametrize("name, keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 @pytest.mark.parametrize("limit", [5, 40, 100_000])
 def test_a_memo_that_drops_chunks_gives_the_ids_of_the_library(monkeypatch, name, keeps, limit):
