@@ -3,8 +3,9 @@
 Every window has an anchor, the smallest hash among its byte grams, and equal windows have equal anchors. So
 windows only have to be compared within an anchor: neighbouring windows with one anchor make one short string,
 equal strings are reduced to one with the smallest document id, and the strings of an anchor that several documents
-share are put into one suffix array, in which equal windows lie side by side. Anchors with
-very many different strings are split by their whole windows instead.
+share are put into one suffix array, in which equal windows lie side by side. Windows of anchors with many
+different strings are put side by side by their hashes and compared, those of the few anchors with
+very many are split by their whole windows instead.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from pyspark.sql import types as T
 
 from corpusflow.llm import anchors, common
 from corpusflow.llm.suffixes import suffix_arrays
-from corpusflow.session import materialise
+from corpusflow.session import discard, materialise
 
 WINDOW, GRAM = 50, 20
-#: Anchors with more different strings are compared window by window: such a string's windows are grouped whole.
+#: Anchors with more different strings get no suffix array: their windows are put in the order of their hashes.
 MAX_STRINGS = 128
+#: Anchors with still more are not gathered in a task: each window of such a string is a row, and rows are grouped whole.
+MAX_GATHERED = 40_000
 #: Symbols of the suffix arrays made at once.
 BATCH_SYMBOLS = 1_000_000
 TASK_DIGESTS = 1_000_000
@@ -173,16 +176,56 @@ def earliest_windows(strings: list[bytes], ids: np.ndarray, groups: np.ndarray)
     return [result[a : a + m - WINDOW + 1] for a, m in zip(starts.tolist(), lengths.tolist())]
 
 
+def earliest_by_hash(strings: list[bytes], ids: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
+    """What ``earliest_windows`` gives, without suffix arrays: windows in the order of their hashes, neighbours compared byte by byte."""
+    n = len(strings)
+    counts = np.fromiter(map(len, strings), np.int64, n) - WINDOW + 1
+    offsets = np.concatenate([[0], np.cumsum(counts + WINDOW - 1)])
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    string = np.repeat(np.arange(n), counts)
+    first = np.arange(begins[-1]) + (offsets[:-1] - begins[:-1])[string]
+    key = np.empty(len(first), np.uint64)
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, side="right")) - 1)
+        hashes = anchors.gram_hashes(data[offsets[a] : offsets[b]], WINDOW)
+        own = slice(begins[a], begins[b])
+        key[own] = hashes[first[own] - offsets[a]] ^ common.mix(groups[string[own]])
+        a = b
+    order = np.argsort(key)
+    views = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+    group = groups[string]
+
+    def equal_to_last(order: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(order), bool)
+        for k in range(1, len(order), 100_000):
+            x, y = order[k - 1 : k + 99_999], order[k : k + 100_000]
+            x = x[: len(y)]
+            same[k : k + 100_000] = (group[x] == group[y]) & (views[first[x]] == views[first[y]]).all(axis=1)
+        return same
+
+    same = equal_to_last(order)
+    if (~same[1:] & (key[order[1:]] == key[order[:-1]])).any():  # two windows of one hash: bytes decide
+        order = np.lexsort((np.ascontiguousarray(views[first]).view(f"V{WINDOW}").ravel(), group))
+        same = equal_to_last(order)
+    at = np.flatnonzero(~same)
+    low = np.minimum.reduceat(ids[string[order]], at) if len(at) else ids[:0]
+    result = np.empty(len(first), np.int64)
+    result[order] = np.repeat(low, np.diff(np.append(at, len(order))))
+    return np.split(result, begins[1:-1])
+
+
 def by_anchor(strings: DataFrame, tasks: int) -> DataFrame:
     """Rows in partitions that hold whole anchors, one behind the other, those of like many strings ``n`` together.
 
     A batch of suffix arrays takes as many steps as its longest text has symbols, so long texts should not be among short ones.
     """
-    return strings.repartition(tasks, "anchor").sortWithinPartitions("n", "anchor")
+    return strings.repartition(tasks, "anchor").sortWithinPartitions("n", "anchor", "digest")
 
 
 def _earliest(distinct: DataFrame) -> DataFrame:
-    """``anchor``, ``digest`` and ``earliest`` (array, an id per window) for rows of anchor, digest, bytes, id, as ``by_anchor`` gives them."""
+    """``anchor``, ``digest`` and ``earliest`` (array, an id per window) for rows of anchor, digest, bytes, id, n, as ``by_anchor`` gives them."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         groups: dict[int, int] = {}
@@ -190,7 +233,8 @@ def _earliest(distinct: DataFrame) -> DataFrame:
             groups[r[0]] = groups.get(r[0], 0) + len(r[2])
         rows.sort(key=lambda r: (groups[r[0]], r[0]))  # texts of like length side by side
         number = np.cumsum(np.concatenate([[0], [a[0] != b[0] for a, b in zip(rows, rows[1:])]]))
-        found = earliest_windows([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), number)
+        compare = earliest_by_hash if rows[0][4] > MAX_STRINGS else earliest_windows
+        found = compare([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), number)
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), lists], ["anchor", "digest", "earliest"])
@@ -200,8 +244,11 @@ def _earliest(distinct: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if held > BATCH_SYMBOLS and row[0] != rows[-1][0]:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if rows and row[:2] == rows[-1][:2]:  # a row that comes twice gives its strings twice
+                    continue
+                many = 2 * WINDOW * row[4]  # about the symbols of the anchor that begins
+                if rows and row[0] != rows[-1][0] and (held + many > BATCH_SYMBOLS or (row[4] > MAX_STRINGS) != (rows[0][4] > MAX_STRINGS)):
                     yield solve(rows)
                     rows, held = [], 0
                     common.release()
@@ -211,7 +258,7 @@ def _earliest(distinct: DataFrame) -> DataFrame:
             yield solve(rows)
         common.release()
 
-    return distinct.select("anchor", "digest", "bytes", "id").mapInArrow(work, "anchor long, digest long, earliest array<long>")
+    return distinct.select("anchor", "digest", "bytes", "id", "n").mapInArrow(work, "anchor long, digest long, earliest array<long>")
 
 
 def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -> tuple[DataFrame, np.ndarray]:
@@ -233,16 +280,18 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
         if not clashes:
             break
         clashing = np.union1d(clashing, np.array(clashes, np.int64).view(np.uint64))
+        discard(names, nodes)
     total = names.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(parts, total // 16 // TASK_DIGESTS + 1)
     shared = shared_anchors(rows, "text", tasks, clashing)
     listed = shared.groupBy("name").agg(F.collect_set("anchor").alias("anchors")).join(nodes.select("name", "first"), "name")
-    # each step is written: what it shuffled can go then, and a lost task repeats no earlier step
+    # each step is written: what it shuffled and what only it reads go then, and a lost task repeats no earlier step
     listed = materialise(listed.select(F.col("first").alias("id"), "name", "anchors"), "shared-anchors", common.BATCH_BYTES)
     tasks_by_size = max(parts, total // 16_000_000 + 1)
     texts = rows.repartition(tasks_by_size, "id")
     found = materialise(_occurrences(texts.select("id", "text").join(listed, "id"), tasks, clashing), "occurrences", common.BATCH_BYTES)
+    discard(listed)
     distinct = found.groupBy("anchor", "digest").agg(F.min(F.struct("id", "name", "place", "windows")).alias("own"))
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
     several = materialise(distinct.select("anchor", "digest", "own.*").join(sizes, "anchor"), "strings")
@@ -250,9 +299,9 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     single = several.where("n = 1").select("anchor", "digest", F.col("id").alias("low"), F.lit(None).cast("array<long>").alias("earliest"))
     asked = several.where("n > 1").groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "name", "place", "windows", "n")).alias("asked"))
     strings = materialise(_strings(texts.select("id", "text").join(asked, "id"), clashing), "bytes", common.BATCH_BYTES)
-    compared = by_anchor(strings.where(F.col("n") <= MAX_STRINGS), tasks_by_size)
-    # windows of the others, each whole, as 96 bits of hash beside the anchor's 64
-    windows = strings.where(F.col("n") > MAX_STRINGS).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
+    compared = by_anchor(strings.where(F.col("n") <= MAX_GATHERED), tasks_by_size)
+    # windows of the few others, each whole, as 96 bits of hash beside the anchor's 64
+    windows = strings.where(F.col("n") > MAX_GATHERED).select("anchor", "digest", "id", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("nth"))
     window = F.expr(f"substring(bytes, nth + 1, {WINDOW})")
     windows = windows.select("anchor", "digest", "id", "nth", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
     low = windows.groupBy("anchor", "h", "g").agg(F.min("id").alias("low"))
@@ -261,6 +310,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     split = nth_low.groupBy("anchor", "digest").agg(F.array_sort(F.collect_set(F.struct("nth", "low")))["low"].alias("earliest"))
     several_low = _earliest(compared).unionByName(split).withColumn("low", F.array_min("earliest"))
     earliest = materialise(single.unionByName(several_low), "earliest", common.BATCH_BYTES)
+    discard(several, strings)
     # the windows that an earlier document has
     hits = found.join(earliest, ["anchor", "digest"]).where(F.col("low") < F.col("id"))
     early = F.transform("earliest", lambda e: e < F.col("id"))
@@ -274,6 +324,7 @@ def with_removals(documents: DataFrame, key: str, text: str, *carried: Column) -
     spans = hits.select("id", "name", F.explode(F.when(F.col("early").isNull(), whole).otherwise(both)).alias("span")).repartition(tasks_by_size, "id")
     spans = spans.groupBy("id", "name").agg(F.collect_list("span").alias("spans")).groupBy("id").agg(F.collect_list(F.struct("name", "spans")).alias("covered"))
     spans = materialise(spans, "spans")
+    discard(found, earliest)
     copies = names.join(nodes, "name").where("first < id").groupBy("id").agg(F.collect_set("name").alias("copied"))
     marked = texts.join(spans, "id", "left").join(copies, "id", "left")
     return marked.unionByName(plain.where("id IS NULL"), allowMissingColumns=True), clashing
