@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 from corpusflow import fixed_values as fv
 from corpusflow.functions.keys import base_name, file_kind, normalize_slashes
 from corpusflow.functions.text import is_blank
+from corpusflow.sources import listing
 
 
 def scan_documents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """Files of the known kinds in path order: ``(id, path, name, ext, size, modified)``.
 
-    Only file metadata is selected, so no content is read.
+    Only file metadata is selected, so no content is read. Tasks list the folder; only on a file system that Arrow doesn't
+    know the driver does, with all its files in memory.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
+    if listing.tasks_can_list(spark, folder):
+        listed = listing.listed_files(spark, folder, recursive).where("size > 0").withColumnsRenamed({"size": "length", "modified": "modificationTime"})
+    else:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     path = normalize_slashes(F.col("path"))
     files = listed.select(
         F.sha2(path, 256).alias("id"),

@@ -28,8 +28,8 @@ ABORT_LOOKS, ABORT_PAUSE_S = 50, 0.2
 _STAGING, _MANIFESTS = "_staging", "_manifests"
 #: Attempt folders are listed by one task each; a file of a report takes this name's place at once.
 _ATTEMPT = T.StructType().add("run", T.StringType()).add("attempt", T.StringType())
-#: Files that a task moves or reads, about, and bytes of their contents that it hands on at a time.
-TASK_FILES, BATCH_BYTES = 20_000, 4_000_000
+#: Files that a task moves or reads, about, and bytes of their contents and files that it hands on at a time.
+TASK_FILES, BATCH_BYTES, BATCH_FILES = 20_000, 4_000_000, 10_000
 
 
 def filesystem_uri(spark: SparkSession, folder: str) -> str:
@@ -216,28 +216,36 @@ def save_reports(reports: DataFrame, folder: str) -> DataFrame:
     return names.distinct()
 
 
-def read_reports(names: DataFrame, folder: str) -> DataFrame:
-    """``file_name`` and ``content`` (bytes) of the named files, opened by tasks. Neither the driver nor a task lists the folder."""
+def file_batches(files: Iterator[tuple[str, bytes]], key: str) -> Iterator[pa.RecordBatch]:
+    """Names and contents of files in batches of some megabytes, with the columns ``key`` and ``content``."""
     import pyarrow as pa
 
+    def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        found, contents = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contents, pa.binary())], [key, "content"])
+
+    rows, held = [], 0
+    for row in files:
+        rows.append(row)
+        held += len(row[1])
+        if held > BATCH_BYTES or len(rows) == BATCH_FILES:
+            yield batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield batch(rows)
+
+
+def read_reports(names: DataFrame, folder: str) -> DataFrame:
+    """``file_name`` and ``content`` (bytes) of the named files, opened by tasks. Neither the driver nor a task lists the folder."""
     uri = filesystem_uri(names.sparkSession, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, base = _open(uri)
 
-        def batch(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
-            found, contents = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contents, pa.binary())], ["file_name", "content"])
-
-        rows, held = [], 0
-        for name in (n for b in batches for n in b.column(0).to_pylist()):
+        def content(name: str) -> bytes:
             with there.open_input_stream(f"{base}/{name}", compression=None) as body:
-                rows.append((name, body.read()))
-            held += len(rows[-1][1])
-            if held > BATCH_BYTES:
-                yield batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield batch(rows)
+                return body.read()
+
+        yield from file_batches(((n, content(n)) for b in batches for n in b.column(0).to_pylist()), "file_name")
 
     return _dealt(names.select("file_name"), "file_name").mapInArrow(read, "file_name string, content binary")
