@@ -37,15 +37,19 @@ def scan_documents(spark: SparkSession, folder: str, recursive: bool = True) ->
 def text_rows(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """Whole text and Markdown files ``(id, path, name, kind, text, error)``, read once.
 
-    A blank file has a null text and the error ``EMPTY_CONTENT``. Files of no bytes give no row:
-    Spark's file sources leave them out of their listing, here and in ``scan_documents``.
+    A blank file has a null text and the error ``EMPTY_CONTENT``. Files of no bytes give no row, as in Spark's file sources,
+    here and in ``scan_documents``; who lists the folder is said there.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", recursive)
-        .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
-        .text(folder, wholetext=True)
-        .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
-    )
+    if listing.tasks_can_list(spark, folder):
+        named = listing.listed_files(spark, folder, recursive).where(listing.is_text_file() & (F.col("size") > 0))
+        raw = listing.with_contents(named).select(F.col("content").cast("string").alias("text"), "path")
+    else:
+        raw = (
+            spark.read.option("recursiveFileLookup", recursive)
+            .option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
+            .text(folder, wholetext=True)
+            .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+        )
     name, blank = base_name(F.col("path")), is_blank(F.col("text"))
     return raw.select(
         F.sha2("path", 256).alias("id"),
