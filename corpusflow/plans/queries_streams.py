@@ -99,7 +99,7 @@ def stream_ingest(spark, sf_dir):
     labelled = views.table(spark, sf_dir, "labels").select("doc_id")
     for run, kind in ((1, "left_semi"), (2, "left_anti")):
         write_reports(named.join(labelled, "doc_id", kind), folder)
-        found = streams.ingest_stream(spark, folder).select("path", "text", F.lit(run).alias("run"))
+        found = streams.ingest_stream(spark, folder, checkpoint=checkpoint).select("path", "text", F.lit(run).alias("run"))
         streams.ingest_available(found, sink, checkpoint)
     name = F.url_decode(F.element_at(F.split("path", "/"), -1))
     return spark.read.parquet(sink).select(name.alias("name"), "text", "run")

@@ -60,3 +60,49 @@ def test_single_files_patterns_and_missing_folders(spark, odd):
     for read in (files.scan_documents, files.text_rows):
         with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
             read(spark, f"{odd}/not there")
+
+
+def test_each_run_ingests_new_files_once_in_bounded_batches(spark, tmp_path):
+    inbox, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    inbox.mkdir()
+
+    def run(k):
+        found = streams.ingest_stream(spark, str(inbox), files_per_batch=10, checkpoint=checkpoint).select("name", "path", "text", F.lit(k).alias("run"))
+        streams.ingest_available(found, out, checkpoint)
+
+    run(0)  # nothing is there
+    for k in range(25):
+        (inbox / f"{k} a.txt").write_text(f"text {k}")
+    (inbox / "no.log").write_text("x")
+    (inbox / "empty.md").write_text("")
+    before = len([n for n in os.listdir(f"{checkpoint}/commits") if n.isdigit()])
+    run(1)
+    assert len([n for n in os.listdir(f"{checkpoint}/commits") if n.isdigit()]) - before >= 3
+    run(2)
+    (inbox / "new.MD").write_text("late")
+    (inbox / "3 a.txt").write_text("changed")  # not a new file
+    # a run that finds files and dies before it reads them
+    streams.ingest_stream(spark, str(inbox), files_per_batch=10, checkpoint=checkpoint)
+    run(3)
+    got = sorted((r.run, r.text) for r in spark.read.parquet(out).collect())
+    assert got == sorted([(1, f"text {k}") for k in range(25)] + [(3, "late")])
+    assert all("%20" in r.path for r in spark.read.parquet(out).where("run = 1").collect())
+    listed = spark.read.parquet(f"{checkpoint}/found-files")
+    assert listed.count() == 27 and all(r["count"] <= 10 for r in listed.groupBy(F.input_file_name()).count().collect())
+
+
+def test_a_checkpoint_of_the_other_form_is_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x")
+    where = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    streams.ingest_available(streams.ingest_stream(spark, where[0]).select("text"), str(tmp_path / "out"), where[1])
+    with pytest.raises(ValueError, match="another form"):
+        streams.ingest_stream(spark, where[0], checkpoint=where[1])
+
+
+def test_the_query_lists_by_tasks(spark, sf_dir, monkeypatch):
+    asked = []
+    real = listing.listed_files
+    monkeypatch.setattr(listing, "listed_files", lambda *a, **k: (asked.append(a[1]), real(*a, **k))[1])
+    assert catalogue.QUERIES["stream_ingest"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert len(asked) == 2
